@@ -1,17 +1,19 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from scriptorium.llm import chat, decontam, mixing, quality, sharding
+from scriptorium.llm import chat, decontam, mixing, quality, sharding, substring
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
     "op3_sharding": sharding.query,
     "op5_chat_formatting": chat.query,
+    "op6_substring_dedup": substring.query,
     "op9_quality_rules": quality.query,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontam.ORACLE_SQL,
     "op5_chat_formatting": chat.ORACLE_SQL,
+    "op6_substring_dedup": substring.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
