@@ -1,6 +1,6 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from scriptorium.llm import chat, decontam, mixing, quality, sharding, substring
+from scriptorium.llm import chat, decontam, mixing, quality, sharding, substring, suffix
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op5_chat_formatting": chat.query,
     "op6_substring_dedup": substring.query,
+    "op8_suffix_array_dedup": suffix.query,
     "op9_quality_rules": quality.query,
 }
 

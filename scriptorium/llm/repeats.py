@@ -60,9 +60,8 @@ _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
     if len(_powers[0]) < n:
-        n = max(n, 2 * CHUNK)
         for j, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            x = np.full(n, b, dtype=np.uint64)
+            x = np.full(max(n, 2 * CHUNK), b, dtype=np.uint64)
             x[0] = 1
             _powers[j] = np.multiply.accumulate(x)
     return _powers[0][:n], _powers[1][:n]
@@ -171,6 +170,24 @@ def contexts(sym: np.ndarray, lengths: np.ndarray, k: int, m: int) -> Iterator[t
         i = j
 
 
+def grouped(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in lists of about 4 * CHUNK bytes, or one longer text; with the number of the first."""
+    held, first, size = [], 0, 0
+    for i in range(len(texts)):
+        held.append(texts[i].as_py())
+        size += len(held[-1])
+        if size >= 4 * CHUNK:
+            yield first, held
+            held, first, size = [], i + 1, 0
+    if held:
+        yield first, held
+
+
+def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit symbol for each byte of all texts, and the length of each."""
+    return BYTE[np.frombuffer(b"".join(texts), dtype=np.uint8)], np.array([len(t) for t in texts], dtype=np.int64)
+
+
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(ka, kb, text as bytes, the other columns in a struct): two hashes name a row; equal rows share them."""
     rest = [c for c in docs.columns if c != text]
@@ -182,10 +199,11 @@ def occurrences(docs: DataFrame, symbols, k: int, m: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sym, lengths = symbols(batch.column(2).to_pylist())
-            for doc, s, n, mh, ch in contexts(sym, lengths, k, m):
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64))], names=["ka", "kb", "s", "n", "mh", "ch"])
+            for first, texts in grouped(batch.column(2)):
+                sym, lengths = symbols(texts)
+                for doc, s, n, mh, ch in contexts(sym, lengths, k, m):
+                    take = pa.array(doc + first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64))], names=["ka", "kb", "s", "n", "mh", "ch"])
 
     return stage(docs.select("ka", "kb", "raw").mapInArrow(run, "ka long, kb long, s int, n int, mh long, ch long"), "contexts")
 
