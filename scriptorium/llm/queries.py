@@ -1,11 +1,12 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from scriptorium.llm import chat, decontam, mixing, quality, sharding, substring, suffix
+from scriptorium.llm import chat, decontam, jaccard, mixing, quality, sharding, substring, suffix
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
     "op3_sharding": sharding.query,
+    "op4_ngram_jaccard_join": jaccard.query,
     "op5_chat_formatting": chat.query,
     "op6_substring_dedup": substring.query,
     "op8_suffix_array_dedup": suffix.query,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontam.ORACLE_SQL,
+    "op4_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op5_chat_formatting": chat.ORACLE_SQL,
     "op6_substring_dedup": substring.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
