@@ -14,8 +14,8 @@ with Jaccard >= t differ in at most D = (n1 + n2) (1 - t) / (1 + t) shingles.
    unless a set has more than E of them; so a pair still shares a key.
 3. Sets that share a key are linked to the least of them (no pairs), which
    gives candidate groups.
-4. In groups, folded sketches are compared in blocks of at most ``PART`` sets
-   against ``PART``; pairs whose Hamming distance is at most D span smaller
+4. In groups, folded sketches are compared in parts of a bounded size, each part
+   against each (``groups``); pairs whose Hamming distance is at most D span smaller
    groups.
 5. In those, exact intersections (a product of 0/1 matrices) decide links.
    Each block returns a spanning forest of its links, not the pairs.
@@ -42,11 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import components, fresh, stage
+from scriptorium.llm.groups import in_parts
 from scriptorium.llm.repeats import grouped, mix, prefix, ranges, word_symbols
 
 WIDTH, PERCENT = 4, 85
-#: Sets in a part, and bytes of shingles in a part.
-PART, PART_BYTES = 256, 4 << 20
 _TOP = 1 << 40
 
 
@@ -162,21 +161,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([sid.slice(first, len(texts)), pa.array([h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["sid", "hashes"])
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _near(group: dict[str, list], left: int, bands: Bands) -> Iterator[tuple[int, np.ndarray]]:
     """For each i, the j > i whose sketches are within D; pairs of two parts only if ``left`` is the size of the first."""
     m = np.stack([np.frombuffer(x, dtype=np.uint64) for x in group["sketch"]])
@@ -212,42 +196,6 @@ def _linked(group: dict[str, list], left: int, bands: Bands) -> Iterator[tuple[i
         yield i, j[both[i, j] * 100 >= either[i, j] * bands.percent]
 
 
-def _forests(table: pa.Table, what, bands: Bands) -> pa.Table:
-    """Spanning forests of the pairs that ``what`` finds, for every (group, parts) in the table."""
-    names = [c for c in table.column_names if c != "gid"]
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda r: (r[0], r[1], r[2], r[3], r[4] != r[2], r[5]))
-    out, at = [], 0
-    while at < len(rows):
-        end = at + 1
-        while end < len(rows) and rows[end][:4] == rows[at][:4]:
-            end += 1
-        group = {c: [r[i] for r in rows[at:end]] for i, c in enumerate(names)}
-        left = sum(p == group["a"][0] for p in group["part"]) if group["a"][0] != group["b"][0] else 0
-        if end - at > 1 and left < end - at:
-            forest, sid = _Forest(end - at), group["sid"]
-            for i, js in what(group, left, bands):
-                out += [(sid[i], sid[j]) for j in js.tolist() if forest.join(i, j)]
-        at = end
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-
-def _in_parts(members: DataFrame, weight, what, bands: Bands) -> DataFrame:
-    """Edges (a, b) that ``what`` finds in groups of ``members`` (root, space, sid, ...), part against part.
-
-    Small groups share a task; a group of more than a part is dealt into parts
-    by hash, and every two parts meet in a task of their own.
-    """
-    size = members.groupBy("root", "space").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
-    size = size.where("c > 1").select("root", "space", F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("w") / PART_BYTES)).cast("int").alias("parts"))
-    rows = members.join(size, ["root", "space"])
-    bins = max(1, members.count() // PART)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("a", F.least("part", "to")).withColumn("b", F.greatest("part", "to"))
-    gid = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root", "space"), F.lit(bins))).otherwise(F.xxhash64("root", "space", "a", "b"))
-    extra = [c for c in members.columns if c not in ("root", "space", "sid")]
-    return rows.select(gid.alias("gid"), "root", "space", "a", "b", "part", "sid", *extra).groupBy("gid").applyInArrow(lambda t: _forests(t, what, bands), "a long, b long")
-
-
 def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(ka, kb, id, n, component, least): for each (id, text), its set size, the component's id, and whether it is the component's first."""
     bands = Bands(percent)
@@ -262,13 +210,13 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     groups = components(stars)
     # 4: sketches within the bound
     once = sk.where("sid is not null").select(F.col("sid").alias("node"), "space", "n", "sketch").join(groups, "node").groupBy("root", "space", F.col("node").alias("sid")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = _in_parts(stage(once, "candidates"), F.octet_length("sketch"), _near, bands)
+    near = in_parts(stage(once, "candidates"), F.octet_length("sketch"), lambda g, left: _near(g, left, bands))
     groups = stage(components(near), "groups")
     # 5: exact; one document of each set gives its text
     named = sk.where("own and sid is not null").join(groups.withColumnRenamed("node", "sid"), "sid").groupBy("sid").agg(F.min(F.struct("ka", "kb")).alias("k")).select("sid", "k.ka", "k.kb")
     sets = rows.join(named, ["ka", "kb"]).select("sid", "raw").mapInArrow(lambda b: _sets(b, width), "sid long, hashes binary")
     sets = stage(sets.groupBy("sid").agg(F.first("hashes").alias("hashes")).join(groups.withColumnRenamed("node", "sid"), "sid").select("root", F.lit(0).alias("space"), "sid", "hashes"), "sets")
-    links = components(_in_parts(sets, F.octet_length("hashes"), _linked, bands)).withColumnRenamed("node", "sid")
+    links = components(in_parts(sets, F.octet_length("hashes"), lambda g, left: _linked(g, left, bands))).withColumnRenamed("node", "sid")
     # 6: the least id of each component
     ids = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.col(id).alias("id"))
     all_ = sk.where("own").select("ka", "kb", "sid", "n").distinct().join(ids.distinct(), ["ka", "kb"]).join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -1,14 +1,16 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from scriptorium.llm import chat, decontam, jaccard, mixing, quality, sharding, substring, suffix
+from scriptorium.llm import chat, decontam, jaccard, licenses, lines, mixing, quality, sharding, substring, suffix
 
 QUERIES = {
+    "op10_line_dedup": lines.query,
     "op1_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
     "op3_sharding": sharding.query,
     "op4_ngram_jaccard_join": jaccard.query,
     "op5_chat_formatting": chat.query,
     "op6_substring_dedup": substring.query,
+    "op7_license_scan": licenses.query,
     "op8_suffix_array_dedup": suffix.query,
     "op9_quality_rules": quality.query,
 }
@@ -18,5 +20,6 @@ ORACLE_SQL = {
     "op4_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op5_chat_formatting": chat.ORACLE_SQL,
     "op6_substring_dedup": substring.ORACLE_SQL,
+    "op7_license_scan": licenses.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
