@@ -75,7 +75,8 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str) -> D
     ``RANK_BUCKETS`` rows a group. ``group`` columns must not be null.
     """
     b, start = fresh(df, "bucket", "start")
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int"))
+    # dealt by bucket here, or Spark would keep a partitioning by group that df may have
+    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int")).repartition(*group, b)
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias(start)).withColumn(start, F.coalesce(F.sum(start).over(before), F.lit(0)))
     inside = Window.partitionBy(*group, b).orderBy(*order)
