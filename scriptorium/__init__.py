@@ -1,0 +1 @@
+"""Document analytics and retrieval over large text collections, on Spark DataFrames."""
