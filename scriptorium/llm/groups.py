@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Members of a part, and bytes of a part.
-PART, PART_BYTES = 256, 4 << 20
+#: Members of a part, and bytes of a part. A group of c members is sent c / PART times.
+PART, PART_BYTES = 1024, 4 << 20
+#: Members of small groups that share a task, about.
+BIN = 256
 
 
 class Forest:
@@ -62,7 +64,7 @@ def in_parts(members: DataFrame, weight: Column, what: Callable) -> DataFrame:
     size = members.groupBy("root", "space").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
     size = size.where("c > 1").select("root", "space", F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("w") / PART_BYTES)).cast("int").alias("parts"))
     rows = members.join(size, ["root", "space"])
-    bins = max(1, members.count() // PART)
+    bins = max(1, members.count() // BIN)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("a", F.least("part", "to")).withColumn("b", F.greatest("part", "to"))
     gid = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root", "space"), F.lit(bins))).otherwise(F.xxhash64("root", "space", "a", "b"))
