@@ -50,6 +50,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Stage an aggregate that is about to be joined back to what it was made from.
+
+    Joined directly, both sides would keep the aggregate's partitioning, and
+    adaptive execution could not split the partition of a hot key.
+    """
+    return stage(df, "counted")
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that clash with no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -99,11 +108,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large-star: larger neighbours of each node point to its least neighbour
         both = now.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(now.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("r")).withColumn("r", F.least("r", "n"))
+        least = counted(both.groupBy("n").agg(F.min("m").alias("r")).withColumn("r", F.least("r", "n")))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("v"), F.col("r").alias("u"))
         large = large.unionByName(least.where("n > r").select(F.col("n").alias("v"), F.col("r").alias("u"))).where("u <> v").distinct()
         # small-star: smaller neighbours of each node, and it, point to the least of them
-        low = large.groupBy("v").agg(F.min("u").alias("r"))
+        large = stage(large, "edges")
+        low = counted(large.groupBy("v").agg(F.min("u").alias("r")))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("r").alias("u")).where("u <> v")
         now = stage(small.unionByName(low.select("v", F.col("r").alias("u"))).distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -114,4 +124,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-__all__ = ["SPACE", "components", "fresh", "ranked", "shared_dir", "stage", "words"]
+__all__ = ["SPACE", "components", "counted", "fresh", "ranked", "shared_dir", "stage", "words"]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, fresh, stage
+from scriptorium.llm.common import components, counted, fresh, stage
 from scriptorium.llm.groups import in_parts
 from scriptorium.llm.repeats import grouped, mix, prefix, ranges, word_symbols
 
@@ -203,11 +203,11 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     sk = stage(rows.mapInArrow(lambda b: _sketches(b, width, bands), _SKETCH), "sketches")
     # 2, 3: keys that occur twice, and the least set of each
     keys = sk.select("sid", F.explode("keys").alias("key"))
-    twice = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    shared = stage(keys.join(twice, "key"), "shared").distinct()
-    least = shared.groupBy("key").agg(F.min("sid").alias("least"))
+    twice = counted(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    shared = stage(keys.join(twice, "key"), "shared")
+    least = counted(shared.groupBy("key").agg(F.min("sid").alias("least")))
     stars = shared.join(least, "key").where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
-    groups = components(stars)
+    groups = components(stars.distinct())
     # 4: sketches within the bound
     once = sk.where("sid is not null").select(F.col("sid").alias("node"), "space", "n", "sketch").join(groups, "node").groupBy("root", "space", F.col("node").alias("sid")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     near = in_parts(stage(once, "candidates"), F.octet_length("sketch"), lambda g, left: _near(g, left, bands))
@@ -221,7 +221,7 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     ids = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.col(id).alias("id"))
     all_ = sk.where("own").select("ka", "kb", "sid", "n").distinct().join(ids.distinct(), ["ka", "kb"]).join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     all_ = stage(all_, "members")
-    first = all_.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "ka", "kb")).alias("f"))
+    first = counted(all_.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "ka", "kb")).alias("f")))
     return all_.join(first, "root", "left").select("ka", "kb", "id", "n", F.coalesce("f.id", "id").alias("component"), F.coalesce((F.col("f.ka") == F.col("ka")) & (F.col("f.kb") == F.col("kb")), F.lit(True)).alias("least"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import components, fresh, stage
+from scriptorium.llm.common import components, counted, fresh, stage
 from scriptorium.llm.groups import in_parts
 from scriptorium.llm.repeats import BYTE, grouped, mix, prefix, ranges, word_symbols
 
@@ -164,7 +164,7 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     once = stage(once, "distinct")
     number = lambda k: F.conv(F.hex(F.substring("blocks", 4 * k + 1, 4)), 16, 10).cast("long")
     keys = once.select("lid", F.explode(F.array(*[F.lit(k << 32) + number(k) for k in range(BLOCKS)])).alias("root"))
-    twice = keys.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("root")
+    twice = counted(keys.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("root"))
     shared = stage(keys.join(twice, "root"), "shared")
     members = shared.join(once.select("lid", "blocks"), "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "blocks")
     near = in_parts(members, F.octet_length("blocks"), _near)
@@ -180,7 +180,7 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     ids = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.col(id).alias("id")).distinct()
     found = lines.select("ka", "kb", "line", "lid").join(links, "lid", "left").select("ka", "kb", "line", F.coalesce("root", "lid").alias("root")).join(ids, ["ka", "kb"])
     order = F.struct(F.col("id").isNull().alias("z"), "id", "kb", "line")
-    first = found.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first")).where("c > 1")
+    first = counted(found.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first")).where("c > 1"))
     gone = found.join(first, "root").where(order != F.col("first"))
     return gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
 

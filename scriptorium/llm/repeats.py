@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import stage
+from scriptorium.llm.common import counted, stage
 
 #: Symbols handled together: the arrays of a step stay in cache.
 CHUNK = 1 << 18
@@ -211,9 +211,10 @@ def occurrences(docs: DataFrame, symbols, k: int, m: int) -> DataFrame:
 def located(occ: DataFrame) -> DataFrame:
     """(ka, kb, spots): for each document with any, its ranges of windows as (s, n, kind)."""
     twice = occ.groupBy("mh").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("c > 1")
-    same = stage(occ.join(twice.select("mh", (F.col("lo") != F.col("hi")).alias("mixed")), "mh"), "repeated")
+    twice = counted(twice.select("mh", (F.col("lo") != F.col("hi")).alias("mixed")))
+    same = stage(occ.join(twice, "mh"), "repeated")
     mixed = same.where("mixed")
-    kinds = mixed.groupBy("mh", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ka", "kb", "s")).alias("rep"))
+    kinds = counted(mixed.groupBy("mh", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ka", "kb", "s")).alias("rep")))
     kind = F.when(F.col("c") == 1, UNDECIDED).when(F.col("rep") == F.struct("ka", "kb", "s"), EVIDENCE).otherwise(REPEATED)
     spots = mixed.join(kinds, ["mh", "ch"]).select("ka", "kb", F.struct("s", "n", kind.alias("kind"), "mh").alias("spot"))
     sure = same.where("not mixed").select("ka", "kb", F.struct("s", "n", F.lit(REPEATED).alias("kind"), F.lit(0).cast("long").alias("mh")).alias("spot"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.llm.common import RANK_BUCKETS, fresh, ranked, stage
+from scriptorium.llm.common import RANK_BUCKETS, counted, fresh, ranked, stage
 
 SHARDS = 40
 ROUNDS = 8
@@ -68,7 +68,7 @@ def balanced_shards(nodes: DataFrame, *, id: str, group: str, shards: int = SHAR
     first = stage(ranked(nodes.withColumn(g, F.col(group)), [], [F.col(id)], rank), "nodes")
     total = first.count()
     cap = [total // shards + (j < total % shards) for j in range(shards)]
-    sizes = first.groupBy(g).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1)
+    sizes = counted(first.groupBy(g).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1))
     chunk = max(1, min(cap) // 2)
     small = first.join(sizes.where(F.col(size) <= chunk), g).select(F.col(id).alias("i"), F.col(g).alias("g"), F.lit(0).cast("long").alias("p"), F.col(rank).alias("r"))
     large = ranked(first.join(sizes.where(F.col(size) > chunk), g), [g], [F.col(id)], piece)

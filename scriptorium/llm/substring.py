@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import fresh, stage
+from scriptorium.llm.common import counted, fresh, stage
 from scriptorium.llm.repeats import EVIDENCE, UNDECIDED, covered, keyed, located, occurrences, prefix, ranges, word_symbols
 
 K = 35
@@ -90,7 +90,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     spots = located(occurrences(rows, word_symbols, k, m))
     held = rows.join(spots, ["ka", "kb"], "inner")
     windows = stage(held.mapInArrow(lambda b: _undecided(b, k), "ka long, kb long, s int, open boolean, mh long, h long"), "windows")
-    twice = windows.groupBy("mh", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "h")
+    twice = counted(windows.groupBy("mh", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "h"))
     more = windows.where("open").join(twice, ["mh", "h"]).groupBy("ka", "kb").agg(F.collect_set("s").alias("more"))
     whole = rows.join(spots.join(more, ["ka", "kb"], "left"), ["ka", "kb"], "left")
     schema = T.StructType([rows.schema["rest"], T.StructField("kept", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())])))])
