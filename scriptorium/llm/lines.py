@@ -56,16 +56,23 @@ def normal(line: bytes) -> bytes:
 
 def simhash(sym: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The blocks of each line, as (lines, BLOCKS) big-endian numbers; ``sym`` are word hashes, ``count`` of each line (at least 1)."""
-    halves = BLOCKS // 2
+    halves, wide = BLOCKS // 2, BLOCKS * 32
     ends = np.cumsum(count)
-    votes = np.zeros((len(count), BLOCKS * 32), dtype=np.int32)
+    votes = np.zeros((len(count), wide), dtype=np.int32)
     for first in range(0, len(sym), _STEP):
         part = sym[first : first + _STEP]
+        at = np.arange(first, first + len(part))
+        line = np.searchsorted(ends, at, "right")
         bits = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) for k in range(halves)], axis=1)
-        bits = np.unpackbits(bits.view(np.uint8), axis=1)
-        line = np.searchsorted(ends, np.arange(first, first + len(part)), "right")
-        edge = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-        votes[line[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+        # a byte a bit, added eight at a time: runs of at most 255 words do not overflow
+        lanes = np.unpackbits(bits.view(np.uint8), axis=1).view(np.uint64)
+        place = at - (ends - count)[line]
+        edge = np.flatnonzero((place % 255 == 0) | (at == first))
+        sums = np.add.reduceat(lanes, edge, axis=0).view(np.uint8)
+        if (np.diff(line[edge]) == 0).any():
+            np.add.at(votes, line[edge], sums)
+        else:
+            votes[line[edge]] += sums
     high = np.packbits(votes * 2 > count[:, None], axis=1).view(">u4")
     return (high >> np.uint32(32 - BITS)).astype(">u4")
 
@@ -129,6 +136,13 @@ def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]
         yield i, first + np.flatnonzero(far <= NEAR)
 
 
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= NEAR))
+
+
 def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
     lines = [x.decode() for x in group["text"]]
     size = np.array([len(x) for x in lines])
@@ -164,10 +178,15 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     once = stage(once, "distinct")
     number = lambda k: F.conv(F.hex(F.substring("blocks", 4 * k + 1, 4)), 16, 10).cast("long")
     keys = once.select("lid", F.explode(F.array(*[F.lit(k << 32) + number(k) for k in range(BLOCKS)])).alias("root"))
-    twice = counted(keys.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("root"))
-    shared = stage(keys.join(twice, "root"), "shared")
-    members = shared.join(once.select("lid", "blocks"), "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "blocks")
-    near = in_parts(members, F.octet_length("blocks"), _near)
+    seen = counted(keys.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("a"), F.max("lid").alias("b")).where("c > 1"))
+    code = once.select("lid", "blocks")
+    # most shared blocks have two lines: these are pairs at once, and the same pair from many blocks is one
+    pairs = seen.where("c = 2").select("a", "b").distinct()
+    pairs = pairs.join(code.select(F.col("lid").alias("a"), F.col("blocks").alias("x")), "a").join(code.select(F.col("lid").alias("b"), F.col("blocks").alias("y")), "b")
+    pairs = pairs.select("a", "b", "x", "y").mapInArrow(_near_pairs, "a long, b long")
+    shared = stage(keys.join(seen.where("c > 2").select("root"), "root"), "shared")
+    members = shared.join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "blocks")
+    near = in_parts(members, F.octet_length("blocks"), _near).unionByName(pairs)
     groups = components(near).withColumnRenamed("node", "lid")
     wanted = once.join(groups, "lid").select("lid", "root", "at.ka", "at.kb", "at.line")
     wanted = stage(wanted, "wanted")
