@@ -7,9 +7,10 @@ has to occur in that order. A document is read once, in the scan's own stage;
 nothing is shuffled. The tables are constants, so what each task holds is
 bounded.
 
-A sentence ends at . ! ? ; or : before white space. Because notices come both
-hard-wrapped and on lines of their own, a text is cut twice: with line ends as
-spaces, and with line ends as ends too. Both cuts' hits are merged by position.
+Because notices come both hard-wrapped and on lines of their own, a text is cut
+twice: at . ! ? ; and : before white space and at blank lines; and at . ! and ?
+before white space and at every line end. Both cuts' hits are merged by
+position.
 
 Normal form: A-Z lower-cased; every run of other than digits, a-z and
 non-ASCII becomes one space; ends trimmed.
@@ -123,9 +124,8 @@ KNOWN, RULES = _dictionary()
 CLUES = (b"licen", b"free", b"public", b"copyright", b"warrant", b"under", b"redistribut", b"permission", b"rights", b"mozilla")
 assert all(any(c in s for c in CLUES) for s in KNOWN)
 
-_ENDS_AT = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+")
-_LINE_TOO = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+|\n")
-_LONGEST = max(map(len, KNOWN)) * 4
+_PARAGRAPHS = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n")
+_LINES = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
 
 
 def recognised(text: bytes) -> list[tuple[int, int, str]]:
@@ -134,7 +134,7 @@ def recognised(text: bytes) -> list[tuple[int, int, str]]:
     if not any(c in low for c in CLUES):
         return []
     found = {}
-    for cut in (_ENDS_AT, _LINE_TOO):
+    for cut in (_PARAGRAPHS, _LINES):
         at = 0
         for m in cut.finditer(low):
             if name := KNOWN.get(normal(low[at : m.start()])):
@@ -195,9 +195,9 @@ rules(licence, pattern) AS (VALUES {rules}),
 stronger(weak, strong) AS (VALUES {stronger}),
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 cuts AS (
-  SELECT doc_id, regexp_replace(t, '([.!?;:])([\x20\x09-\x0D]+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM low
+  SELECT doc_id, regexp_replace(regexp_replace(t, '([.!?;:])([\x20\x09-\x0D]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '(\n[\x20\x09-\x0D]*\n)', chr(1) || '\1' || chr(2), 'g') AS t FROM low
   UNION ALL
-  SELECT doc_id, replace(regexp_replace(t, '([.!?;:])([\x20\x09-\x0D]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(10), chr(1) || chr(10) || chr(2)) FROM low),
+  SELECT doc_id, replace(regexp_replace(t, '([.!?])([\x20\x09-\x0D]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(10), chr(1) || chr(10) || chr(2)) FROM low),
 parts AS (SELECT doc_id, unnest(string_split(t, chr(2))) AS p, unnest(range(1, len(string_split(t, chr(2))) + 1)) AS i, string_split(t, chr(2)) AS ps FROM cuts),
 ends_at AS (SELECT doc_id, string_split(p, chr(1))[1] AS body,
               length(replace(array_to_string(ps[1:i - 1], ''), chr(1), '')) + length(string_split(p, chr(1))[1]) AS ends FROM parts),
