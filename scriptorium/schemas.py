@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _split(inner: str) -> list[str]:
+    """Cut at the commas that are in no bracket."""
+    out, depth = [""], 0
+    for c in inner:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _type(name: str) -> T.DataType:
+    """A type from its short name; needs no session, so schemas can be module constants."""
+    if name.startswith("array<"):
+        return T.ArrayType(_type(name[6:-1]))
+    if name.startswith("struct<"):
+        return _struct(**dict(part.split(":", 1) for part in _split(name[7:-1])))
+    return _SIMPLE[name]
+
+
 def _struct(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items()))
+    return T.StructType([T.StructField(k, _type(v)) for k, v in fields.items()])
 
 
 #: The seven fields that describe a case; all strings, the year included.

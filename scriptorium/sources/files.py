@@ -58,7 +58,7 @@ def documents(spark: SparkSession, path: str, *, reader: PageReader = no_pages,
     """
     files = spark.read.format("binaryFile").load(path)
     files = files.withColumn("file_type", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
-    plain = files.where(F.col("file_type") != ".pdf").select("path", F.decode("content", F.lit("UTF-8")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    plain = files.where(F.col("file_type") != ".pdf").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.lit(None).cast("string").alias("error"))
     found = pages(files.where(F.col("file_type") == ".pdf"), reader, ocr)
     solid = F.when(tx.strip(F.coalesce("text", F.lit(""))) != "", F.struct("page", "text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(solid)), lambda x: x["text"]), page_break)

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.operators import articles, audit, ranking
 from scriptorium.plans import api, pipelines, providers
@@ -124,7 +125,7 @@ def test_articles(spark):
 
 
 def test_statute_ingest_status_reset(spark, tmp_path):
-    schema = ARTICLE_CHUNK.add("id", "string").add("text", "string").add("document_type", "string").add("embedding", "array<float>")
+    schema = ARTICLE_CHUNK.add("id", "string").add("text", "string").add("document_type", "string").add("embedding", T.ArrayType(T.FloatType()))
     store = Collection(spark, str(tmp_path / "db"), schema)
     df = spark.createDataFrame([("s.txt", STATUTE)], "file_name string, text string")
     assert api.digest_statute(store, df, EMBED).first().ingested == 3
@@ -164,7 +165,7 @@ def test_stream_upserts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("one")
     store = Collection(spark, str(tmp_path / "db"), CHUNK)
-    rows = lambda f: f.select(F.col("path").alias("id"), F.col("path").alias("source"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    rows = lambda f: f.select(F.col("path").alias("id"), F.col("path").alias("source"), F.col("content").cast("string").alias("text"))
     for _ in range(2):
         upsert_stream(landing(spark, str(tmp_path / "in")), rows, store, "source", str(tmp_path / "cp")).awaitTermination()
         assert store.count() == 1
