@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,29 @@ def ingest_documents(store: Collection, docs: DataFrame, embed: providers.Embedd
     return state.select("source", F.when(F.col("error").isNull(), "ingested").otherwise("failed").alias("status"), "error")
 
 
+def token_chunked(docs: DataFrame, embed: providers.Embedder, model: str, *, counter: Callable[[str], int] = chunk.count_words, detect: providers.Detector = providers.unknown, title: str = "file_name", legacy: bool = False) -> DataFrame:
+    """Loaded documents to sentence chunks of bounded token counts, with vectors and language."""
+    cut = docs.withColumn("c", F.explode(chunk.token_chunks(tx.sentences(F.col("text"), legacy), counter)))
+    rows = cut.select(F.col(title).alias("title"), F.col("file_hash").alias("file_id"), "c.*")
+    rows = rows.withColumn("id", F.concat_ws("_", "file_id", F.col("chunk_number").cast("string"))).withColumn("page_no", F.lit(None).cast("int")).withColumn("heading", F.col("title"))
+    rows = rows.withColumn("language", providers.language(F.col("text"), detect)).withColumn("ingest_time", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    return providers.with_embeddings(rows, embed, model)
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, least, most and average tokens."""
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"), F.avg("token_count").alias("avg_tokens"))
+
+
+def keyword_hits(docs: DataFrame, queries: DataFrame, *, id: str = "source", text: str = "text", k: int = FINAL) -> DataFrame:
+    """Paragraph chunks ranked by plain TF-IDF, ``k`` a query; no vectors needed."""
+    cut = docs.select(id, F.posexplode(chunk.paragraphs(F.col(text))).alias("chunk_index", "chunk_text"))
+    cut = cut.withColumn("chunk_id", F.concat_ws("#", F.col(id).cast("string"), F.format_string("%08d", F.col("chunk_index"))))
+    found = keyword.scores(cut.select("chunk_id", "chunk_text"), queries, id="chunk_id", text="chunk_text", query="query_id", query_text="query")
+    best = keyword.top(found.withColumn("keyword", F.round("keyword", 9)), "query_id", "keyword", k, "chunk_id")
+    return best.join(cut, "chunk_id").select("query_id", "rank", "chunk_id", F.col("keyword").alias("score"), "chunk_text")
+
+
 # cases
 
 
@@ -110,6 +134,26 @@ def result_rows(top: DataFrame, picked: DataFrame, *, parent: str = "case_identi
     ).orderBy("rank")
 
 
+def retrieval_stats(found: DataFrame, kept: DataFrame, top: DataFrame, parent: str = "case_identifier") -> DataFrame:
+    """One row: rows after each stage of a retrieval."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    seen = kept.agg(F.count(F.lit(1)).alias("after_component_filter"), F.count_distinct(parent).alias("unique_parents_found"))
+    return n(found, "total_candidates").crossJoin(seen).crossJoin(n(top, "returned_parents"))  # one row each
+
+
+def classification_given(spark: SparkSession, given: dict | str) -> DataFrame:
+    """A classification as one row, from a dict, a JSON text, or the path of a .json file."""
+    if isinstance(given, dict):
+        reply = spark.createDataFrame([(json.dumps(given),)], "reply string")
+    elif isinstance(given, str) and given.strip().endswith(".json"):
+        reply = spark.read.text(given.strip(), wholetext=True).withColumnRenamed("value", "reply")
+    elif isinstance(given, str) and given.strip().startswith("{"):
+        reply = spark.createDataFrame([(given,)], "reply string")
+    else:
+        raise ValueError("give a dict, a JSON object or the path of a .json file")
+    return reply.select(parse.classification(F.col("reply")).alias("c")).select("c.*")
+
+
 def classify(spark: SparkSession, question: str, model: providers.Model, prompt: str = "{question}", attempts: int = 3) -> DataFrame:
     """One row: the normalised classification of a question. Incomplete replies are asked for again."""
     if not question or not question.strip():
@@ -180,3 +224,8 @@ def model_articles(docs: DataFrame, model: providers.Model, prompt: str, *, id:
     asked = parts.withColumn("reply", providers.answered(F.replace(F.lit(prompt), F.lit("{document_text}"), F.col("body")), model))
     rows = asked.withColumn("list", parse.extracted_articles(F.col("reply.answer")))
     return rows.select(id, "part", F.coalesce(F.col("reply.error"), F.when(F.col("list").isNull(), F.lit("not JSON"))).alias("error"), F.explode_outer("list").alias("article")).select(id, "part", "error", "article.*")
+
+
+def chapter_counts(rows: DataFrame, chapter: str = "chapter_no") -> DataFrame:
+    """(chapter, articles), in order."""
+    return rows.groupBy(chapter).agg(F.count(F.lit(1)).alias("articles")).orderBy(chapter)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import chunk, parse, vector
 from scriptorium.functions import text as tx
 from scriptorium.operators import articles, audit, dedupe, keyword, ranking
-from scriptorium.plans import pipelines
+from scriptorium.plans import pipelines, providers
 from scriptorium.schemas import CASE_FIELDS
 from scriptorium.sources import store
 
@@ -489,11 +489,46 @@ def case_chunks(spark, sf):
     return pipelines.case_chunks(cases).select("source_file_path", "firac_component", "case_identifier", "content_length", "document_hash", *CASE_FIELDS[1:3])
 
 
+def corpus_stats(spark, sf):
+    c = table(spark, sf, "documents").select(F.size(keyword.terms(F.col("text"))).alias("token_count"))
+    return pipelines.corpus_stats(c).select("chunks", F.col("min_tokens").cast("long").alias("min_tokens"), F.col("max_tokens").cast("long").alias("max_tokens"), F.round("avg_tokens", 6).alias("avg_tokens"))
+
+
+def chapter_counts(spark, sf):
+    return pipelines.chapter_counts(table(spark, sf, "documents").withColumn("chapter_no", (F.col("doc_id") % 12).cast("int")))
+
+
+def payload_flatten(spark, sf):
+    field = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.substring("text", 1, 25).alias("content"), F.col("lang").alias("metadata")))).when(F.col("doc_id") % 3 != 0, F.col("source"))
+    content, metadata = parse.payload(field)
+    return table(spark, sf, "documents").select("doc_id", content.alias("content"), metadata.alias("metadata"))
+
+
+def retrieval_stats(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    near = _nearest(_with_query(spark, sf).join(d, "vec_id"), 50).withColumn("component", F.concat(F.lit("label"), F.col("label")))
+    kept = ranking.scored(ranking.keep_components(near, TARGETS, "component").withColumn("domain", F.lit("")), _wanted(), domain="domain", component="component")
+    return pipelines.retrieval_stats(near, kept, ranking.parents(kept, parent="source", id="vec_id", keep=[]), "source")
+
+
+def keyword_hits(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n\n")).alias("text"))
+    return pipelines.keyword_hits(d, _queries(spark), id="doc_id").withColumn("score", F.round("score", 6))
+
+
+def near_text(spark, sf):
+    """Chunk search end to end with the stand-in models: blend, rerank, near-duplicates out."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit(0).alias("start_index"))
+    embed = providers.hashed(32)
+    chunks = d.withColumn("embedding", providers.embedded(F.col("text"), embed))
+    return pipelines.search_chunks(chunks, _queries(spark), embed).select("query_id", "id", "rank", F.round("hybrid", 6).alias("hybrid"), F.round("rerank", 6).alias("rerank"))
+
+
 _NAMES = """vec_topk vec_topk_filtered vec_filter_after_topk vec_topk_each domain_boost case_retrieval best_chunk_per_component clean_v1 clean_v2
 clean_v3 clean_stats doc_hash exact_dups chunk_id safe_id file_parts chunk_window chunk_flatten chunk_stats chunk_recursive chunk_paragraph chunk_article
 chunk_tokens chunk_chapters tfidf_score tfidf_topk hybrid_rank dedupe_greedy parse_metadata extract_sections classification article_segment component_counts
 audit_missing_components audit_missing_fields audit_sequence completeness embedding_stats ingest_status article_order skip_existing change_detection
-upsert_by_group delete_by_predicate point_lookup semi_join_lookup context_format summary_fallback case_chunks""".split()
+corpus_stats chapter_counts payload_flatten retrieval_stats keyword_hits near_text upsert_by_group delete_by_predicate point_lookup semi_join_lookup context_format summary_fallback case_chunks""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _WINDOWS_SQL = f"""w AS (SELECT doc_id, greatest(0, ceil((length(text) - {chunk.SIZE}) / {chunk.SIZE - chunk.OVERLAP}.0))::INT AS last, text FROM documents WHERE length(text) > 0),
@@ -553,5 +588,9 @@ ORACLE_SQL = {
     "point_lookup": "SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8, 1000000000)",
     "semi_join_lookup": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "context_format": "WITH d AS (SELECT doc_id % 20 AS query_id, doc_id // 20 + 1 AS rank, 1 / (doc_id + 1.3)::DOUBLE AS r, substr(text, 1, 30) AS t, source, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'Unknown' END AS st FROM documents WHERE doc_id < 60) SELECT query_id, string_agg('[Chunk ' || rank || ' - Relevance Score: ' || printf('%.4f', r) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS context, string_agg('[' || rank || '] ' || source || ' (start ' || st || ')', chr(10) ORDER BY rank) AS citations FROM d GROUP BY query_id",
+    "corpus_stats": "WITH t AS (SELECT len(regexp_extract_all(lower(text), '[\\pL\\pN\\pM_][\\pL\\pN\\pM_]+')) AS n FROM documents) SELECT count(*) AS chunks, min(n) AS min_tokens, max(n) AS max_tokens, round(avg(n), 6) AS avg_tokens FROM t",
+    "chapter_counts": "SELECT (doc_id % 12)::INT AS chapter_no, count(*) AS articles FROM documents GROUP BY 1",
+    "payload_flatten": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 25) WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS content, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS metadata FROM documents",
+    "retrieval_stats": f"WITH {_BASE_SQL}, near AS (SELECT vec_id, source, 'label' || label AS component FROM e JOIN documents ON doc_id = vec_id ORDER BY d, vec_id LIMIT 50), k AS (SELECT * FROM near WHERE component IN {_TARGET_SQL} OR NOT EXISTS (SELECT 1 FROM near WHERE component IN {_TARGET_SQL})) SELECT (SELECT count(*) FROM near) AS total_candidates, count(*) AS after_component_filter, count(DISTINCT source) AS unique_parents_found, least(3, count(DISTINCT source)) AS returned_parents FROM k",
     "summary_fallback": "WITH c AS (SELECT conv_id, upper(role) || ': ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations) SELECT conv_id, 'Case ' || conv_id || chr(10) || string_agg('- ' || l, chr(10) ORDER BY i) AS summary FROM c WHERE i <= 3 GROUP BY conv_id",
 }

@@ -169,3 +169,19 @@ def test_stream_upserts(spark, tmp_path):
     for _ in range(2):
         upsert_stream(landing(spark, str(tmp_path / "in")), rows, store, "source", str(tmp_path / "cp")).awaitTermination()
         assert store.count() == 1
+
+
+def test_classification_given(spark, tmp_path):
+    given = {"vector_query": "q", "legal_domains": ["a"]}
+    (tmp_path / "c.json").write_text(json.dumps(given))
+    for form in (given, json.dumps(given), str(tmp_path / "c.json")):
+        assert pipelines.classification_given(spark, form).first().vector_query == "q"
+    with pytest.raises(ValueError):
+        pipelines.classification_given(spark, "nonsense")
+
+
+def test_token_chunks_with_language(spark):
+    df = spark.createDataFrame([("f.txt", "h", "A sentence of six words here. " * 300)], "file_name string, file_hash string, text string")
+    rows = pipelines.token_chunked(df, EMBED, "hashed", detect=lambda t: "en").collect()
+    assert len(rows) > 1 and all(500 <= r.token_count <= 800 and r.language == "en" and r.embedding_dim == 16 for r in rows)
+    assert [r.chunk_number for r in rows] == list(range(1, len(rows) + 1))
