@@ -48,7 +48,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 200, 2000),
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("stop_words", "n_stop_kinds", "one", 200, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 40),  # one of three lines may come again
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
 )
