@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Hash buckets of a distributed ranking. A ranking task holds about rows/1024
 #: of one group, however hot the group is.
 RANK_BUCKETS = 1024
+#: Edges (16 bytes each) whose components one task may find.
+SMALL_GRAPH = 1_000_000
 
 _OWN: dict[str, str] = {}
 
@@ -93,29 +98,52 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str) -> D
     return out.withColumn(rank, (F.col(rank) + F.col(start)).cast("long")).drop(b, start)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of a partition: hooking to least labels and pointer jumping."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate([x for p in parts for x in p]), return_inverse=True)
+    cuts = np.cumsum([0, *[len(x) for p in parts for x in p]])
+    ends = [at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    u, v = np.concatenate(ends[::2]), np.concatenate(ends[1::2])
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[u], label[v]
+        if (x == y).all():
+            break
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root) of every node in ``edges``; root is the least node reachable.
 
-    Alternating large-star and small-star rounds. Each takes the least
-    neighbour of every node with a pre-aggregated min and joins it back, so a
-    node with very many links costs no task more than its share: min combines
-    on the map side and the join may be split by adaptive execution. Every
-    round is staged on shared storage. Ends when a round changes nothing.
+    Up to ``small`` distinct edges, counted first, are joined up in one task of
+    bounded size. More take alternating large-star and small-star rounds: each
+    takes the least neighbour of every node with a pre-aggregated min and joins
+    it back, so a node with very many links costs no task more than its share.
+    Every round is staged on shared storage; rounds end when one changes
+    nothing. Both ways are exact.
     """
-    spark = edges.sparkSession
     now = stage(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u <> v").distinct(), "edges")
+    if now.count() <= small:
+        return stage(now.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
     seen = None
     while True:
         # large-star: larger neighbours of each node point to its least neighbour
-        both = now.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(now.select(F.col("u").alias("n"), F.col("v").alias("m")))
+        both = now.select(F.explode(F.array(F.struct(F.col("v").alias("n"), F.col("u").alias("m")), F.struct(F.col("u").alias("n"), F.col("v").alias("m")))).alias("e")).select("e.*")
         least = counted(both.groupBy("n").agg(F.min("m").alias("r")).withColumn("r", F.least("r", "n")))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("v"), F.col("r").alias("u"))
-        large = large.unionByName(least.where("n > r").select(F.col("n").alias("v"), F.col("r").alias("u"))).where("u <> v").distinct()
+        large = stage(large.unionByName(least.where("n > r").select(F.col("n").alias("v"), F.col("r").alias("u"))).where("u <> v"), "edges")
         # small-star: smaller neighbours of each node, and it, point to the least of them
-        large = stage(large, "edges")
         low = counted(large.groupBy("v").agg(F.min("u").alias("r")))
-        small = large.join(low, "v").select(F.col("u").alias("v"), F.col("r").alias("u")).where("u <> v")
-        now = stage(small.unionByName(low.select("v", F.col("r").alias("u"))).distinct(), "edges")
+        less = large.join(low, "v").select(F.col("u").alias("v"), F.col("r").alias("u")).where("u <> v")
+        now = stage(less.unionByName(low.select("v", F.col("r").alias("u"))).distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
