@@ -55,18 +55,24 @@ def _forests(table: pa.Table, what: Callable) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def in_parts(members: DataFrame, weight: Column, what: Callable) -> DataFrame:
+def in_parts(members: DataFrame, weight: Column, what: Callable, count: str | None = None, total: int | None = None) -> DataFrame:
     """Edges (a, b) that ``what`` finds in groups of ``members`` (root, space, sid, ...), part against part.
 
     Small groups share a task; a group of more than a part is dealt into parts
-    by hash, and every two parts meet in a task of their own.
+    by hash, and every two parts meet in a task of their own. A group's size
+    and weight are counted first, unless ``count`` names a column that has the
+    size already and all members of a group weigh the same; ``total`` is how
+    many members there are, if that is known.
     """
-    size = members.groupBy("root", "space").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
-    size = size.where("c > 1").select("root", "space", F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("w") / PART_BYTES)).cast("int").alias("parts"))
-    rows = members.join(size, ["root", "space"])
-    bins = max(1, members.count() // BIN)
+    if count:
+        rows = members.withColumn("parts", F.greatest(F.ceil(F.col(count) / PART), F.ceil(F.col(count) * weight / PART_BYTES)).cast("int")).drop(count)
+    else:
+        size = members.groupBy("root", "space").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
+        size = size.where("c > 1").select("root", "space", F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("w") / PART_BYTES)).cast("int").alias("parts"))
+        rows = members.join(size, ["root", "space"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("a", F.least("part", "to")).withColumn("b", F.greatest("part", "to"))
-    gid = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root", "space"), F.lit(bins))).otherwise(F.xxhash64("root", "space", "a", "b"))
-    extra = [c for c in members.columns if c not in ("root", "space", "sid")]
+    bins = max(1, (total if total is not None else members.count()) // BIN)
+    gid = F.when(F.col("parts") == 1, F.xxhash64("root", "space") % bins).otherwise(F.xxhash64("root", "space", "a", "b"))
+    extra = [c for c in members.columns if c not in ("root", "space", "sid", count)]
     return rows.select(gid.alias("gid"), "root", "space", "a", "b", "part", "sid", *extra).groupBy("gid").applyInArrow(lambda t: _forests(t, what), "a long, b long")

@@ -12,17 +12,17 @@ with Jaccard >= t differ in at most D = (n1 + n2) (1 - t) / (1 + t) shingles.
    agrees on E + 1 blocks or more. A block's bits are sent as a 64-bit key (XOR of
    the codes of its toggled bits). Empty blocks say nothing and are not sent,
    unless a set has more than E of them; so a pair still shares a key.
-3. Sets that share a key are linked to the least of them (no pairs), which
-   gives candidate groups.
-4. In groups, folded sketches are compared in parts of a bounded size, each part
-   against each (``groups``); pairs whose Hamming distance is at most D span smaller
-   groups.
-5. In those, exact intersections (a product of 0/1 matrices) decide links.
+3. Sets that share a key are compared by folded sketches, in parts of a bounded
+   size, each part against each (``groups``). A key that only common passages
+   made links nothing, as unlike sets' sketches are far apart.
+4. Pairs whose Hamming distance is at most D give candidate groups; each part
+   returns a spanning forest of them, not the pairs.
+5. In groups, exact intersections (a product of 0/1 matrices) decide links.
    Each block returns a spanning forest of its links, not the pairs.
 6. Connected components join the forests.
 
 Copies are one set from step 1 on: they share a key of the whole set. No group
-is ever one task; steps 4 and 5 see two parts at a time. Sets are told apart by
+is ever one task; steps 3 and 5 see two parts at a time. Sets are told apart by
 64-bit hashes (chance of any clash among 10^8 sets: 0.0003).
 
 Defined results: a null, empty or blank text has an empty set and is linked
@@ -65,7 +65,7 @@ class Bands:
         empty = base * np.exp(-self.lo / base)
         self.empty = np.where(most == 0, 0, np.ceil(empty + 4 * np.sqrt(empty))).astype(np.int64)
         self.blocks = most + 1 + self.empty
-        self.words = np.maximum(2, (2 * top + 63) // 64)
+        self.words = np.maximum(2, (top + 63) // 64)  # a bit a shingle, or more
 
     def differ(self, a, b):
         return (a + b) * (100 - self.percent) // (100 + self.percent)
@@ -173,6 +173,16 @@ def _near(group: dict[str, list], left: int, bands: Bands) -> Iterator[tuple[int
         yield i, j[far <= bands.differ(n[i], n[j])]
 
 
+def _near_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        size = np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * bands.percent
+        most = bands.differ(n1, n2)
+        word = lambda c, i: np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64)  # noqa: B023, E731
+        ok = [bool(size[i]) and int(np.bitwise_count(word(4, i) ^ word(5, i)).sum()) <= most[i] for i in range(batch.num_rows)]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 def _linked(group: dict[str, list], left: int, bands: Bands) -> Iterator[tuple[int, np.ndarray]]:
     """For each i, the j > i with Jaccard at or over the threshold; exact."""
     sets = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"]]
@@ -201,16 +211,20 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     bands = Bands(percent)
     rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
     sk = stage(rows.mapInArrow(lambda b: _sketches(b, width, bands), _SKETCH), "sketches")
-    # 2, 3: keys that occur twice, and the least set of each
+    # 2: keys of two sets or more
     keys = sk.select("sid", F.explode("keys").alias("key"))
     twice = counted(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
-    shared = stage(keys.join(twice, "key"), "shared")
-    least = counted(shared.groupBy("key").agg(F.min("sid").alias("least")))
-    stars = shared.join(least, "key").where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
-    groups = components(stars.distinct())
-    # 4: sketches within the bound
-    once = sk.where("sid is not null").select(F.col("sid").alias("node"), "space", "n", "sketch").join(groups, "node").groupBy("root", "space", F.col("node").alias("sid")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = in_parts(stage(once, "candidates"), F.octet_length("sketch"), lambda g, left: _near(g, left, bands))
+    shared = stage(keys.join(twice, "key").distinct(), "shared")
+    seen = counted(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("c > 1"))
+    code = stage(sk.where("sid is not null").groupBy("sid", "space").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "codes")
+    # 3: most keys have two sets, which are a pair at once, and the same pair from many keys is one
+    pairs = seen.where("c = 2").select("a", "b").distinct().join(code.select(F.col("sid").alias("a"), "space", F.col("n").alias("n1"), F.col("sketch").alias("x")), "a")
+    pairs = pairs.join(code.select(F.col("sid").alias("b"), "space", F.col("n").alias("n2"), F.col("sketch").alias("y")), ["b", "space"])
+    pairs = pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(lambda it: _near_pairs(it, bands), "a long, b long")
+    more = seen.where("c > 2")
+    members = shared.join(more.select(F.col("key"), F.col("c").alias("size")), "key").join(code, "sid").select(F.col("key").alias("root"), "space", "sid", "n", "sketch", "size")
+    total = more.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    near = in_parts(members, F.octet_length("sketch"), lambda g, left: _near(g, left, bands), "size", total).unionByName(pairs)
     groups = stage(components(near), "groups")
     # 5: exact; one document of each set gives its text
     named = sk.where("own and sid is not null").join(groups.withColumnRenamed("node", "sid"), "sid").groupBy("sid").agg(F.min(F.struct("ka", "kb")).alias("k")).select("sid", "k.ka", "k.kb")

@@ -184,9 +184,10 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     pairs = seen.where("c = 2").select("a", "b").distinct()
     pairs = pairs.join(code.select(F.col("lid").alias("a"), F.col("blocks").alias("x")), "a").join(code.select(F.col("lid").alias("b"), F.col("blocks").alias("y")), "b")
     pairs = pairs.select("a", "b", "x", "y").mapInArrow(_near_pairs, "a long, b long")
-    shared = stage(keys.join(seen.where("c > 2").select("root"), "root"), "shared")
-    members = shared.join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "blocks")
-    near = in_parts(members, F.octet_length("blocks"), _near).unionByName(pairs)
+    more = seen.where("c > 2")
+    members = keys.join(more.select("root", F.col("c").alias("size")), "root").join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "blocks", "size")
+    total = more.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    near = in_parts(members, F.octet_length("blocks"), _near, "size", total).unionByName(pairs)
     groups = components(near).withColumnRenamed("node", "lid")
     wanted = once.join(groups, "lid").select("lid", "root", "at.ka", "at.kb", "at.line")
     wanted = stage(wanted, "wanted")
