@@ -64,10 +64,12 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", source: str = "source", weight
     follows the square root of its size (temperature sampling), at least 1,
     about RESOLUTION in all. New names that clash get underscores in front.
     """
-    k, rank, block, slot, pos, seat = fresh(docs, "source_key", "rank_", "block", "slot", position, "seat_")
-    keyed = docs.withColumn(k, F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit(""))))
-    others = [c for c in docs.columns if c != id]
-    place = ranked(keyed, [k], [F.col(id), F.xxhash64(*others)] if others else [F.col(id)], rank)
+    named = fresh(docs, "block", "slot", position)
+    k, rank, block, slot, pos = "source_key", "rank_", "block", "slot", "position"
+    # a row travels whole in a struct, so its column names meet none of those used here
+    key = F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit("")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id).alias("id_"), F.xxhash64(*docs.columns).alias("hash_"), key.alias(k))
+    place = ranked(keyed, [k], [F.col("id_"), F.col("hash_")], rank)
     # one row a source from here to the schedule
     sizes = keyed.groupBy(k).agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
     if weights is None:
@@ -106,7 +108,7 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", source: str = "source", weight
     df = df.join(t, ["stretch_", k, "j_"]).withColumn(slot, F.col("before_") + F.col("at_"))
     gaps = F.aggregate(F.filter("short_", lambda x: x["s"] < F.col(slot)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     df = df.withColumn(pos, F.col(slot) * block_rows + F.col(rank) % block_rows - gaps)
-    return df.select(*docs.columns, F.col(block), F.col(slot), F.col(pos))
+    return df.select("row_.*", *[F.col(c).alias(name) for c, name in zip((block, slot, pos), named, strict=True)])
 
 
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:

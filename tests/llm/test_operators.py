@@ -110,7 +110,7 @@ def edf(sizes, weights):
 
 def test_mixing(spark, docs, none):
     weights = {"a": 5, "b": 3, None: 2, "c": 1}
-    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 8, "b").when(F.col("id") % 10 < 9, "c").alias("source"), F.lit("x").alias("slot"))
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 8, "b").when(F.col("id") % 10 < 9, "c").alias("source"), F.lit("x").alias("slot"), F.lit("y").alias("all_"), F.lit("z").alias("rank_"))
     rows = mixing.mixed(df, weights=weights, block_rows=7).collect()
     names = lambda s: "n" if s is None else f"s{s}"
     sizes = {k: -(-n // 7) for k, n in Counter(names(r.source) for r in rows).items()}
