@@ -8,6 +8,7 @@ the last returns every document's shard and slot.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.llm import decontam, jaccard, mixing, quality, sharding
 from scriptorium.llm.common import stage
@@ -34,8 +35,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dealt(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document."""
-    return sharding.labelled(sharding.sharded(docs))
+    """Shard and slot of every document; the slots of a shard follow the mix.
+
+    Parquet promises no order of rows, so the place in the mix is worked out
+    again here, from the documents alone, as the stage before did.
+    """
+    rows = sharding.measured(docs, "source", F.xxhash64(*docs.columns).alias("tie"))
+    return sharding.labelled(sharding.dealt(mixing.mixed(rows, tie="tie"), position="position"))
 
 
 STAGES = [("quality rules", good), ("n-gram Jaccard join", unlike), ("benchmark decontamination", clean), ("source mixing", mixed), ("sharding", dealt)]

@@ -80,17 +80,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, bucket: Column | None = None) -> DataFrame:
     """Add ``rank``: 0, 1, ... within each ``group``, without one task per group.
 
     Rows of a group are dealt into hash buckets of the ``order`` columns and
     ranked by (bucket, order). Only (group, bucket) pairs form a window;
     bucket offsets come from a pre-aggregated table of at most
     ``RANK_BUCKETS`` rows a group. ``group`` columns must not be null.
+    ``bucket``: 0 .. RANK_BUCKETS - 1, rising with ``order`` if ranks have to follow it.
     """
     b, start = fresh(df, "bucket", "start")
     # dealt by bucket here, or Spark would keep a partitioning by group that df may have
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int")).repartition(*group, b)
+    bucket = F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)) if bucket is None else bucket
+    df = df.withColumn(b, bucket.cast("int")).repartition(*group, b)
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias(start)).withColumn(start, F.coalesce(F.sum(start).over(before), F.lit(0)))
     inside = Window.partitionBy(*group, b).orderBy(*order)

@@ -57,18 +57,19 @@ def _schedule(jobs: Column, total: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), total - 1), step, take, lambda a: a["out"])
 
 
-def mixed(docs: DataFrame, *, id: str = "doc_id", source: str = "source", weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, position: str = "position") -> DataFrame:
+def mixed(docs: DataFrame, *, id: str = "doc_id", source: str = "source", weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, position: str = "position", tie: str | None = None) -> DataFrame:
     """``docs`` with ``slot`` (of the document's block) and ``position`` (gapless from 0).
 
     ``weights``: whole numbers by source. Without them, a source's weight
     follows the square root of its size (temperature sampling), at least 1,
     about RESOLUTION in all. New names that clash get underscores in front.
+    ``tie``: the column that orders rows of equal id; without it, a hash of the row.
     """
     named = fresh(docs, "block", "slot", position)
     k, rank, block, slot, pos = "source_key", "rank_", "block", "slot", "position"
     # a row travels whole in a struct, so its column names meet none of those used here
     key = F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    keyed = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id).alias("id_"), F.xxhash64(*docs.columns).alias("hash_"), key.alias(k))
+    keyed = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id).alias("id_"), (F.col(tie) if tie else F.xxhash64(*docs.columns)).alias("hash_"), key.alias(k))
     place = ranked(keyed, [k], [F.col("id_"), F.col("hash_")], rank)
     # one row a source from here to the schedule
     sizes = keyed.groupBy(k).agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))

@@ -108,17 +108,34 @@ def balanced_shards(nodes: DataFrame, *, id: str, group: str, shards: int = SHAR
     return kept.unionByName(rest.select(*kept.columns)).drop(g)
 
 
-def sharded(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """(id, size, text_crc32, shard, slot) of every row of ``docs``; groups are equal texts."""
+def measured(docs: DataFrame, *more: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, equal) of every row of ``docs``, and ``more``: what sharding reads instead of texts."""
     raw = F.col(text).cast("binary")
     equal = F.when(F.col(text).isNull(), "null").otherwise(F.sha2(raw, 256))
     size = (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long")
     crc = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.crc32(raw))
-    nodes = docs.select(F.col(id).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), equal.alias("equal"), F.monotonically_increasing_id().alias("row"))
-    nodes = stage(nodes, "rows")
+    return docs.select(F.col(id).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), equal.alias("equal"), *more)
+
+
+def dealt(nodes: DataFrame, *, shards: int = SHARDS, position: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of ``measured`` rows.
+
+    ``position``: a column, gapless from 0, that every shard's slots follow;
+    without it they follow a hash of the id.
+    """
+    nodes = stage(nodes.withColumn("row", F.monotonically_increasing_id()), "rows")
     placed = balanced_shards(nodes, id="row", group="equal", shards=shards)
-    out = ranked(placed, ["shard"], [F.xxhash64("doc_id"), F.col("row")], "slot")
-    return out.select(F.col("doc_id").alias(id), "size", "text_crc32", "shard", "slot")
+    if position is None:
+        out = ranked(placed, ["shard"], [F.xxhash64("doc_id"), F.col("row")], "slot")
+    else:
+        part = F.floor(F.col(position) * RANK_BUCKETS / F.lit(max(1, nodes.count())))
+        out = ranked(placed, ["shard"], [F.col(position)], "slot", part)
+    return out.select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """(id, size, text_crc32, shard, slot) of every row of ``docs``; groups are equal texts."""
+    return dealt(measured(docs, id=id, text=text), shards=shards).withColumnRenamed("doc_id", id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 
 import __spark_entry__ as entry
@@ -39,6 +41,26 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == len(dealt)
 
 
+def test_slots_follow_the_mix(spark, tmp_path):
+    from scriptorium.llm import mixing
+    from tests.llm.conftest import DOCS
+
+    rows = [(i, f"text {i}", "en", "abbcccc"[i % 7], 1) for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (5, "another", "en", "a", 1), (None, None, None, None, None)], DOCS)
+    place = {(r["doc_id"], r["text"]): r["position"] for r in mixing.mixed(docs).collect()}
+    crc = {(i, zlib.crc32((t or "").encode()) if t else 0): p for (i, t), p in place.items()}
+    corpus_pipeline.mixed(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    # read in another order: Parquet promises none
+    out = corpus_pipeline.dealt(spark, spark.read.parquet(f"{tmp_path}/mixed").repartition(7), "").collect()
+    assert len(out) == len(rows) + 2
+    shards = {}
+    for r in sorted(out, key=lambda r: (r["shard"], r["slot"])):
+        shards.setdefault(r["shard"], []).append((r["slot"], crc[r["doc_id"], r["text_crc32"]]))
+    for got in shards.values():
+        assert [s for s, _ in got] == list(range(len(got)))
+        assert [p for _, p in got] == sorted(p for _, p in got)
+
+
 def test_registered():
     for n in range(1, 11):
         assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
