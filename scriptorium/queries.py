@@ -237,8 +237,9 @@ def chunk_tokens(spark, sf):
 
 
 def chunk_chapters(spark, sf):
-    d = table(spark, sf, "documents").groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("doc_id") < 40, F.struct("doc_id", "text")))), lambda x: F.concat(F.lit("CHAPTER "), x["doc_id"].cast("string"), F.lit("\n"), x["text"])), "\n").alias("book"))
-    return d.select("lang", F.posexplode(chunk.chapters(F.col("book"))).alias("part", "body"))
+    """Each document as a book in which every line opens a chapter."""
+    book = F.concat(F.lit("CHAPTER "), F.replace(F.col("text"), F.lit("\n"), F.lit("\nCHAPTER ")))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.chapters(book)).alias("part", "body"))
 
 
 # keyword and hybrid
@@ -426,7 +427,7 @@ def ingest_status(spark, sf):
 
 def article_order(spark, sf):
     d = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("A"))).otherwise(F.col("doc_id").cast("string")).alias("number"))
-    return d.orderBy(*articles.numeric_first("number")).limit(100)
+    return d.orderBy(*articles.numeric_first("number"))
 
 
 # store
@@ -472,7 +473,9 @@ def semi_join_lookup(spark, sf):
 
 
 def context_format(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 60").select((F.col("doc_id") % 20).alias("query_id"), (F.floor(F.col("doc_id") / 20) + 1).cast("int").alias("rank"), (1 / (F.col("doc_id") + 1.3).cast("double")).alias("rerank"), F.substring("text", 1, 30).alias("text"), "source", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("int")).alias("start_index"))
+    """Every three documents, whole, as the hits of one query."""
+    rank = (F.col("doc_id") % 3 + 1).cast("int")
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("query_id"), rank.alias("rank"), (1 / (F.col("doc_id") + 1.3).cast("double")).alias("rerank"), "text", "source", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("int")).alias("start_index"))
     return pipelines.context(d)
 
 
