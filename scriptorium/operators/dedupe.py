@@ -23,10 +23,16 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / most).otherwise(0.0)
 
 
+def _alike(a: Column, b: Column, threshold: float) -> Column:
+    """``overlap`` over the threshold; sets whose sizes rule that out are not intersected."""
+    near = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b)) > threshold
+    return F.when(near, overlap(a, b) > threshold).otherwise(False)
+
+
 def greedy(ranked: DataFrame, *, group: str, rank: str, id: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """(group, id, rank) of the chunks that stay."""
     item = F.struct(F.col(rank).alias("rank"), F.col(id).alias("id"), word_set(F.col(text)).alias("words"))
     lists = ranked.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
-    kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x["words"], y["words"]) > threshold), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: _alike(x["words"], y["words"], threshold)), acc).otherwise(F.concat(acc, F.array(x))))
     return lists.select(group, F.explode(kept).alias("x")).select(group, F.col("x.id").alias(id), F.col("x.rank").alias(rank))

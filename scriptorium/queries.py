@@ -286,9 +286,9 @@ k AS (SELECT doc_id, sum(w.w / norms.n * qw.w / qn.n) AS keyword FROM w JOIN qw
 
 
 def dedupe_greedy(spark, sf):
-    """Each source's documents, by id, as a ranked list of the hundred first words."""
-    d = table(spark, sf, "documents").select("source", "doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 100), " ").alias("head"))
-    return dedupe.greedy(d.withColumn("rank", F.col("doc_id")), group="source", rank="rank", id="doc_id", text="head").select("source", "doc_id")
+    """Each source's documents, by id, as a ranked list of whole texts."""
+    d = table(spark, sf, "documents").select("source", "doc_id", "text", F.col("doc_id").alias("rank"))
+    return dedupe.greedy(d, group="source", rank="rank", id="doc_id", text="text").select("source", "doc_id")
 
 
 # parsing

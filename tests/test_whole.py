@@ -35,3 +35,20 @@ def test_context_format(spark, texts):
     for k, r in sorted(texts.items()):
         want.setdefault(k // 3, []).append(f"[Chunk {k % 3 + 1} - Relevance Score: {1 / (k + 1.3):.4f}]\n{r['text']}")
     assert {r["query_id"]: r["context"] for r in queries.context_format(spark, SF).collect()} == {k: "\n\n".join(v) for k, v in want.items()}
+
+
+def test_dedupe_greedy(spark, texts):
+    kept = {}
+    for k, r in sorted(texts.items()):
+        own = set(r["text"].lower().split())
+        rest = kept.setdefault(r["source"], [])
+        if not any(len(own & w) / max(len(own), len(w)) > 0.7 for _, w in rest if own and w):
+            rest.append((k, own))
+    assert sorted((r["source"], r["doc_id"]) for r in queries.dedupe_greedy(spark, SF).collect()) == sorted((s, k) for s, v in kept.items() for k, _ in v)
+
+
+def test_dedupe_greedy_sees_whole_texts(spark, tmp_path):
+    head = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, head + " " + " ".join(f"a{i}" for i in range(100)), "en", "s", 1), (2, head + " " + " ".join(f"b{i}" for i in range(100)), "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.dedupe_greedy(spark, str(tmp_path)).count() == 2
