@@ -2,7 +2,8 @@
 
 1. Lines are normalised (A-Z lower-cased, runs of other than digits, letters
    and non-ASCII become one space). Lines under ``MIN_WORDS`` words are left
-   alone. Equal normalised lines are one line from here on.
+   alone, or with ``short`` compared for equality only. Equal normalised lines
+   are one line from here on.
 2. A line's SimHash has ``BLOCKS`` blocks of ``BITS`` bits over its words. Two
    lines within BLOCKS - 1 bits agree on a block; others may, too: lines that
    differ in one word of 40 do in about five cases of six, in one of 100
@@ -16,8 +17,8 @@
    bound leaves out most others without computing a distance.
 5. Of every connected group the first occurrence, by (id, line), stays.
 
-Defined results: null and empty texts have no lines to judge; blank and short
-lines stay; a document that loses lines keeps the others in order; ties
+Defined results: null and empty texts have no lines to judge; blank lines stay, and
+short ones without ``short``; a document that loses lines keeps the others in order; ties
 between equal ids go to the lesser text hash; rows equal in id and text are
 one document to the comparison, so they lose the same lines; an empty table
 gives an empty result; other columns pass through, whatever their names.
@@ -77,27 +78,28 @@ def simhash(sym: np.ndarray, count: np.ndarray) -> np.ndarray:
     return (high >> np.uint32(32 - BITS)).astype(">u4")
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ka, kb, line, lid, blocks as bytes) of every line that is judged."""
+def _lines(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
+    """(ka, kb, line, lid, blocks as bytes) of every line that is judged; short lines have no blocks."""
     for batch in batches:
         for first, texts in grouped(batch.column(2)):
             doc, at, lines = [], [], []
             for i, t in enumerate(texts):
                 for j, line in enumerate(t.split(b"\n")):
                     line = normal(line)
-                    if line.count(b" ") >= MIN_WORDS - 1:
+                    if line and (short or line.count(b" ") >= MIN_WORDS - 1):
                         doc.append(first + i)
                         at.append(j)
                         lines.append(line)
             if not lines:
                 continue
-            sym, count = word_symbols(lines)
-            blocks = simhash(sym, count)
+            long = [x for x in lines if x.count(b" ") >= MIN_WORDS - 1]
+            codes = iter(simhash(*word_symbols(long)) if long else ())
+            blocks = [next(codes).tobytes() if x.count(b" ") >= MIN_WORDS - 1 else None for x in lines]
             joined = np.frombuffer(b"".join(lines), dtype=np.uint8)
             size = np.array([len(x) for x in lines])
             lid = mix(ranges(prefix(BYTE[joined]), np.cumsum(size) - size, size) + size.astype(np.uint64)).view(np.int64)
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(lid), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["ka", "kb", "line", "lid", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(lid), pa.array(blocks, pa.binary())], names=["ka", "kb", "line", "lid", "blocks"])
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -169,12 +171,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x["lid"] for x in got], pa.int64()), pa.array([normal(lines[x["line"]]) for x in got], pa.binary())], names=["lid", "text"])
 
 
-def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """(ka, kb, gone): for each document that loses any, the numbers of its lines that repeat an earlier one."""
     rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
-    lines = stage(rows.mapInArrow(_lines, "ka long, kb long, line int, lid long, blocks binary"), "lines")
+    lines = stage(rows.mapInArrow(lambda b: _lines(b, short), "ka long, kb long, line int, lid long, blocks binary"), "lines")
     # a line that occurs often is met once a task from here on
-    once = lines.groupBy("lid").agg(F.first("blocks").alias("blocks"), F.min(F.struct("ka", "kb", "line")).alias("at"))
+    once = lines.where("blocks is not null").groupBy("lid").agg(F.first("blocks").alias("blocks"), F.min(F.struct("ka", "kb", "line")).alias("at"))
     once = stage(once, "distinct")
     number = lambda k: F.conv(F.hex(F.substring("blocks", 4 * k + 1, 4)), 16, 10).cast("long")
     keys = once.select("lid", F.explode(F.array(*[F.lit(k << 32) + number(k) for k in range(BLOCKS)])).alias("root"))
@@ -205,7 +207,7 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     return gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
 
 
-def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the lines that stay in ``text``, ``n_lines``, ``n_removed`` and the numbers of ``removed_lines``.
 
     New names that clash get underscores in front.
@@ -213,7 +215,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     a, b, gone, before = fresh(docs, "key_a", "key_b", "gone_", "lines_")
     total, lost, which = fresh(docs, "n_lines", "n_removed", "removed_lines")
     out = docs.withColumn(a, F.xxhash64(id)).withColumn(b, F.xxhash64(text))
-    found = repeated_lines(docs, id=id, text=text).select(F.col("ka").alias(a), F.col("kb").alias(b), F.sort_array("gone").alias(gone))
+    found = repeated_lines(docs, id=id, text=text, short=short).select(F.col("ka").alias(a), F.col("kb").alias(b), F.sort_array("gone").alias(gone))
     out = out.join(found, [a, b], "left").withColumn(before, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(before, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     out = out.withColumn(text, kept).withColumn(total, F.size(before).cast("long")).withColumn(lost, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
@@ -221,5 +223,5 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

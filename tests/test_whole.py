@@ -52,3 +52,14 @@ def test_dedupe_greedy_sees_whole_texts(spark, tmp_path):
     rows = [(1, head + " " + " ".join(f"a{i}" for i in range(100)), "en", "s", 1), (2, head + " " + " ".join(f"b{i}" for i in range(100)), "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.dedupe_greedy(spark, str(tmp_path)).count() == 2
+
+
+def test_short_lines(spark, tmp_path):
+    from scriptorium.llm import lines
+
+    long = "one line of more than five words that is only here"
+    rows = [(1, f"{long}\nAll rights reserved.\n\nLes."), (2, "Les!\nall rights  reserved\n\n今日は良い天気ですね"), (3, "今日は良い天気ですね\nLesser"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["removed_lines"] for r in lines.without_repeats(spark.read.parquet(f"{tmp_path}/documents.parquet"), short=True).collect()}
+    assert out == {1: [], 2: [0, 1], 3: [0], 4: []}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1, 4: 0}
