@@ -306,9 +306,12 @@ def parse_metadata(spark, sf):
 
 
 def _reply() -> Column:
-    t = lambda a: F.replace(F.substring("text", a, 60), F.lit("\n"), F.lit("\n\n\n\n"))
-    last = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("\n## Section 5 : Conclusion\n"), t(200)))
-    return F.concat(F.lit("Intro\n## SECTION 0: METADATA\n"), F.col("source"), F.lit("\n# Section 1 - Facts\n"), t(1), F.lit("\nSECTION 2: ISSUES "), t(60), F.lit("\nSECTION 3: RULES\n"), t(100), F.lit("\n### SECTION 4: APPLICATION\n"), t(150), last)
+    # the whole text, in as many even parts as there are sections with a body
+    bodies = F.when(F.col("doc_id") % 3 == 0, 4).otherwise(5)
+    size = F.ceil(F.length("text") / bodies).cast("int")
+    t = lambda k: F.replace(F.substring(F.col("text"), k * size + 1, size), F.lit("\n"), F.lit("\n\n\n\n"))
+    last = F.when(bodies == 4, F.lit("")).otherwise(F.concat(F.lit("\n## Section 5 : Conclusion\n"), t(4)))
+    return F.concat(F.lit("Intro\n## SECTION 0: METADATA\n"), F.col("source"), F.lit("\n# Section 1 - Facts\n"), t(0), F.lit("\nSECTION 2: ISSUES "), t(1), F.lit("\nSECTION 3: RULES\n"), t(2), F.lit("\n### SECTION 4: APPLICATION\n"), t(3), last)
 
 
 _T = "replace(substr(text, {}, 60), chr(10), chr(10) || chr(10) || chr(10) || chr(10))"
@@ -348,7 +351,7 @@ def classification(spark, sf):
 def _statute() -> Column:
     def line(x: Column, i: Column) -> Column:
         n = (F.floor(i / 4) + 1).cast("string")
-        return F.when(i % 11 == 0, F.concat(F.lit("CHAPTER "), i.cast("string"), F.lit("\n\n"), F.substring(x, 1, 20))).when(i % 7 == 3, F.concat(F.lit("Part "), i.cast("string"), F.lit(" – "), F.substring(x, 1, 15))).when(i % 2 == 1, F.concat(n, F.lit(". "), x)).otherwise(x)
+        return F.when(i % 11 == 0, F.concat(F.lit("CHAPTER "), i.cast("string"), F.lit("\n\n"), x)).when(i % 7 == 3, F.concat(F.lit("Part "), i.cast("string"), F.lit(" – "), x)).when(i % 2 == 1, F.concat(n, F.lit(". "), x)).otherwise(x)
 
     return F.array_join(F.transform(F.split("text", "\n"), line), "\n")
 
@@ -502,7 +505,7 @@ def chapter_counts(spark, sf):
 
 
 def payload_flatten(spark, sf):
-    field = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.substring("text", 1, 25).alias("content"), F.col("lang").alias("metadata")))).when(F.col("doc_id") % 3 != 0, F.col("source"))
+    field = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content"), F.col("lang").alias("metadata")))).when(F.col("doc_id") % 3 != 0, F.col("source"))
     content, metadata = parse.payload(field)
     return table(spark, sf, "documents").select("doc_id", content.alias("content"), metadata.alias("metadata"))
 

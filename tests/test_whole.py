@@ -63,3 +63,33 @@ def test_short_lines(spark, tmp_path):
     out = {r["doc_id"]: r["removed_lines"] for r in lines.without_repeats(spark.read.parquet(f"{tmp_path}/documents.parquet"), short=True).collect()}
     assert out == {1: [], 2: [0, 1], 3: [0], 4: []}
     assert {r["doc_id"]: r["n_removed"] for r in lines.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1, 4: 0}
+
+
+def _squeezed(text):
+    return "".join(text.split())
+
+
+def test_extract_sections(spark, texts):
+    for r in queries.extract_sections(spark, SF).collect():
+        body = "".join(r[c] for c in ("facts", "issues", "rules", "application", "conclusion"))
+        assert _squeezed(body) == _squeezed(texts[r["doc_id"]]["text"])
+
+
+def test_case_chunks(spark, texts):
+    length = {}
+    for r in queries.case_chunks(spark, SF).collect():
+        length[int(r["source_file_path"])] = length.get(int(r["source_file_path"]), 0) + r["content_length"]
+    assert all(length.get(k, 0) >= len(_squeezed(r["text"])) for k, r in texts.items())
+
+
+def test_payload_flatten(spark, texts):
+    got = {r["doc_id"]: r["content"] for r in queries.payload_flatten(spark, SF).collect()}
+    assert got == {k: r["text"] if k % 2 == 0 else r["source"] if k % 3 else "" for k, r in texts.items()}
+
+
+def test_article_segment_lines_are_whole(spark, texts):
+    bodies = {r["doc_id"]: r["body"] for r in queries.table(spark, SF, "documents").select("doc_id", queries._statute().alias("body")).collect()}
+    for k, r in texts.items():
+        rest = iter(bodies[k].split("\n"))
+        assert all(any(x.endswith(line) for x in rest) for line in r["text"].split("\n"))
+    assert queries.article_segment(spark, SF).count() > 0
