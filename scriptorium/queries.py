@@ -437,13 +437,16 @@ def article_order(spark, sf):
 
 
 def _stored(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.where("doc_id % 2 = 0").select("doc_id", "source", "text", F.when(F.col("doc_id") % 10 == 0, "old").otherwise(tx.text_hash(F.col("text"))).alias("hash"))
+    """Labelled documents, those of quality 0 with an outdated hash, and the pages, which no document replaces."""
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf, "documents").join(labels, "doc_id").select("doc_id", "source", "text", F.when(F.col("quality") == 0, "old").otherwise(tx.text_hash(F.col("text"))).alias("hash"))
+    p = table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("url").alias("source"), F.col("html").alias("text"), tx.text_hash(F.col("html")).alias("hash"))
+    return d.unionByName(p)
 
 
 def _incoming(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.where("doc_id % 3 = 0").select("doc_id", "source", F.concat(F.lit("new "), F.col("text")).alias("text"), tx.text_hash(F.col("text")).alias("hash"))
+    return d.select("doc_id", "source", F.concat(F.lit("new "), F.col("text")).alias("text"), tx.text_hash(F.col("text")).alias("hash"))
 
 
 def skip_existing(spark, sf):

@@ -93,3 +93,17 @@ def test_article_segment_lines_are_whole(spark, texts):
         rest = iter(bodies[k].split("\n"))
         assert all(any(x.endswith(line) for x in rest) for line in r["text"].split("\n"))
     assert queries.article_segment(spark, SF).count() > 0
+
+
+def test_store_sides(spark, texts):
+    quality = {}
+    for r in queries.table(spark, SF, "labels").collect():
+        quality[r["doc_id"]] = max(r["quality"], quality.get(r["doc_id"], 0))
+    stored = texts.keys() & quality.keys()
+    assert stored and texts.keys() - stored
+    assert sorted(r["doc_id"] for r in queries.skip_existing(spark, SF).collect()) == sorted(texts.keys() - stored)
+    status = {r["doc_id"]: r["status"] for r in queries.change_detection(spark, SF).collect()}
+    assert status == {k: "skipped" if k in stored and quality[k] else "ingested" for k in texts}
+    after = {r["doc_id"]: r["n"] for r in queries.upsert_by_group(spark, SF).collect()}
+    pages = {-1 - r["page_id"]: len(r["html"]) for r in queries.table(spark, SF, "pages").collect()}
+    assert after == {k: len(r["text"]) + 4 for k, r in texts.items()} | pages
