@@ -124,8 +124,10 @@ KNOWN, RULES = _dictionary()
 CLUES = (b"licen", b"free", b"public", b"copyright", b"warrant", b"under", b"redistribut", b"permission", b"rights", b"mozilla")
 assert all(any(c in s for c in CLUES) for s in KNOWN)
 
-_PARAGRAPHS = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n")
-_LINES = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+#: The point of "v. 2.0" ends no sentence.
+_VERSION = rb"(?!(?<=[^0-9a-z]v\.)[\x20\x09-\x0D]+[0-9])"
+_PARAGRAPHS = re.compile(rb"(?<=[.!?;:])" + _VERSION + rb"[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n")
+_LINES = re.compile(rb"(?<=[.!?])" + _VERSION + rb"[\x20\x09-\x0D]+|\n")
 
 
 def recognised(text: bytes) -> list[tuple[int, int, str]]:
