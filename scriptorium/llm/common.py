@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,6 +25,8 @@ RANK_BUCKETS = 1024
 SMALL_GRAPH = 1_000_000
 
 _OWN: dict[str, str] = {}
+#: Folders staged inside each open ``scope``, innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,18 +47,54 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage on storage that outlives any executor, and fixes
-    values such as ``monotonically_increasing_id`` for all later readers.
+    values such as ``monotonically_increasing_id`` for all later readers. The
+    shuffle files of the plan behind it are no longer needed, so they are let
+    go at once. The folder goes with the innermost ``scope``, or else with the
+    application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/scriptorium-{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, fs = _path(spark, top)
+    fs.deleteOnExit(at)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the folder of a staged frame that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        at, fs = _path(df.sparkSession, file)
+        fs.delete(at.getParent(), True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what operators staged inside, so write their results before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at, fs = _path(spark, path)
+            fs.delete(at, True)
+
+
 def counted(df: DataFrame) -> DataFrame:
     """Stage an aggregate that is about to be joined back to what it was made from.
 
@@ -141,11 +181,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_
         both = now.select(F.explode(F.array(F.struct(F.col("v").alias("n"), F.col("u").alias("m")), F.struct(F.col("u").alias("n"), F.col("v").alias("m")))).alias("e")).select("e.*")
         least = counted(both.groupBy("n").agg(F.min("m").alias("r")).withColumn("r", F.least("r", "n")))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("v"), F.col("r").alias("u"))
-        large = stage(large.unionByName(least.where("n > r").select(F.col("n").alias("v"), F.col("r").alias("u"))).where("u <> v"), "edges")
+        before, large = now, stage(large.unionByName(least.where("n > r").select(F.col("n").alias("v"), F.col("r").alias("u"))).where("u <> v"), "edges")
         # small-star: smaller neighbours of each node, and it, point to the least of them
         low = counted(large.groupBy("v").agg(F.min("u").alias("r")))
         less = large.join(low, "v").select(F.col("u").alias("v"), F.col("r").alias("u")).where("u <> v")
         now = stage(less.unionByName(low.select("v", F.col("r").alias("u"))).distinct(), "edges")
+        for done in (before, least, large, low):
+            unstage(done)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -154,4 +196,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_
     return roots.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-__all__ = ["SPACE", "components", "counted", "fresh", "ranked", "shared_dir", "stage", "words"]
+__all__ = ["SPACE", "components", "counted", "fresh", "ranked", "scope", "shared_dir", "stage", "unstage", "words"]

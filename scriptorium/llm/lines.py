@@ -1,32 +1,34 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 1. Lines are normalised (A-Z lower-cased, runs of other than digits, letters
-   and non-ASCII become one space). Lines under ``MIN_WORDS`` words are left
-   alone, or with ``short`` compared for equality only. Equal normalised lines
-   are one line from here on.
-2. A line's SimHash has ``BLOCKS`` blocks of ``BITS`` bits over its words. Two
-   lines within BLOCKS - 1 bits agree on a block; others may, too: lines that
-   differ in one word of 40 do in about five cases of six, in one of 100
-   almost always.
-3. Lines that agree on a block are compared by SimHash, part against part
-   (``groups``): only lines within ``NEAR`` bits are linked, so chance
-   agreement on a block, which grows with the corpus, links nothing. No pairs
+   and non-ASCII become one space). Equal normalised lines are one line from
+   here on. Its features are its words, or, if it has under ``MIN_WORDS`` of
+   them but ``MIN_CHARS`` bytes or more (scripts without spaces), its pairs of
+   adjacent characters. Shorter lines are compared for equality only.
+2. A line's SimHash is dealt into blocks: a feature votes in one block only, by
+   its hash. Lines whose features differ by fewer than there are blocks agree
+   on one at least (pigeonhole), however the votes fall. ``LEVELS`` has more
+   blocks for longer lines, so that a block holds a few features at any length;
+   lines near the end of a level, where a partner may be in the next, have the
+   blocks of both. Short lines' blocks count within lines of the same number of
+   features, or one more.
+3. Lines that agree on a block are compared by their whole SimHash, part against
+   part (``groups``): only lines within ``NEAR`` bits are linked. No pairs
    are made, only spanning forests; their components are candidate groups.
 4. In groups, part against part again, lines of edit similarity
    1 - distance / longer length >= ``SIMILARITY`` are linked; a byte-histogram
    bound leaves out most others without computing a distance.
 5. Of every connected group the first occurrence, by (id, line), stays.
 
-Defined results: null and empty texts have no lines to judge; blank lines stay, and
-short ones without ``short``; a document that loses lines keeps the others in order; ties
-between equal ids go to the lesser text hash; rows equal in id and text are
-one document to the comparison, so they lose the same lines; an empty table
-gives an empty result; other columns pass through, whatever their names.
+Defined results: null and empty texts have no lines to judge; blank lines stay;
+a document that loses lines keeps the others in order; ties between equal ids
+go to the lesser text hash; rows equal in id and text are one document to the
+comparison, so they lose the same lines; an empty table gives an empty result;
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,69 +39,150 @@ from pyspark.sql import types as T
 
 from scriptorium.llm.common import components, counted, fresh, stage
 from scriptorium.llm.groups import in_parts
-from scriptorium.llm.repeats import BYTE, grouped, mix, prefix, ranges, word_symbols
+from scriptorium.llm.repeats import digest, grouped, mix, word_symbols
 
-MIN_WORDS = 5
-BLOCKS, BITS = 14, 26
-#: Most differing SimHash bits (a quarter); unrelated lines differ in about half.
-NEAR = BLOCKS * BITS // 4
+MIN_WORDS, MIN_CHARS = 5, 32
+#: (most features, blocks) of each level of line length.
+LEVELS = ((12, 3), (30, 5), (80, 8), (160, 14), (400, 24), (1 << 40, 40))
+BITS = 128
+#: Most differing bits of whole SimHashes; unrelated lines differ in nearly half.
+NEAR = 40
 #: Percent of the longer line's length that must be left after the edit distance.
 SIMILARITY = 85
-#: Words whose bits are added up together.
-_STEP = 1 << 13
+#: Features whose bits are added up together.
+_STEP = 1 << 14
 
-_OTHER = re.compile(rb"[^0-9a-z\x80-\xff]+")
+#: A-Z to a-z; digits, letters, non-ASCII and line ends as they are; else a space.
+_PLAIN = bytes(c if c >= 128 or c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def normal(line: bytes) -> bytes:
-    return _OTHER.sub(b" ", line.lower()).strip()
+def normal_lines(text: bytes) -> list[bytes]:
+    return [b" ".join(x.split()) for x in text.translate(_PLAIN).split(b"\n")]
 
 
-def simhash(sym: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The blocks of each line, as (lines, BLOCKS) big-endian numbers; ``sym`` are word hashes, ``count`` of each line (at least 1)."""
-    halves, wide = BLOCKS // 2, BLOCKS * 32
-    ends = np.cumsum(count)
-    votes = np.zeros((len(count), wide), dtype=np.int32)
+def features(line: bytes) -> bytes | None:
+    """What a line is judged by, separated by spaces; None for lines that only equality can tell."""
+    if line.count(b" ") >= MIN_WORDS - 1:
+        return line
+    if len(line) < MIN_CHARS:
+        return None
+    chars = line.replace(b" ", b"").decode()
+    return " ".join(map("".join, zip(chars, chars[1:]))).encode() or None
+
+
+def _votes(sym: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
+    """For each of n segments and each bit, how many of its features have the bit; ``seg`` is sorted."""
+    votes = np.zeros((n, BITS), dtype=np.int32)
+    first_of = np.searchsorted(seg, np.arange(n))
     for first in range(0, len(sym), _STEP):
-        part = sym[first : first + _STEP]
+        part, own = sym[first : first + _STEP], seg[first : first + _STEP]
         at = np.arange(first, first + len(part))
-        line = np.searchsorted(ends, at, "right")
-        bits = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) for k in range(halves)], axis=1)
-        # a byte a bit, added eight at a time: runs of at most 255 words do not overflow
+        bits = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) for k in range(BITS // 64)], axis=1)
+        # a byte a bit, added eight at a time: runs of at most 255 features do not overflow
         lanes = np.unpackbits(bits.view(np.uint8), axis=1).view(np.uint64)
-        place = at - (ends - count)[line]
-        edge = np.flatnonzero((place % 255 == 0) | (at == first))
+        edge = np.flatnonzero(((at - first_of[own]) % 255 == 0) | (at == first))
         sums = np.add.reduceat(lanes, edge, axis=0).view(np.uint8)
-        if (np.diff(line[edge]) == 0).any():
-            np.add.at(votes, line[edge], sums)
+        if (np.diff(own[edge]) == 0).any():
+            np.add.at(votes, own[edge], sums)
         else:
-            votes[line[edge]] += sums
-    high = np.packbits(votes * 2 > count[:, None], axis=1).view(">u4")
-    return (high >> np.uint32(32 - BITS)).astype(">u4")
+            votes[own[edge]] += sums
+    return votes
+
+
+def numbered(sym: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Feature hashes that tell the first, second, ... occurrence of a feature in its line apart.
+
+    Else a frequent word would outvote all others of its block.
+    """
+    line = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((sym, line))
+    s, own = sym[order], line[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
+    at = np.arange(len(s))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    out = sym.copy()
+    again = nth > 0
+    out[order[again]] = mix(s[again] + nth[again].astype(np.uint64))
+    return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
-    """(ka, kb, line, lid, blocks as bytes) of every line that is judged; short lines have no blocks."""
+def simhash(sym: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
+    """The block keys of each line and its whole SimHash; ``sym`` are feature hashes, ``count`` of each line (at least 1)."""
+    sym = numbered(sym, count)
+    top = np.array([most for most, _ in LEVELS])
+    blocks = np.array([b for _, b in LEVELS])
+    level = np.searchsorted(top, count)
+    # (line, space, level): its own level, the next one near the end, and for short lines the next count
+    line = np.arange(len(count))
+    near_end = line[(count * 6 // 5 + 1 > top[level]) & (level + 1 < len(LEVELS))]
+    short = line[level == 0]
+    who = np.concatenate((line, short, near_end))
+    at = np.concatenate((level, level[short], level[near_end] + 1))
+    space = np.concatenate((np.where(level == 0, count, -level), count[short] + 1, -at[len(line) + len(short) :]))
+    size, start = count[who], (np.cumsum(count) - count)[who]
+    word = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    entry = np.repeat(np.arange(len(who)), size)
+    block = ((sym[word] >> np.uint64(40)) * blocks[at][entry].astype(np.uint64)) >> np.uint64(24)
+    seg = entry * 64 + block.astype(np.int64)
+    order = np.argsort(seg, kind="stable")
+    used, seg, voters = np.unique(seg[order], return_inverse=True, return_counts=True)
+    votes = _votes(sym[word[order]], seg, len(used))
+    code = np.packbits(votes * 2 > voters[:, None], axis=1).view(np.uint64)
+    entry, block = used // 64, used % 64
+    place = mix((space[entry].astype(np.uint64) << np.uint64(8)) + block.astype(np.uint64))
+    keys = mix(mix(code[:, 0] ^ place) ^ code[:, 1])
+    own = np.flatnonzero(entry < len(line))  # entries of a line's own level come first
+    whole = np.add.reduceat(votes[own], np.searchsorted(entry[own], line), axis=0)
+    whole = np.packbits(whole * 2 > count[:, None], axis=1)
+    ends = np.searchsorted(entry, np.arange(len(who) + 1))
+    out: list[list[np.ndarray]] = [[] for _ in line]
+    for e, w in enumerate(who.tolist()):
+        out[w].append(keys[ends[e] : ends[e + 1]])
+    return [np.concatenate(x) if len(x) > 1 else x[0] for x in out], [x.tobytes() for x in whole]
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ka, kb, id, line, lid, keys, code) of every line that is not blank; lines that only equality can tell have no keys."""
     for batch in batches:
         for first, texts in grouped(batch.column(2)):
-            doc, at, lines = [], [], []
+            doc, at, lids, judged, bodies = [], [], [], [], []
             for i, t in enumerate(texts):
-                for j, line in enumerate(t.split(b"\n")):
-                    line = normal(line)
-                    if line and (short or line.count(b" ") >= MIN_WORDS - 1):
+                for j, line in enumerate(normal_lines(t)):
+                    if line:
+                        if body := features(line):
+                            judged.append(len(doc))
+                            bodies.append(body)
                         doc.append(first + i)
                         at.append(j)
-                        lines.append(line)
-            if not lines:
+                        lids.append(digest(line))
+            if not doc:
                 continue
-            long = [x for x in lines if x.count(b" ") >= MIN_WORDS - 1]
-            codes = iter(simhash(*word_symbols(long)) if long else ())
-            blocks = [next(codes).tobytes() if x.count(b" ") >= MIN_WORDS - 1 else None for x in lines]
-            joined = np.frombuffer(b"".join(lines), dtype=np.uint8)
-            size = np.array([len(x) for x in lines])
-            lid = mix(ranges(prefix(BYTE[joined]), np.cumsum(size) - size, size) + size.astype(np.uint64)).view(np.int64)
+            sizes, codes = np.zeros(len(doc), dtype=np.int64), [None] * len(doc)
+            flat = pa.array([], pa.int64())
+            if bodies:
+                keys, whole = simhash(*word_symbols(bodies))
+                sizes[judged] = [len(x) for x in keys]
+                flat = pa.array(np.concatenate(keys).view(np.int64))
+                for k, x in zip(judged, whole, strict=True):
+                    codes[k] = x
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(lid), pa.array(blocks, pa.binary())], names=["ka", "kb", "line", "lid", "blocks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes, pa.binary())], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
+
+
+def at_most(a: str, b: str) -> int:
+    """A number that the edit distance does not exceed: words in step, with the words between them replaced."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        step = next(((p, d - p) for d in range(1, 9) for p in range(d + 1) if i + p < len(x) and j + d - p < len(y) and x[i + p] == y[j + d - p]), (len(x) - i, len(y) - j))
+        cost += max(sum(map(len, x[i : i + step[0]])) + step[0], sum(map(len, y[j : j + step[1]])) + step[1])
+        i, j = i + step[0], j + step[1]
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -131,7 +214,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
-    m = np.stack([np.frombuffer(x, dtype=np.uint64) for x in group["blocks"]])
+    m = np.stack([np.frombuffer(x, dtype=np.uint64) for x in group["code"]])
     for i in range(left or len(m) - 1):
         first = left or i + 1
         far = np.bitwise_count(m[first:] ^ m[i]).sum(axis=1, dtype=np.int64)
@@ -145,19 +228,25 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= NEAR))
 
 
+def similar(a: str, b: str, most: int) -> bool:
+    return at_most(a, b) <= most or distance(a, b, most) <= most
+
+
 def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
     lines = [x.decode() for x in group["text"]]
     size = np.array([len(x) for x in lines])
     tally = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in group["text"]]).astype(np.int32)
+    # an edit of a character changes one byte either way, or four where characters are not ASCII
+    width = np.where(tally[:, 128:].any(axis=1), 4, 1)
     joined = np.arange(len(lines))  # what is linked already needs no distance
     for i in range(left or len(lines) - 1):
         j = np.arange(left or i + 1, len(lines))
         most = np.maximum(size[i], size[j]) * (100 - SIMILARITY) // 100
+        j, most = (x[(np.abs(size[i] - size[j]) <= most) & (joined[j] != joined[i])] for x in (j, most))
         gap = tally[j] - tally[i]
-        # an edit of a character changes at most 4 bytes either way
-        bound = np.maximum(np.where(gap > 0, gap, 0).sum(axis=1), np.where(gap < 0, -gap, 0).sum(axis=1)) // 4
-        j, most = (x[(np.abs(size[i] - size[j]) <= most) & (bound <= most) & (joined[j] != joined[i])] for x in (j, most))
-        hit = j[[distance(lines[i], lines[k], m) <= m for k, m in zip(j, most.tolist(), strict=True)]] if len(j) else j
+        bound = np.maximum(np.where(gap > 0, gap, 0).sum(axis=1), np.where(gap < 0, -gap, 0).sum(axis=1)) // np.maximum(width[j], width[i])
+        j, most = j[bound <= most], most[bound <= most]
+        hit = j[[similar(lines[i], lines[k], m) for k, m in zip(j, most.tolist(), strict=True)]] if len(j) else j
         joined[np.isin(joined, joined[hit])] = joined[i]
         yield i, hit
 
@@ -166,48 +255,53 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, spots = batch.column(batch.schema.get_field_index("raw")), batch.column(batch.schema.get_field_index("spots"))
         for i in range(batch.num_rows):
-            lines = raw[i].as_py().split(b"\n")
+            lines = normal_lines(raw[i].as_py())
             got = spots[i].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([x["lid"] for x in got], pa.int64()), pa.array([normal(lines[x["line"]]) for x in got], pa.binary())], names=["lid", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x["lid"] for x in got], pa.int64()), pa.array([x["root"] for x in got], pa.int64()), pa.array([lines[x["line"]] for x in got], pa.binary())], names=["lid", "root", "text"])
 
 
-def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(ka, kb, gone): for each document that loses any, the numbers of its lines that repeat an earlier one."""
-    rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
-    lines = stage(rows.mapInArrow(lambda b: _lines(b, short), "ka long, kb long, line int, lid long, blocks binary"), "lines")
-    # a line that occurs often is met once a task from here on
-    once = lines.where("blocks is not null").groupBy("lid").agg(F.first("blocks").alias("blocks"), F.min(F.struct("ka", "kb", "line")).alias("at"))
-    once = stage(once, "distinct")
-    number = lambda k: F.conv(F.hex(F.substring("blocks", 4 * k + 1, 4)), 16, 10).cast("long")
-    keys = once.select("lid", F.explode(F.array(*[F.lit(k << 32) + number(k) for k in range(BLOCKS)])).alias("root"))
-    seen = counted(keys.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("a"), F.max("lid").alias("b")).where("c > 1"))
-    code = once.select("lid", "blocks")
+    rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"), F.col(id).alias("id"))
+    schema = T.StructType([*rows.schema.fields[:2], rows.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("lid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("code", T.BinaryType())])
+    lines = stage(rows.mapInArrow(_lines, schema), "lines")
+    # 2: blocks of two lines or more; copies of a line are one
+    keys = lines.select("lid", F.explode("keys").alias("root"))
+    seen = counted(keys.groupBy("root").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b"))
     # most shared blocks have two lines: these are pairs at once, and the same pair from many blocks is one
-    pairs = seen.where("c = 2").select("a", "b").distinct()
-    pairs = pairs.join(code.select(F.col("lid").alias("a"), F.col("blocks").alias("x")), "a").join(code.select(F.col("lid").alias("b"), F.col("blocks").alias("y")), "b")
-    pairs = pairs.select("a", "b", "x", "y").mapInArrow(_near_pairs, "a long, b long")
-    more = seen.where("c > 2")
-    members = keys.join(more.select("root", F.col("c").alias("size")), "root").join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "blocks", "size")
-    total = more.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    near = in_parts(members, F.octet_length("blocks"), _near, "size", total).unionByName(pairs)
-    groups = components(near).withColumnRenamed("node", "lid")
-    wanted = once.join(groups, "lid").select("lid", "root", "at.ka", "at.kb", "at.line")
-    wanted = stage(wanted, "wanted")
-    spots = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("lid", "line")).alias("spots"))
-    texts = rows.join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, text binary")
-    texts = texts.groupBy("lid").agg(F.first("text").alias("text")).join(wanted.select("lid", "root"), "lid")
-    members = stage(texts.select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "text"), "members")
+    between = stage(keys.join(seen.hint("shuffle_hash"), "root").where("lid <> a and lid <> b").select("root", "lid").distinct(), "between")
+    sizes = counted(between.groupBy("root").agg((F.count(F.lit(1)) + 2).alias("size")))
+    more = stage(seen.join(sizes, "root"), "more")
+    pairs = stage(seen.join(sizes, "root", "left_anti").select("a", "b").distinct(), "pairs")
+    members = between.join(more.select("root", "size"), "root").unionByName(more.select("root", F.explode(F.array("a", "b")).alias("lid"), "size"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).unionByName(members.select("lid")).distinct()
+    # one occurrence of each candidate gives its text
+    once = stage(lines.select("lid", "code", F.struct("ka", "kb", "line").alias("at")).join(counted(wanted).hint("shuffle_hash"), "lid").groupBy("lid").agg(F.first("code").alias("code"), F.min("at").alias("at")), "once")
+    code = once.select("lid", "code")
+    # 3
+    close = pairs.join(code.select(F.col("lid").alias("a"), F.col("code").alias("x")), "a").join(code.select(F.col("lid").alias("b"), F.col("code").alias("y")), "b")
+    close = close.select("a", "b", "x", "y").mapInArrow(_near_pairs, "a long, b long")
+    members = members.join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "code", "size")
+    total = more.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = components(in_parts(members, F.octet_length("code"), _near, "size", total).unionByName(close)).withColumnRenamed("node", "lid")
+    # 4
+    spots = counted(once.join(groups, "lid").groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("lid", "root", "at.line")).alias("spots")))
+    texts = rows.select("ka", "kb", "raw").join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, root long, text binary")
+    texts = stage(texts.groupBy("lid", "root").agg(F.first("text").alias("text")), "texts")
+    members = texts.select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "text")
     links = components(in_parts(members, F.octet_length("text"), _close)).withColumnRenamed("node", "lid")
-    # the first occurrence of every group that has two
-    ids = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.col(id).alias("id")).distinct()
-    found = lines.select("ka", "kb", "line", "lid").join(links, "lid", "left").select("ka", "kb", "line", F.coalesce("root", "lid").alias("root")).join(ids, ["ka", "kb"])
+    # 5: the first occurrence of every group, and of every line, that there are two of
     order = F.struct(F.col("id").isNull().alias("z"), "id", "kb", "line")
-    first = counted(found.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first")).where("c > 1"))
-    gone = found.join(first, "root").where(order != F.col("first"))
-    return gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
+    each = lines.select("lid", order.alias("order")).groupBy("lid").agg(F.count(F.lit(1)).alias("c"), F.min("order").alias("first"))
+    each = counted(each.join(links, "lid", "left").where("c > 1 or root is not null"))
+    joined = each.where("root is not null")
+    least = joined.groupBy("root").agg(F.min("first").alias("first"))
+    verdict = each.where("root is null").select("lid", "first").unionByName(joined.select("lid", "root").join(counted(least), "root").select("lid", "first"))
+    gone = lines.select("ka", "kb", "line", "lid", order.alias("order")).join(counted(verdict), "lid").where(F.col("order") != F.col("first"))
+    return counted(gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone")))
 
 
-def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines that stay in ``text``, ``n_lines``, ``n_removed`` and the numbers of ``removed_lines``.
 
     New names that clash get underscores in front.
@@ -215,7 +309,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     a, b, gone, before = fresh(docs, "key_a", "key_b", "gone_", "lines_")
     total, lost, which = fresh(docs, "n_lines", "n_removed", "removed_lines")
     out = docs.withColumn(a, F.xxhash64(id)).withColumn(b, F.xxhash64(text))
-    found = repeated_lines(docs, id=id, text=text, short=short).select(F.col("ka").alias(a), F.col("kb").alias(b), F.sort_array("gone").alias(gone))
+    found = repeated_lines(docs, id=id, text=text).select(F.col("ka").alias(a), F.col("kb").alias(b), F.sort_array("gone").alias(gone))
     out = out.join(found, [a, b], "left").withColumn(before, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(before, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     out = out.withColumn(text, kept).withColumn(total, F.size(before).cast("long")).withColumn(lost, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
@@ -223,5 +317,5 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
+    out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

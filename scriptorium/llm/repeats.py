@@ -16,7 +16,10 @@ what Spark counts:
 This is exact up to 64-bit hashes, for any cut of windows into contexts, as a
 window's minimizer depends on the window alone. Rabin-Karp hashes are
 polynomials modulo 2^64 with an odd base, so the hash of any range comes from
-two prefix sums and an inverse power.
+two prefix sums and an inverse power. Their symbols are mixed hashes, and a
+range has some hundreds: known clashes of such polynomials, which hold for
+any base, take sequences of two symbols over 1024 long. Words, which have no
+such bound, are hashed piece by piece instead (``hashed``).
 
 Hot passages and groups of copies: counts combine before the shuffle and all
 joins on hot keys are plain equi-joins that adaptive execution may split.
@@ -24,6 +27,7 @@ joins on hot keys are plain equi-joins that adaptive execution may split.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,15 +91,44 @@ def spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes of a word that are hashed in numpy; longer words are hashed one by one.
+_LONG = 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def hashed(joined: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word joined[a:b]: its 8-byte pieces, mixed one after another (no polynomial).
+
+    A word of up to 8 bytes is mixed whole, so two of one length never clash.
+    """
+    padded = joined + bytes(8)
+    piece = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    size = b - a
+    out = mix((piece[a] & _MASKS[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64)))
+    for at in range(8, _LONG, 8):
+        more = np.flatnonzero((size > at) & (size <= _LONG))
+        if not len(more):
+            break
+        out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) ^ mix(piece[a[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = digest(joined[a[i] : b[i]])
+    return out
+
+
+def digest(x: bytes) -> int:
+    """A 64-bit hash of one string."""
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
+
+
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit symbol for each word of all texts, and the number of words of each."""
     syms, counts = [], np.zeros(len(texts), dtype=np.int64)
     held, size = [], 0
 
     def flush(first: int) -> None:
-        joined = np.frombuffer(b" ".join(held), dtype=np.uint8)
-        a, b = spans(joined)
-        syms.append(mix(ranges(prefix(BYTE[joined]), a, b - a) + (b - a).astype(np.uint64)))
+        joined = b" ".join(held)
+        a, b = spans(np.frombuffer(joined, dtype=np.uint8))
+        syms.append(hashed(joined, a, b))
         at = np.cumsum([0] + [len(h) + 1 for h in held])
         counts[first : first + len(held)] += np.diff(np.searchsorted(a, at))
 

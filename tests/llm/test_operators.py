@@ -326,15 +326,80 @@ def test_licences(spark, docs, none):
 # 10
 
 
+def brute_lines(rows):
+    """Lines that go: (row, line) of all but the first occurrence of each group, by all pairs of distinct lines; and the links."""
+    plain = lambda x: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in x)))
+    text = [[plain(x) for x in (r[1] or "").split("\n")] for r in rows]
+    some = sorted({x for t in text for x in t if x and lines.features(x.encode())}, key=len)
+    links = [(x, y) for i, x in enumerate(some) for y in some[i + 1 :] if len(y) - len(x) <= (m := len(y) * 15 // 100) and lines.distance(x, y, m) <= m]
+    up = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for x, y in links:
+        if root(x) != root(y):
+            up[root(x)] = root(y)
+    seen, gone = {}, set()
+    for i, j in sorted(((i, j) for i, t in enumerate(text) for j, x in enumerate(t) if x), key=lambda p: (rows[p[0]][0] is None, rows[p[0]][0] or 0, p[1])):
+        r = root(text[i][j])
+        if seen.setdefault(r, (rows[i], j)) != (rows[i], j):
+            gone.add((i, j))
+    return gone, links
+
+
+def test_lines_equal_all_pairs(spark):
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)] + ["größe", "naïve", "the", "of"]
+    base = [" ".join(r.choice(words, n)) for n in (1, 3, 5, 6, 9, 14, 25, 31, 60, 90, 200) for _ in range(6)] + ["漢字" * 30 + "x" * k for k in range(3)]
+    rows = []
+    for i in range(160):
+        some = []
+        for k in r.integers(0, len(base), 4).tolist():
+            w = base[k].split(" ")
+            for _ in range(int(r.integers(0, 3)) * len(w) // 15):
+                w[r.integers(0, len(w))] = f"edit{r.integers(0, 99)}"
+            some.append(" ".join(w).title() if r.random() < 0.3 else " ".join(w))
+        rows.append((i, "\n".join(some)))
+    rows += [(200, rows[0][1]), (None, rows[1][1]), (201, None), (202, ""), (203, "\n \n--\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], j) for x in lines.without_repeats(df).collect() for j in x["removed_lines"]}
+    gone, links = brute_lines(rows)
+    assert len(links) > 300
+    want = {(rows[i][0], j) for i, j in gone}
+    assert got <= want and len(got) >= 0.95 * len(want)  # links between short lines may be missed
+
+
+def test_block_recall():
+    r = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(2000)])
+    pairs, found = 0, 0
+    for n in (6, 10, 12, 13, 20, 28, 33, 50, 79, 85, 150, 400):
+        for _ in range(40):
+            a = r.choice(words, n)
+            b = a.copy()
+            b[r.integers(0, n, max(1, int(n * r.uniform(0, 0.13))))] = r.choice(words)
+            x, y = " ".join(a), " ".join(b if r.random() < 0.5 else np.delete(b, r.integers(0, n)))
+            most = max(len(x), len(y)) * 15 // 100
+            if lines.distance(x, y, most) <= most:
+                keys, code = lines.simhash(*repeats.word_symbols([x.encode(), y.encode()]))
+                far = np.bitwise_count(np.frombuffer(code[0], dtype=np.uint64) ^ np.frombuffer(code[1], dtype=np.uint64)).sum()
+                pairs += 1
+                found += bool(set(keys[0].tolist()) & set(keys[1].tolist())) and far <= lines.NEAR
+    assert pairs > 300 and found >= 0.95 * pairs
+
+
 def test_lines(spark, none):
     long = "the quick brown fox jumps over the lazy dog near the river bank while many small birds sing in the tall green trees above"
     near = long.replace("lazy", "hazy")
     rows = [(1, f"{long}\nshort line"), (2, f"own words come first in this text\n{near}\n\nshort line"), (3, long.upper() + "!"), (3, long.upper() + "!"), (4, None), (5, ""), (None, long), (6, "é" * 50000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("mine"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("mine")).withColumn("gone_", F.lit(0)).withColumn("root", F.lit(1))
     out = lines.without_repeats(df)
-    assert out.columns == ["doc_id", "text", "n_lines", "_n_lines", "n_removed", "removed_lines"]
+    assert out.columns == ["doc_id", "text", "n_lines", "gone_", "root", "_n_lines", "n_removed", "removed_lines"]
     got = sorted(((r["doc_id"] or 0, r["text"], r["removed_lines"]) for r in map(lambda x: x.asDict(), out.collect())), key=str)
-    want = [(1, rows[0][1], []), (2, "own words come first in this text\n\nshort line", [1]), (3, "", [0]), (3, "", [0]), (4, None, []), (5, "", []), (0, "", [0]), (6, rows[7][1], [])]
+    want = [(1, rows[0][1], []), (2, "own words come first in this text\n", [1, 3]), (3, "", [0]), (3, "", [0]), (4, None, []), (5, "", []), (0, "", [0]), (6, rows[7][1], [])]
     assert got == sorted(want, key=str)
     assert lines.without_repeats(none).count() == 0
 
