@@ -11,7 +11,9 @@
    blocks for longer lines, so that a block holds a few features at any length;
    lines near the end of a level, where a partner may be in the next, have the
    blocks of both. Short lines' blocks count within lines of the same number of
-   features, or one more.
+   features, or one more. A block of a few short (so frequent) words would be
+   shared by too many lines: a key reaches over the next blocks until it holds
+   ``ENOUGH`` bytes of features.
 3. Lines that agree on a block are compared by their whole SimHash, part against
    part (``groups``): only lines within ``NEAR`` bits are linked. No pairs
    are made, only spanning forests; their components are candidate groups.
@@ -39,14 +41,15 @@ from pyspark.sql import types as T
 
 from scriptorium.llm.common import components, counted, fresh, stage
 from scriptorium.llm.groups import in_parts
-from scriptorium.llm.repeats import digest, grouped, mix, word_symbols
+from scriptorium.llm.repeats import digest, grouped, mix, spans, word_symbols
 
 MIN_WORDS, MIN_CHARS = 5, 32
 #: (most features, blocks) of each level of line length.
-LEVELS = ((12, 3), (30, 5), (80, 8), (160, 14), (400, 24), (1 << 40, 40))
-BITS = 128
-#: Most differing bits of whole SimHashes; unrelated lines differ in nearly half.
-NEAR = 40
+LEVELS = ((12, 3), (30, 5), (80, 8), (160, 12), (400, 20), (1 << 40, 32))
+#: Bytes of features, or share of the line's, that a key has to hold at least.
+ENOUGH, ENOUGH_OF = 16, 0.34
+#: Most differing bits of whole SimHashes (64 bits); unrelated lines differ in nearly half.
+NEAR = 16
 #: Percent of the longer line's length that must be left after the edit distance.
 SIMILARITY = 85
 #: Features whose bits are added up together.
@@ -70,16 +73,22 @@ def features(line: bytes) -> bytes | None:
     return " ".join(map("".join, zip(chars, chars[1:]))).encode() or None
 
 
+def weighed(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hashes, their bytes (8 at most), and the number of features of each line."""
+    sym, count = word_symbols(bodies)
+    a, b = spans(np.frombuffer(b" ".join(bodies), dtype=np.uint8))
+    return sym, np.minimum(b - a, 8), count
+
+
 def _votes(sym: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
     """For each of n segments and each bit, how many of its features have the bit; ``seg`` is sorted."""
-    votes = np.zeros((n, BITS), dtype=np.int32)
+    votes = np.zeros((n, 64), dtype=np.int32)
     first_of = np.searchsorted(seg, np.arange(n))
     for first in range(0, len(sym), _STEP):
         part, own = sym[first : first + _STEP], seg[first : first + _STEP]
         at = np.arange(first, first + len(part))
-        bits = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) for k in range(BITS // 64)], axis=1)
         # a byte a bit, added eight at a time: runs of at most 255 features do not overflow
-        lanes = np.unpackbits(bits.view(np.uint8), axis=1).view(np.uint64)
+        lanes = np.unpackbits(mix(part + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
         edge = np.flatnonzero(((at - first_of[own]) % 255 == 0) | (at == first))
         sums = np.add.reduceat(lanes, edge, axis=0).view(np.uint8)
         if (np.diff(own[edge]) == 0).any():
@@ -89,57 +98,71 @@ def _votes(sym: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
     return votes
 
 
-def numbered(sym: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Feature hashes that tell the first, second, ... occurrence of a feature in its line apart.
-
-    Else a frequent word would outvote all others of its block.
-    """
-    line = np.repeat(np.arange(len(count)), count)
-    order = np.lexsort((sym, line))
-    s, own = sym[order], line[order]
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
-    at = np.arange(len(s))
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    out = sym.copy()
-    again = nth > 0
-    out[order[again]] = mix(s[again] + nth[again].astype(np.uint64))
-    return out
-
-
-def simhash(sym: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
-    """The block keys of each line and its whole SimHash; ``sym`` are feature hashes, ``count`` of each line (at least 1)."""
-    sym = numbered(sym, count)
-    top = np.array([most for most, _ in LEVELS])
-    blocks = np.array([b for _, b in LEVELS])
-    level = np.searchsorted(top, count)
-    # (line, space, level): its own level, the next one near the end, and for short lines the next count
-    line = np.arange(len(count))
-    near_end = line[(count * 6 // 5 + 1 > top[level]) & (level + 1 < len(LEVELS))]
-    short = line[level == 0]
-    who = np.concatenate((line, short, near_end))
-    at = np.concatenate((level, level[short], level[near_end] + 1))
-    space = np.concatenate((np.where(level == 0, count, -level), count[short] + 1, -at[len(line) + len(short) :]))
-    size, start = count[who], (np.cumsum(count) - count)[who]
-    word = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    entry = np.repeat(np.arange(len(who)), size)
-    block = ((sym[word] >> np.uint64(40)) * blocks[at][entry].astype(np.uint64)) >> np.uint64(24)
-    seg = entry * 64 + block.astype(np.int64)
-    order = np.argsort(seg, kind="stable")
-    used, seg, voters = np.unique(seg[order], return_inverse=True, return_counts=True)
-    votes = _votes(sym[word[order]], seg, len(used))
-    code = np.packbits(votes * 2 > voters[:, None], axis=1).view(np.uint64)
-    entry, block = used // 64, used % 64
-    place = mix((space[entry].astype(np.uint64) << np.uint64(8)) + block.astype(np.uint64))
-    keys = mix(mix(code[:, 0] ^ place) ^ code[:, 1])
-    own = np.flatnonzero(entry < len(line))  # entries of a line's own level come first
-    whole = np.add.reduceat(votes[own], np.searchsorted(entry[own], line), axis=0)
-    whole = np.packbits(whole * 2 > count[:, None], axis=1)
-    ends = np.searchsorted(entry, np.arange(len(who) + 1))
-    out: list[list[np.ndarray]] = [[] for _ in line]
-    for e, w in enumerate(who.tolist()):
-        out[w].append(keys[ends[e] : ends[e + 1]])
-    return [np.concatenate(x) if len(x) > 1 else x[0] for x in out], [x.tobytes() for x in whole]
+def _signs(votes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.packbits(votes * 2 > of[:, None], axis=1).view(np.uint64).ravel()
+
+
+def _blocked(sym: np.ndarray, weight: np.ndarray, count: np.ndarray, blocks: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the lines' blocks, which blocks have any feature, and whole SimHashes."""
+    n = len(count)
+    line = np.repeat(np.arange(n), count)
+    block = ((sym >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
+    seg = line * blocks + block.astype(np.int64)
+    order = np.argsort((seg.astype(np.uint64) << np.uint64(38)) | (sym & np.uint64((1 << 38) - 1)))
+    sym, own = sym[order], seg[order]
+    # the second, third, ... of a feature counts as another, or a frequent word would outvote all others of its block
+    new = np.ones(len(sym), dtype=bool)
+    new[1:] = (sym[1:] != sym[:-1]) | (own[1:] != own[:-1])
+    at = np.arange(len(sym))
+    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    voter = np.where(new, sym, mix(sym ^ nth))
+    edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    used, size = own[edge], np.diff(np.append(edge, len(own)))
+    votes = _votes(voter, np.repeat(np.arange(len(used)), size), len(used))
+    value = np.zeros(n * blocks, dtype=np.uint64)
+    value[used] = mix(_signs(votes, size) + size.astype(np.uint64))
+    value = value.reshape(n, blocks)
+    whole = _signs(np.add.reduceat(votes, np.searchsorted(used, np.arange(n) * blocks), axis=0), count)
+    heavy = np.zeros(n * blocks)
+    heavy[used] = np.add.reduceat(weight[order], edge)
+    heavy = heavy.reshape(n, blocks)
+    need = np.minimum(ENOUGH, heavy.sum(axis=1) * ENOUGH_OF)
+    some = heavy > 0
+    place = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(level << 8))
+    keys, got = mix(value ^ place), heavy.copy()
+    short = np.flatnonzero((some & (got < need[:, None])).ravel())
+    for step in range(1, blocks):
+        if not len(short):
+            break
+        at, to = short // blocks, (short % blocks + step) % blocks
+        flat = keys.reshape(-1)
+        flat[short] = mix(flat[short] ^ mix(value[at, to] + np.uint64(step)))
+        got.reshape(-1)[short] += heavy[at, to]
+        short = short[got.reshape(-1)[short] < need[at]]
+    return keys, some, whole
+
+
+def simhash(sym: np.ndarray, weight: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The block keys of each line and its whole SimHash; ``sym`` are feature hashes, ``weight`` their bytes, ``count`` of each line (at least 1)."""
+    level = np.searchsorted(np.array([most for most, _ in LEVELS]), count)
+    codes = np.zeros(len(count), dtype=np.uint64)
+    out: list[list[np.ndarray]] = [[] for _ in count]
+    for k, (_, blocks) in enumerate(LEVELS):
+        # its own level, and the next one near the end
+        here = (level == k) | ((level == k - 1) & (count * 6 // 5 + 1 > LEVELS[k - 1][0]))
+        if not here.any():
+            continue
+        who, mine = np.flatnonzero(here), np.repeat(here, count)
+        keys, some, whole = _blocked(sym[mine], weight[mine], count[who], blocks, k)
+        own = level[who] == k
+        codes[who[own]] = whole[own]
+        if k == 0:  # within lines of the same number of features, or one more
+            n = count[who].astype(np.uint64)[:, None]
+            keys, some = np.concatenate((mix(keys + n), mix(keys + n + np.uint64(1))), axis=1), np.concatenate((some, some), axis=1)
+        flat, ends = keys[some], np.cumsum(some.sum(axis=1))
+        for w, x in zip(who.tolist(), np.split(flat, ends[:-1]), strict=True):
+            out[w].append(x)
+    return [np.concatenate(x) if len(x) > 1 else x[0] for x in out], codes
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +181,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         lids.append(digest(line))
             if not doc:
                 continue
-            sizes, codes = np.zeros(len(doc), dtype=np.int64), [None] * len(doc)
+            sizes, codes = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.uint64)
             flat = pa.array([], pa.int64())
             if bodies:
-                keys, whole = simhash(*word_symbols(bodies))
+                keys, codes[judged] = simhash(*weighed(bodies))
                 sizes[judged] = [len(x) for x in keys]
                 flat = pa.array(np.concatenate(keys).view(np.int64))
-                for k, x in zip(judged, whole, strict=True):
-                    codes[k] = x
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes, pa.binary())], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes.view(np.int64))], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
 
 
 def at_most(a: str, b: str) -> int:
@@ -214,18 +235,10 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
-    m = np.stack([np.frombuffer(x, dtype=np.uint64) for x in group["code"]])
+    m = np.array(group["code"], dtype=np.int64)
     for i in range(left or len(m) - 1):
         first = left or i + 1
-        far = np.bitwise_count(m[first:] ^ m[i]).sum(axis=1, dtype=np.int64)
-        yield i, first + np.flatnonzero(far <= NEAR)
-
-
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:])
-            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= NEAR))
+        yield i, first + np.flatnonzero(np.bitwise_count((m[first:] ^ m[i]).view(np.uint64)) <= NEAR)
 
 
 def similar(a: str, b: str, most: int) -> bool:
@@ -263,7 +276,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(ka, kb, gone): for each document that loses any, the numbers of its lines that repeat an earlier one."""
     rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"), F.col(id).alias("id"))
-    schema = T.StructType([*rows.schema.fields[:2], rows.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("lid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("code", T.BinaryType())])
+    schema = T.StructType([*rows.schema.fields[:2], rows.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("lid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("code", T.LongType())])
     lines = stage(rows.mapInArrow(_lines, schema), "lines")
     # 2: blocks of two lines or more; copies of a line are one
     keys = lines.select("lid", F.explode("keys").alias("root"))
@@ -280,10 +293,10 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     code = once.select("lid", "code")
     # 3
     close = pairs.join(code.select(F.col("lid").alias("a"), F.col("code").alias("x")), "a").join(code.select(F.col("lid").alias("b"), F.col("code").alias("y")), "b")
-    close = close.select("a", "b", "x", "y").mapInArrow(_near_pairs, "a long, b long")
+    close = close.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= NEAR).select("a", "b")
     members = members.join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "code", "size")
     total = more.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    groups = components(in_parts(members, F.octet_length("code"), _near, "size", total).unionByName(close)).withColumnRenamed("node", "lid")
+    groups = components(in_parts(members, F.lit(8), _near, "size", total).unionByName(close)).withColumnRenamed("node", "lid")
     # 4
     spots = counted(once.join(groups, "lid").groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("lid", "root", "at.line")).alias("spots")))
     texts = rows.select("ka", "kb", "raw").join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, root long, text binary")

@@ -384,8 +384,8 @@ def test_block_recall():
             x, y = " ".join(a), " ".join(b if r.random() < 0.5 else np.delete(b, r.integers(0, n)))
             most = max(len(x), len(y)) * 15 // 100
             if lines.distance(x, y, most) <= most:
-                keys, code = lines.simhash(*repeats.word_symbols([x.encode(), y.encode()]))
-                far = np.bitwise_count(np.frombuffer(code[0], dtype=np.uint64) ^ np.frombuffer(code[1], dtype=np.uint64)).sum()
+                keys, code = lines.simhash(*lines.weighed([x.encode(), y.encode()]))
+                far = int(code[0] ^ code[1]).bit_count()
                 pairs += 1
                 found += bool(set(keys[0].tolist()) & set(keys[1].tolist())) and far <= lines.NEAR
     assert pairs > 300 and found >= 0.95 * pairs
