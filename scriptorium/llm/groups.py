@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 PART, PART_BYTES = 1024, 4 << 20
 #: Members of small groups that share a task, about.
 BIN = 256
+#: Members a task, about, and most tasks.
+TASK, MOST_TASKS = 2048, 20_000
 
 
 class Forest:
@@ -72,7 +74,11 @@ def in_parts(members: DataFrame, weight: Column, what: Callable, count: str | No
         rows = members.join(size, ["root", "space"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("a", F.least("part", "to")).withColumn("b", F.greatest("part", "to"))
-    bins = max(1, (total if total is not None else members.count()) // BIN)
+    total = members.count() if total is None else total
+    bins = max(1, total // BIN)
     gid = F.when(F.col("parts") == 1, F.xxhash64("root", "space") % bins).otherwise(F.xxhash64("root", "space", "a", "b"))
     extra = [c for c in members.columns if c not in ("root", "space", "sid", count)]
-    return rows.select(gid.alias("gid"), "root", "space", "a", "b", "part", "sid", *extra).groupBy("gid").applyInArrow(lambda t: _forests(t, what), "a long, b long")
+    rows = rows.select(gid.alias("gid"), "root", "space", "a", "b", "part", "sid", *extra)
+    # little data, much work: dealt by number, or adaptive execution would put it into a few tasks by its bytes
+    rows = rows.repartition(max(1, min(MOST_TASKS, total // TASK)), "gid")
+    return rows.groupBy("gid").applyInArrow(lambda t: _forests(t, what), "a long, b long")

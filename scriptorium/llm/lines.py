@@ -17,9 +17,9 @@
 3. Lines that agree on a block are compared by their whole SimHash, part against
    part (``groups``): only lines within ``NEAR`` bits are linked. No pairs
    are made, only spanning forests; their components are candidate groups.
-4. In groups, part against part again, lines of edit similarity
-   1 - distance / longer length >= ``SIMILARITY`` are linked; a byte-histogram
-   bound leaves out most others without computing a distance.
+4. In groups, part against part again, lines within ``NEAR`` bits and of edit
+   similarity 1 - distance / longer length >= ``SIMILARITY`` are linked; a
+   byte-histogram bound and words in step decide most without a distance.
 5. Of every connected group the first occurrence, by (id, line), stays.
 
 Defined results: null and empty texts have no lines to judge; blank lines stay;
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.common import components, counted, fresh, stage
-from scriptorium.llm.groups import in_parts
+from scriptorium.llm.groups import Forest, in_parts
 from scriptorium.llm.repeats import digest, grouped, mix, spans, word_symbols
 
 MIN_WORDS, MIN_CHARS = 5, 32
@@ -80,26 +80,33 @@ def weighed(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sym, np.minimum(b - a, 8), count
 
 
-def _votes(sym: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
-    """For each of n segments and each bit, how many of its features have the bit; ``seg`` is sorted."""
-    votes = np.zeros((n, 64), dtype=np.int32)
-    first_of = np.searchsorted(seg, np.arange(n))
+def _lanes(sym: np.ndarray) -> np.ndarray:
+    """The bits of each feature as a byte a bit, eight to a word, to be added up eight at a time."""
+    return np.unpackbits(mix(sym + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+
+
+def _votes(sym: np.ndarray, edge: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each segment (from ``edge``, of ``size`` features) and each bit, how many of its features have the bit."""
+    if size.max() <= 255:  # bytes do not overflow
+        out = np.empty((len(edge), 64), dtype=np.uint8)
+        at = 0
+        while at < len(edge):
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + _STEP)))
+            out[at:to] = np.add.reduceat(_lanes(sym[edge[at] : edge[to] if to < len(edge) else None]), edge[at:to] - edge[at], axis=0).view(np.uint8)
+            at = to
+        return out
+    votes = np.zeros((len(edge), 64), dtype=np.int32)
+    seg = np.repeat(np.arange(len(edge)), size)
     for first in range(0, len(sym), _STEP):
-        part, own = sym[first : first + _STEP], seg[first : first + _STEP]
-        at = np.arange(first, first + len(part))
-        # a byte a bit, added eight at a time: runs of at most 255 features do not overflow
-        lanes = np.unpackbits(mix(part + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-        edge = np.flatnonzero(((at - first_of[own]) % 255 == 0) | (at == first))
-        sums = np.add.reduceat(lanes, edge, axis=0).view(np.uint8)
-        if (np.diff(own[edge]) == 0).any():
-            np.add.at(votes, own[edge], sums)
-        else:
-            votes[own[edge]] += sums
+        own = seg[first : first + _STEP]
+        at = np.arange(first, first + len(own))
+        cut = np.flatnonzero(((at - edge[own]) % 255 == 0) | (at == first))
+        np.add.at(votes, own[cut], np.add.reduceat(_lanes(sym[first : first + _STEP]), cut, axis=0).view(np.uint8))
     return votes
 
 
 def _signs(votes: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return np.packbits(votes * 2 > of[:, None], axis=1).view(np.uint64).ravel()
+    return np.packbits(votes > (of // 2).astype(votes.dtype)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def _blocked(sym: np.ndarray, weight: np.ndarray, count: np.ndarray, blocks: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,11 +125,15 @@ def _blocked(sym: np.ndarray, weight: np.ndarray, count: np.ndarray, blocks: int
     voter = np.where(new, sym, mix(sym ^ nth))
     edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     used, size = own[edge], np.diff(np.append(edge, len(own)))
-    votes = _votes(voter, np.repeat(np.arange(len(used)), size), len(used))
+    votes = _votes(voter, edge, size)
     value = np.zeros(n * blocks, dtype=np.uint64)
     value[used] = mix(_signs(votes, size) + size.astype(np.uint64))
     value = value.reshape(n, blocks)
-    whole = _signs(np.add.reduceat(votes, np.searchsorted(used, np.arange(n) * blocks), axis=0), count)
+    lines = np.searchsorted(used, np.arange(n) * blocks)
+    if votes.dtype == np.uint8 and count.max() <= 255:
+        whole = _signs(np.add.reduceat(votes.view(np.uint64), lines, axis=0).view(np.uint8), count)
+    else:
+        whole = _signs(np.add.reduceat(votes, lines, axis=0, dtype=np.int32), count)
     heavy = np.zeros(n * blocks)
     heavy[used] = np.add.reduceat(weight[order], edge)
     heavy = heavy.reshape(n, blocks)
@@ -246,22 +257,27 @@ def similar(a: str, b: str, most: int) -> bool:
 
 
 def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of the links: what is linked already needs no distance."""
     lines = [x.decode() for x in group["text"]]
+    code = np.array(group["code"], dtype=np.int64)
     size = np.array([len(x) for x in lines])
-    tally = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in group["text"]]).astype(np.int32)
+    tally = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in group["text"]]).astype(np.int16 if size.max() < 8000 else np.int32)
     # an edit of a character changes one byte either way, or four where characters are not ASCII
     width = np.where(tally[:, 128:].any(axis=1), 4, 1)
-    joined = np.arange(len(lines))  # what is linked already needs no distance
+    forest = Forest(len(lines))
     for i in range(left or len(lines) - 1):
         j = np.arange(left or i + 1, len(lines))
         most = np.maximum(size[i], size[j]) * (100 - SIMILARITY) // 100
-        j, most = (x[(np.abs(size[i] - size[j]) <= most) & (joined[j] != joined[i])] for x in (j, most))
-        gap = tally[j] - tally[i]
-        bound = np.maximum(np.where(gap > 0, gap, 0).sum(axis=1), np.where(gap < 0, -gap, 0).sum(axis=1)) // np.maximum(width[j], width[i])
-        j, most = j[bound <= most], most[bound <= most]
-        hit = j[[similar(lines[i], lines[k], m) for k, m in zip(j, most.tolist(), strict=True)]] if len(j) else j
-        joined[np.isin(joined, joined[hit])] = joined[i]
-        yield i, hit
+        may = (np.bitwise_count((code[j] ^ code[i]).view(np.uint64)) <= NEAR) & (np.abs(size[i] - size[j]) <= most)
+        hit = []
+        for k, m in zip(j[may].tolist(), most[may].tolist(), strict=True):
+            if forest.root(i) != forest.root(k):
+                gap = tally[k] - tally[i]
+                bound = max(gap[gap > 0].sum(), -gap[gap < 0].sum()) // max(width[k], width[i])
+                if bound <= m and similar(lines[i], lines[k], m):
+                    forest.join(i, k)
+                    hit.append(k)
+        yield i, np.array(hit, dtype=np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +286,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             lines = normal_lines(raw[i].as_py())
             got = spots[i].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([x["lid"] for x in got], pa.int64()), pa.array([x["root"] for x in got], pa.int64()), pa.array([lines[x["line"]] for x in got], pa.binary())], names=["lid", "root", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x["lid"] for x in got], pa.int64()), pa.array([x["root"] for x in got], pa.int64()), pa.array([x["code"] for x in got], pa.int64()), pa.array([lines[x["line"]] for x in got], pa.binary())], names=["lid", "root", "code", "text"])
 
 
 def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,10 +314,10 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     total = more.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     groups = components(in_parts(members, F.lit(8), _near, "size", total).unionByName(close)).withColumnRenamed("node", "lid")
     # 4
-    spots = counted(once.join(groups, "lid").groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("lid", "root", "at.line")).alias("spots")))
-    texts = rows.select("ka", "kb", "raw").join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, root long, text binary")
-    texts = stage(texts.groupBy("lid", "root").agg(F.first("text").alias("text")), "texts")
-    members = texts.select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "text")
+    spots = counted(once.join(groups, "lid").groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("lid", "root", "code", "at.line")).alias("spots")))
+    texts = rows.select("ka", "kb", "raw").join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, root long, code long, text binary")
+    texts = stage(texts.groupBy("lid", "root").agg(F.first("code").alias("code"), F.first("text").alias("text")), "texts")
+    members = texts.select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "code", "text")
     links = components(in_parts(members, F.octet_length("text"), _close)).withColumnRenamed("node", "lid")
     # 5: the first occurrence of every group, and of every line, that there are two of
     order = F.struct(F.col("id").isNull().alias("z"), "id", "kb", "line")
