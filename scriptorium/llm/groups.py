@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,20 @@ class Forest:
 
 def _forests(table: pa.Table, what: Callable) -> pa.Table:
     """Spanning forests of the pairs that ``what`` finds, for every (group, parts) in the table."""
-    names = [c for c in table.column_names if c != "gid"]
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda r: (r[0], r[1], r[2], r[3], r[4] != r[2], r[5]))
-    out, at = [], 0
-    while at < len(rows):
-        end = at + 1
-        while end < len(rows) and rows[end][:4] == rows[at][:4]:
-            end += 1
-        group = {c: [r[i] for r in rows[at:end]] for i, c in enumerate(names)}
-        left = sum(p == group["a"][0] for p in group["part"]) if group["a"][0] != group["b"][0] else 0
+    first = pc.not_equal(table["part"], table["a"])  # the first part's members come first
+    table = table.drop_columns("gid").append_column("late", first).sort_by([(c, "ascending") for c in ("root", "space", "a", "b", "late", "sid")])
+    keys = [table[c].to_numpy() for c in ("root", "space", "a", "b")]
+    cuts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0), [True]))).tolist()
+    two_parts, late = keys[2] != keys[3], table["late"].to_numpy()
+    columns = {c: table[c].to_pylist() for c in table.column_names if c not in ("root", "space", "a", "b", "part", "late")}
+    out = []
+    for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+        left = int((~late[at:end]).sum()) if two_parts[at] else 0
         if end - at > 1 and left < end - at:
+            group = {c: v[at:end] for c, v in columns.items()}
             forest, sid = Forest(end - at), group["sid"]
             for i, js in what(group, left):
                 out += [(sid[i], sid[j]) for j in js.tolist() if forest.join(i, j)]
-        at = end
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 

@@ -54,6 +54,10 @@ NEAR = 16
 SIMILARITY = 85
 #: Features whose bits are added up together.
 _STEP = 1 << 14
+#: Words looked ahead for a place where two lines agree again.
+_REACH = 2000
+#: Lines that a task keeps in mind, so as not to send a repeated line's keys again.
+_KNOWN = 1 << 20
 
 #: A-Z to a-z; digits, letters, non-ASCII and line ends as they are; else a space.
 _PLAIN = bytes(c if c >= 128 or c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -177,19 +181,27 @@ def simhash(sym: np.ndarray, weight: np.ndarray, count: np.ndarray) -> tuple[lis
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ka, kb, id, line, lid, keys, code) of every line that is not blank; lines that only equality can tell have no keys."""
+    """(ka, kb, id, line, lid, keys, code) of every line that is not blank.
+
+    Lines that only equality can tell have no keys, and neither have repeats of a line in a task, nor a code.
+    """
+    known: set[int] = set()
     for batch in batches:
         for first, texts in grouped(batch.column(2)):
             doc, at, lids, judged, bodies = [], [], [], [], []
             for i, t in enumerate(texts):
                 for j, line in enumerate(normal_lines(t)):
                     if line:
-                        if body := features(line):
+                        lid = digest(line)
+                        if lid not in known and (body := features(line)):
+                            if len(known) >= _KNOWN:
+                                known.clear()
+                            known.add(lid)
                             judged.append(len(doc))
                             bodies.append(body)
                         doc.append(first + i)
                         at.append(j)
-                        lids.append(digest(line))
+                        lids.append(lid)
             if not doc:
                 continue
             sizes, codes = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.uint64)
@@ -203,6 +215,22 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes.view(np.int64))], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
 
 
+def _in_step(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
+    """How far to go from i and j to words that agree again."""
+    for d in range(1, 9):
+        for p in range(d + 1):
+            if i + p < len(x) and j + d - p < len(y) and x[i + p] == y[j + d - p]:
+                return p, d - p
+    # a longer passage on one side: the next three words in a row that both have
+    there: dict[tuple, int] = {}
+    for q in range(min(_REACH, len(y) - j - 2)):
+        there.setdefault((y[j + q], y[j + q + 1], y[j + q + 2]), q)
+    for p in range(min(_REACH, len(x) - i - 2)):
+        if (q := there.get((x[i + p], x[i + p + 1], x[i + p + 2]))) is not None:
+            return p, q
+    return len(x) - i, len(y) - j
+
+
 def at_most(a: str, b: str) -> int:
     """A number that the edit distance does not exceed: words in step, with the words between them replaced."""
     x, y = a.split(" "), b.split(" ")
@@ -211,12 +239,22 @@ def at_most(a: str, b: str) -> int:
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
-        step = next(((p, d - p) for d in range(1, 9) for p in range(d + 1) if i + p < len(x) and j + d - p < len(y) and x[i + p] == y[j + d - p]), (len(x) - i, len(y) - j))
-        cost += max(sum(map(len, x[i : i + step[0]])) + step[0], sum(map(len, y[j : j + step[1]])) + step[1])
-        i, j = i + step[0], j + step[1]
+        p, q = _in_step(x, y, i, j)
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        i, j = i + p, j + q
     return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
 
 
+def at_least(a: str, b: str) -> int:
+    """A number that the edit distance is not under: an edit undoes three runs of three characters at most."""
+    grams = []
+    for t in (a, b):
+        c = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+        grams.append(np.bincount((c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20), minlength=4096))
+    gap = grams[0] - grams[1]
+    return -(-int(max(gap[gap > 0].sum(), -gap[gap < 0].sum())) // 3)
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance, or a number over ``most``; bit-parallel, after common ends are cut off."""
     n = min(len(a), len(b))
@@ -253,7 +291,7 @@ def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def similar(a: str, b: str, most: int) -> bool:
-    return at_most(a, b) <= most or distance(a, b, most) <= most
+    return at_most(a, b) <= most or (at_least(a, b) <= most and distance(a, b, most) <= most)
 
 
 def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -294,18 +332,19 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"), F.col(id).alias("id"))
     schema = T.StructType([*rows.schema.fields[:2], rows.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("lid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("code", T.LongType())])
     lines = stage(rows.mapInArrow(_lines, schema), "lines")
-    # 2: blocks of two lines or more; copies of a line are one
-    keys = lines.select("lid", F.explode("keys").alias("root"))
-    seen = counted(keys.groupBy("root").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b"))
+    # 2: blocks of two lines or more. A task sends a line once, so one shuffle does: it is counted, then joined with its counts
+    keys = lines.select("lid", F.explode("keys").alias("root")).repartition("root")
+    seen = keys.groupBy("root").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b")
+    shared = stage(keys.join(seen.hint("shuffle_hash"), "root").distinct(), "shared")
+    sizes = counted(shared.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.first("a").alias("a"), F.first("b").alias("b")))
     # most shared blocks have two lines: these are pairs at once, and the same pair from many blocks is one
-    between = stage(keys.join(seen.hint("shuffle_hash"), "root").where("lid <> a and lid <> b").select("root", "lid").distinct(), "between")
-    sizes = counted(between.groupBy("root").agg((F.count(F.lit(1)) + 2).alias("size")))
-    more = stage(seen.join(sizes, "root"), "more")
-    pairs = stage(seen.join(sizes, "root", "left_anti").select("a", "b").distinct(), "pairs")
-    members = between.join(more.select("root", "size"), "root").unionByName(more.select("root", F.explode(F.array("a", "b")).alias("lid"), "size"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).unionByName(members.select("lid")).distinct()
+    pairs = stage(sizes.where("size = 2").select("a", "b").distinct(), "pairs")
+    more = sizes.where("size > 2").select("root", "size")
+    members = shared.select("root", "lid").join(more, "root")
+    wanted = shared.select("lid").distinct()
     # one occurrence of each candidate gives its text
-    once = stage(lines.select("lid", "code", F.struct("ka", "kb", "line").alias("at")).join(counted(wanted).hint("shuffle_hash"), "lid").groupBy("lid").agg(F.first("code").alias("code"), F.min("at").alias("at")), "once")
+    judged = lines.where(F.size("keys") > 0).select("lid", "code", F.struct("ka", "kb", "line").alias("at"))
+    once = stage(judged.join(counted(wanted).hint("shuffle_hash"), "lid").groupBy("lid").agg(F.first("code").alias("code"), F.min("at").alias("at")), "once")
     code = once.select("lid", "code")
     # 3
     close = pairs.join(code.select(F.col("lid").alias("a"), F.col("code").alias("x")), "a").join(code.select(F.col("lid").alias("b"), F.col("code").alias("y")), "b")
