@@ -79,9 +79,9 @@ def features(line: bytes) -> bytes | None:
 
 def weighed(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature hashes, their bytes (8 at most), and the number of features of each line."""
-    sym, count = word_symbols(bodies)
-    a, b = spans(np.frombuffer(b" ".join(bodies), dtype=np.uint8))
-    return sym, np.minimum(b - a, 8), count
+    sizes: list[np.ndarray] = []
+    sym, count = word_symbols(bodies, sizes)
+    return sym, np.minimum(np.concatenate(sizes), 8), count
 
 
 def _lanes(sym: np.ndarray) -> np.ndarray:
@@ -157,11 +157,14 @@ def _blocked(sym: np.ndarray, weight: np.ndarray, count: np.ndarray, blocks: int
     return keys, some, whole
 
 
-def simhash(sym: np.ndarray, weight: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The block keys of each line and its whole SimHash; ``sym`` are feature hashes, ``weight`` their bytes, ``count`` of each line (at least 1)."""
+def simhash(sym: np.ndarray, weight: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block keys of all lines in order, how many each line has, and its whole SimHash.
+
+    ``sym`` are feature hashes, ``weight`` their bytes, ``count`` of each line (at least 1).
+    """
     level = np.searchsorted(np.array([most for most, _ in LEVELS]), count)
     codes = np.zeros(len(count), dtype=np.uint64)
-    out: list[list[np.ndarray]] = [[] for _ in count]
+    lines, found = [], []
     for k, (_, blocks) in enumerate(LEVELS):
         # its own level, and the next one near the end
         here = (level == k) | ((level == k - 1) & (count * 6 // 5 + 1 > LEVELS[k - 1][0]))
@@ -174,10 +177,10 @@ def simhash(sym: np.ndarray, weight: np.ndarray, count: np.ndarray) -> tuple[lis
         if k == 0:  # within lines of the same number of features, or one more
             n = count[who].astype(np.uint64)[:, None]
             keys, some = np.concatenate((mix(keys + n), mix(keys + n + np.uint64(1))), axis=1), np.concatenate((some, some), axis=1)
-        flat, ends = keys[some], np.cumsum(some.sum(axis=1))
-        for w, x in zip(who.tolist(), np.split(flat, ends[:-1]), strict=True):
-            out[w].append(x)
-    return [np.concatenate(x) if len(x) > 1 else x[0] for x in out], codes
+        found.append(keys[some])
+        lines.append(np.repeat(who, some.sum(axis=1)))
+    line = np.concatenate(lines)
+    return np.concatenate(found)[np.argsort(line, kind="stable")], np.bincount(line, minlength=len(count)), codes
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +210,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, codes = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.uint64)
             flat = pa.array([], pa.int64())
             if bodies:
-                keys, codes[judged] = simhash(*weighed(bodies))
-                sizes[judged] = [len(x) for x in keys]
-                flat = pa.array(np.concatenate(keys).view(np.int64))
+                keys, sizes[judged], codes[judged] = simhash(*weighed(bodies))
+                flat = pa.array(keys.view(np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes.view(np.int64))], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
@@ -255,6 +257,13 @@ def at_least(a: str, b: str) -> int:
     return -(-int(max(gap[gap > 0].sum(), -gap[gap < 0].sum())) // 3)
 
 
+def _least(plus: int, minus: int, rows: int, column: int, columns: int) -> int:
+    """What the distance cannot be under, from the steps down a column: its cells and what is left of either string."""
+    down = [np.unpackbits(np.frombuffer(x.to_bytes(-(-rows // 8), "little"), dtype=np.uint8), bitorder="little", count=rows).astype(np.int32) for x in (plus, minus)]
+    cells = column + np.concatenate(([0], np.cumsum(down[0] - down[1])))
+    return int((cells + np.abs(rows - columns + column - np.arange(rows + 1))).min())
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance, or a number over ``most``; bit-parallel, after common ends are cut off."""
     n = min(len(a), len(b))
@@ -278,8 +287,8 @@ def distance(a: str, b: str, most: int) -> int:
         score += bool(up & last) - bool(down & last)
         up = (up << 1 | 1) & all_
         plus, minus = (down << 1 & all_) | (~(x | up) & all_), up & x
-        if score - (len(b) - 1 - k) > most:
-            break
+        if score - (len(b) - 1 - k) > most or k % 64 == 63 and k + 1 < len(b) and _least(plus, minus, len(a), k + 1, len(b)) > most:
+            return most + 1
     return score
 
 
@@ -290,10 +299,6 @@ def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]
         yield i, first + np.flatnonzero(np.bitwise_count((m[first:] ^ m[i]).view(np.uint64)) <= NEAR)
 
 
-def similar(a: str, b: str, most: int) -> bool:
-    return at_most(a, b) <= most or (at_least(a, b) <= most and distance(a, b, most) <= most)
-
-
 def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
     """A spanning forest of the links: what is linked already needs no distance."""
     lines = [x.decode() for x in group["text"]]
@@ -303,18 +308,33 @@ def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]
     # an edit of a character changes one byte either way, or four where characters are not ASCII
     width = np.where(tally[:, 128:].any(axis=1), 4, 1)
     forest = Forest(len(lines))
+    away: dict[int, tuple[int, int]] = {}  # a line's group's first line, and what its distance does not exceed
     for i in range(left or len(lines) - 1):
         j = np.arange(left or i + 1, len(lines))
         most = np.maximum(size[i], size[j]) * (100 - SIMILARITY) // 100
         may = (np.bitwise_count((code[j] ^ code[i]).view(np.uint64)) <= NEAR) & (np.abs(size[i] - size[j]) <= most)
-        hit = []
+        hit, to = [], {}
         for k, m in zip(j[may].tolist(), most[may].tolist(), strict=True):
-            if forest.root(i) != forest.root(k):
-                gap = tally[k] - tally[i]
-                bound = max(gap[gap > 0].sum(), -gap[gap < 0].sum()) // max(width[k], width[i])
-                if bound <= m and similar(lines[i], lines[k], m):
-                    forest.join(i, k)
-                    hit.append(k)
+            r = forest.root(k)
+            if r == forest.root(i):
+                continue
+            gap = tally[k] - tally[i]
+            if max(gap[gap > 0].sum(), -gap[gap < 0].sum()) // max(width[k], width[i]) > m:
+                continue
+            if at_most(lines[i], lines[k]) > m:
+                if at_least(lines[i], lines[k]) > m:
+                    continue
+                if r != k:  # by way of the group's first line: one distance for many
+                    if r not in to:
+                        to[r] = distance(lines[i], lines[r], 1 << 60)
+                    if away.get(k, (-1, 0))[0] != r:
+                        away[k] = (r, at_most(lines[r], lines[k]))
+                    if to[r] - away[k][1] > m:
+                        continue
+                if distance(lines[i], lines[k], m) > m:
+                    continue
+            forest.join(i, k)
+            hit.append(k)
         yield i, np.array(hit, dtype=np.int64)
 
 
@@ -336,9 +356,11 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     keys = lines.select("lid", F.explode("keys").alias("root")).repartition("root")
     seen = keys.groupBy("root").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b")
     shared = stage(keys.join(seen.hint("shuffle_hash"), "root").distinct(), "shared")
-    sizes = counted(shared.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.first("a").alias("a"), F.first("b").alias("b")))
-    # most shared blocks have two lines: these are pairs at once, and the same pair from many blocks is one
-    pairs = stage(sizes.where("size = 2").select("a", "b").distinct(), "pairs")
+    same = F.sum(F.xxhash64("lid").cast("decimal(38,0)"))
+    sizes = counted(shared.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.first("a").alias("a"), F.first("b").alias("b"), same.alias("same")))
+    # most shared blocks have two lines: these are pairs at once; blocks with the same lines are one
+    sizes = counted(sizes.groupBy("a", "b", "size", "same").agg(F.min("root").alias("root")))
+    pairs = sizes.where("size = 2").select("a", "b")
     more = sizes.where("size > 2").select("root", "size")
     members = shared.select("root", "lid").join(more, "root")
     wanted = shared.select("lid").distinct()

@@ -120,8 +120,8 @@ def digest(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
 
 
-def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit symbol for each word of all texts, and the number of words of each."""
+def word_symbols(texts: list[bytes], sizes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit symbol for each word of all texts, and the number of words of each; ``sizes`` receives the words' bytes."""
     syms, counts = [], np.zeros(len(texts), dtype=np.int64)
     held, size = [], 0
 
@@ -129,6 +129,8 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b" ".join(held)
         a, b = spans(np.frombuffer(joined, dtype=np.uint8))
         syms.append(hashed(joined, a, b))
+        if sizes is not None:
+            sizes.append(b - a)
         at = np.cumsum([0] + [len(h) + 1 for h in held])
         counts[first : first + len(held)] += np.diff(np.searchsorted(a, at))
 

@@ -384,10 +384,10 @@ def test_block_recall():
             x, y = " ".join(a), " ".join(b if r.random() < 0.5 else np.delete(b, r.integers(0, n)))
             most = max(len(x), len(y)) * 15 // 100
             if lines.distance(x, y, most) <= most:
-                keys, code = lines.simhash(*lines.weighed([x.encode(), y.encode()]))
+                keys, per, code = lines.simhash(*lines.weighed([x.encode(), y.encode()]))
                 far = int(code[0] ^ code[1]).bit_count()
                 pairs += 1
-                found += bool(set(keys[0].tolist()) & set(keys[1].tolist())) and far <= lines.NEAR
+                found += bool(set(keys[: per[0]].tolist()) & set(keys[per[0] :].tolist())) and far <= lines.NEAR
     assert pairs > 300 and found >= 0.9 * pairs, found / pairs
 
 
@@ -420,3 +420,11 @@ def test_edit_distance():
         d = slow(a, b)
         assert lines.distance(a, b, 99) == d
         assert (lines.distance(a, b, 3) <= 3) == (d <= 3)
+        assert lines.at_least(a, b) <= d <= lines.at_most(a, b)
+    for _ in range(30):  # long enough to be given up early
+        a = "".join(r.choice(list("abcdé"), 400))
+        b = "".join(r.choice(list("abcdé"), 150)) + a[r.integers(0, 150) : 380]
+        d = slow(a, b)
+        assert lines.distance(a, b, 999) == d
+        for most in (d - 1, d, 60):
+            assert (lines.distance(a, b, most) <= most) == (d <= most)
