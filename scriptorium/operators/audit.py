@@ -65,8 +65,8 @@ def field_warning(n: F.Column) -> F.Column:
 
 
 def status(failed: F.Column, done: F.Column, skipped: F.Column) -> F.Column:
-    """failed if nothing but failures; partial_success if some; success if none."""
-    return F.when((failed > 0) & (done + skipped == 0), "failed").when(failed > 0, "partial_success").otherwise("success")
+    """failed if nothing was ingested or skipped; else partial_success if some failed, success if none."""
+    return F.when(done + skipped == 0, "failed").when(failed > 0, "partial_success").otherwise("success")
 
 
 def ingest_stats(outcomes: DataFrame, outcome: str = "status", by: list[str] | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def domain_boost(spark, sf):
 
 
 def _cases(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source", _domain().alias("domain"), F.substring("text", 1, 40).alias("text"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source", _domain().alias("domain"), "text")
     near = _nearest(_with_query(spark, sf).join(d, "vec_id"), 50).withColumn("component", F.concat(F.lit("label"), F.col("label")))
     return ranking.scored(ranking.keep_components(near, TARGETS, "component"), _wanted(), domain="domain", component="component")
 
@@ -188,7 +188,7 @@ def chunk_id(spark, sf):
 
 def safe_id(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", tx.safe_id(F.substring("text", 1, 80), F.col("lang"), F.col("text")).alias("safe_id"))
+    return d.select("doc_id", tx.safe_id(F.col("text"), F.col("lang"), F.col("text")).alias("safe_id"))
 
 
 def file_parts(spark, sf):
@@ -295,10 +295,10 @@ def dedupe_greedy(spark, sf):
 
 
 def _block() -> Column:
-    return F.concat(F.lit("Case Title: "), F.col("source"), F.lit(" v B: C\nPARTIES : "), F.col("lang"), F.lit("\n\nYEAR - 20"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit("\nCourt: high\nCOURT LEVEL: "), F.substring("text", 1, 12), F.lit("\n**JUDGE:** x\nfile name - A-B\nWinner: "), F.col("doc_id").cast("string"))
+    return F.concat(F.lit("Case Title: "), F.col("source"), F.lit(" v B: C\nPARTIES : "), F.col("lang"), F.lit("\n\nYEAR - 20"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit("\nCourt: high\nCOURT LEVEL: "), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("\n**JUDGE:** x\nfile name - A-B\nWinner: "), F.col("doc_id").cast("string"))
 
 
-_BLOCK_SQL = "'Case Title: ' || source || ' v B: C' || chr(10) || 'PARTIES : ' || lang || chr(10) || chr(10) || 'YEAR - 20' || (doc_id % 90 + 10) || chr(10) || 'Court: high' || chr(10) || 'COURT LEVEL: ' || substr(text, 1, 12) || chr(10) || '**JUDGE:** x' || chr(10) || 'file name - A-B' || chr(10) || 'Winner: ' || doc_id"
+_BLOCK_SQL = "'Case Title: ' || source || ' v B: C' || chr(10) || 'PARTIES : ' || lang || chr(10) || chr(10) || 'YEAR - 20' || (doc_id % 90 + 10) || chr(10) || 'Court: high' || chr(10) || 'COURT LEVEL: ' || replace(text, chr(10), ' ') || chr(10) || '**JUDGE:** x' || chr(10) || 'file name - A-B' || chr(10) || 'Winner: ' || doc_id"
 
 
 def parse_metadata(spark, sf):
@@ -314,8 +314,9 @@ def _reply() -> Column:
     return F.concat(F.lit("Intro\n## SECTION 0: METADATA\n"), F.col("source"), F.lit("\n# Section 1 - Facts\n"), t(0), F.lit("\nSECTION 2: ISSUES "), t(1), F.lit("\nSECTION 3: RULES\n"), t(2), F.lit("\n### SECTION 4: APPLICATION\n"), t(3), last)
 
 
-_T = "replace(substr(text, {}, 60), chr(10), chr(10) || chr(10) || chr(10) || chr(10))"
-_REPLY_SQL = f"'Intro' || chr(10) || '## SECTION 0: METADATA' || chr(10) || source || chr(10) || '# Section 1 - Facts' || chr(10) || {_T.format(1)} || chr(10) || 'SECTION 2: ISSUES ' || {_T.format(60)} || chr(10) || 'SECTION 3: RULES' || chr(10) || {_T.format(100)} || chr(10) || '### SECTION 4: APPLICATION' || chr(10) || {_T.format(150)} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '## Section 5 : Conclusion' || chr(10) || {_T.format(200)} END"
+_BODIES = "CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 5 END"
+_T = f"replace(substr(text, {{}} * ceil(length(text) / ({_BODIES})::DOUBLE)::INT + 1, ceil(length(text) / ({_BODIES})::DOUBLE)::INT), chr(10), chr(10) || chr(10) || chr(10) || chr(10))"
+_REPLY_SQL = f"'Intro' || chr(10) || '## SECTION 0: METADATA' || chr(10) || source || chr(10) || '# Section 1 - Facts' || chr(10) || {_T.format(0)} || chr(10) || 'SECTION 2: ISSUES ' || {_T.format(1)} || chr(10) || 'SECTION 3: RULES' || chr(10) || {_T.format(2)} || chr(10) || '### SECTION 4: APPLICATION' || chr(10) || {_T.format(3)} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '## Section 5 : Conclusion' || chr(10) || {_T.format(4)} END"
 
 
 def extract_sections(spark, sf):
@@ -364,8 +365,8 @@ def article_segment(spark, sf):
 
 _STATUTE_SQL = """
 raw AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
-    CASE WHEN (i - 1) % 11 = 0 THEN 'CHAPTER ' || (i - 1) || chr(10) || chr(10) || substr(x, 1, 20)
-         WHEN (i - 1) % 7 = 3 THEN 'Part ' || (i - 1) || ' – ' || substr(x, 1, 15)
+    CASE WHEN (i - 1) % 11 = 0 THEN 'CHAPTER ' || (i - 1) || chr(10) || chr(10) || x
+         WHEN (i - 1) % 7 = 3 THEN 'Part ' || (i - 1) || ' – ' || x
          WHEN (i - 1) % 2 = 1 THEN ((i - 1) // 4 + 1) || '. ' || x ELSE x END), chr(10)) AS body FROM documents),
 l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS raw, unnest(range(len(string_split(body, chr(10))))) AS n FROM raw),
 s AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS s FROM l),
@@ -543,7 +544,10 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 _WINDOWS_SQL = f"""w AS (SELECT doc_id, greatest(0, ceil((length(text) - {chunk.SIZE}) / {chunk.SIZE - chunk.OVERLAP}.0))::INT AS last, text FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, last + 1 AS total, i + 1 AS i, substr(text, i * {chunk.SIZE - chunk.OVERLAP} + 1, {chunk.SIZE}) AS t FROM (SELECT *, unnest(range(last + 1)) AS i FROM w))"""
 _HASH = "CASE WHEN text <> '' THEN sha256(text) ELSE '' END"
-_STORED = f"stored AS (SELECT doc_id, source, text, CASE WHEN doc_id % 10 = 0 THEN 'old' ELSE {_HASH} END AS hash FROM documents WHERE doc_id % 2 = 0), incoming AS (SELECT doc_id, source, 'new ' || text AS text, {_HASH} AS hash FROM documents WHERE doc_id % 3 = 0)"
+_STORED = f"""labelled AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+stored AS (SELECT doc_id, source, text, CASE WHEN quality = 0 THEN 'old' ELSE {_HASH} END AS hash FROM documents JOIN labelled USING (doc_id)
+           UNION ALL SELECT -1 - page_id, url, html, sha256(html) FROM pages),
+incoming AS (SELECT doc_id, source, 'new ' || text AS text, {_HASH} AS hash FROM documents)"""
 
 
 def _fields_sql() -> str:
@@ -570,7 +574,7 @@ ORACLE_SQL = {
     "doc_hash": f"SELECT doc_id, {_HASH} AS hash FROM documents",
     "exact_dups": f"SELECT {_HASH} AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "chunk_id": "SELECT doc_id, 'const_' || source || '_art' || doc_id || '_chunk1_' || substr(sha256(text), 1, 8) AS chunk_id FROM documents",
-    "safe_id": "SELECT doc_id, concat_ws('_', substr(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9_-]', '_', 'g'), 1, 50), lang, substr(sha256(text), 1, 8)) AS safe_id FROM documents",
+    "safe_id": "SELECT doc_id, concat_ws('_', substr(regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g'), 1, 50), lang, substr(sha256(text), 1, 8)) AS safe_id FROM documents",
     "file_parts": r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') AS stem, regexp_extract(url, '([^/]*)$', 1) AS name, CASE WHEN length(html) > 200 THEN substr(html, 1, 200) || '...' ELSE html END AS preview FROM pages",
     "chunk_window": f"WITH {_WINDOWS_SQL} SELECT doc_id, total::BIGINT AS total_chunks, i::BIGINT AS chunk_index, t AS chunk_text FROM c",
     "chunk_flatten": f"WITH {_WINDOWS_SQL} SELECT doc_id, i::BIGINT AS chunk_index, length(t) AS chunk_length, total = 1 AS is_complete FROM c",
@@ -588,18 +592,18 @@ ORACLE_SQL = {
     "audit_sequence": "WITH c AS (SELECT conv_id, turn + 1 AS i FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1)) SELECT conv_id, count(*) AS n, list(i ORDER BY i) = range(1, count(*) + 1) AS indices_ok, max(i) = count(*) AS total_ok FROM c GROUP BY conv_id",
     "completeness": "WITH a AS (SELECT conv_id, bool_or(turn = 5) AS whole FROM conversations GROUP BY conv_id) SELECT count(*) AS chunks, count(DISTINCT CASE WHEN role <> '' THEN role END) AS chapters, count(DISTINCT CASE WHEN turn > 2 THEN turn END) AS parts, count(DISTINCT conv_id) AS articles, round(avg(length(text)), 6) AS avg_length, min(length(text)) AS min_length, max(length(text)) AS max_length, (SELECT count(*) FROM a WHERE whole) AS complete_articles, (SELECT count(*) FROM a WHERE NOT whole) AS partial_articles FROM conversations",
     "embedding_stats": "SELECT vec_id, len(embedding) AS dim, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS std, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings",
-    "ingest_status": "WITH s AS (SELECT source, CASE WHEN length(text) < 20 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'ingested' END AS st FROM documents), c AS (SELECT source, count(*) AS total, count_if(st = 'ingested')::BIGINT AS ingested, count_if(st = 'skipped')::BIGINT AS skipped, count_if(st = 'failed')::BIGINT AS failed FROM s GROUP BY source) SELECT *, CASE WHEN failed > 0 AND ingested + skipped = 0 THEN 'failed' WHEN failed > 0 THEN 'partial_success' ELSE 'success' END AS overall FROM c",
-    "article_order": "SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id || 'A' ELSE doc_id::VARCHAR END AS number FROM documents ORDER BY try_cast(number AS INT) NULLS LAST, number LIMIT 100",
+    "ingest_status": "WITH s AS (SELECT source, CASE WHEN length(text) < 20 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'ingested' END AS st FROM documents), c AS (SELECT source, count(*) AS total, count_if(st = 'ingested')::BIGINT AS ingested, count_if(st = 'skipped')::BIGINT AS skipped, count_if(st = 'failed')::BIGINT AS failed FROM s GROUP BY source) SELECT *, CASE WHEN ingested + skipped = 0 THEN 'failed' WHEN failed > 0 THEN 'partial_success' ELSE 'success' END AS overall FROM c",
+    "article_order": "SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id || 'A' ELSE doc_id::VARCHAR END AS number FROM documents ORDER BY try_cast(number AS INT) NULLS LAST, number",
     "skip_existing": f"WITH {_STORED} SELECT doc_id, hash FROM incoming WHERE doc_id NOT IN (SELECT doc_id FROM stored)",
     "change_detection": f"WITH {_STORED} SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.doc_id = i.doc_id AND s.hash = i.hash) THEN 'skipped' ELSE 'ingested' END AS status FROM incoming i",
     "upsert_by_group": f"WITH {_STORED}, u AS (SELECT doc_id, text FROM stored WHERE doc_id NOT IN (SELECT doc_id FROM incoming) UNION ALL SELECT doc_id, text FROM incoming) SELECT doc_id, length(text) AS n, sha256(text) AS text_hash FROM u",
     "delete_by_predicate": "SELECT source, count(*) AS n FROM documents WHERE lang <> 'de' GROUP BY source",
     "point_lookup": "SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8, 1000000000)",
     "semi_join_lookup": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "context_format": "WITH d AS (SELECT doc_id % 20 AS query_id, doc_id // 20 + 1 AS rank, 1 / (doc_id + 1.3)::DOUBLE AS r, substr(text, 1, 30) AS t, source, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'Unknown' END AS st FROM documents WHERE doc_id < 60) SELECT query_id, string_agg('[Chunk ' || rank || ' - Relevance Score: ' || printf('%.4f', r) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS context, string_agg('[' || rank || '] ' || source || ' (start ' || st || ')', chr(10) ORDER BY rank) AS citations FROM d GROUP BY query_id",
+    "context_format": "WITH d AS (SELECT doc_id // 3 AS query_id, doc_id % 3 + 1 AS rank, 1 / (doc_id + 1.3)::DOUBLE AS r, text AS t, source, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'Unknown' END AS st FROM documents) SELECT query_id, string_agg('[Chunk ' || rank || ' - Relevance Score: ' || printf('%.4f', r) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS context, string_agg('[' || rank || '] ' || source || ' (start ' || st || ')', chr(10) ORDER BY rank) AS citations FROM d GROUP BY query_id",
     "corpus_stats": "WITH t AS (SELECT len(regexp_extract_all(lower(text), '[\\pL\\pN\\pM_][\\pL\\pN\\pM_]+')) AS n FROM documents) SELECT count(*) AS chunks, min(n) AS min_tokens, max(n) AS max_tokens, round(avg(n), 6) AS avg_tokens FROM t",
     "chapter_counts": "SELECT (doc_id % 12)::INT AS chapter_no, count(*) AS articles FROM documents GROUP BY 1",
-    "payload_flatten": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 25) WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS content, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS metadata FROM documents",
+    "payload_flatten": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS content, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS metadata FROM documents",
     "retrieval_stats": f"WITH {_BASE_SQL}, near AS (SELECT vec_id, source, 'label' || label AS component FROM e JOIN documents ON doc_id = vec_id ORDER BY d, vec_id LIMIT 50), k AS (SELECT * FROM near WHERE component IN {_TARGET_SQL} OR NOT EXISTS (SELECT 1 FROM near WHERE component IN {_TARGET_SQL})) SELECT (SELECT count(*) FROM near) AS total_candidates, count(*) AS after_component_filter, count(DISTINCT source) AS unique_parents_found, least(3, count(DISTINCT source)) AS returned_parents FROM k",
     "summary_fallback": "WITH c AS (SELECT conv_id, upper(role) || ': ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations) SELECT conv_id, 'Case ' || conv_id || chr(10) || string_agg('- ' || l, chr(10) ORDER BY i) AS summary FROM c WHERE i <= 3 GROUP BY conv_id",
 }

@@ -54,17 +54,6 @@ def test_dedupe_greedy_sees_whole_texts(spark, tmp_path):
     assert queries.dedupe_greedy(spark, str(tmp_path)).count() == 2
 
 
-def test_short_lines(spark, tmp_path):
-    from scriptorium.llm import lines
-
-    long = "one line of more than five words that is only here"
-    rows = [(1, f"{long}\nAll rights reserved.\n\nLes."), (2, "Les!\nall rights  reserved\n\n今日は良い天気ですね"), (3, "今日は良い天気ですね\nLesser"), (4, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: r["removed_lines"] for r in lines.without_repeats(spark.read.parquet(f"{tmp_path}/documents.parquet"), short=True).collect()}
-    assert out == {1: [], 2: [0, 1], 3: [0], 4: []}
-    assert {r["doc_id"]: r["n_removed"] for r in lines.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1, 4: 0}
-
-
 def _squeezed(text):
     return "".join(text.split())
 
@@ -107,27 +96,3 @@ def test_store_sides(spark, texts):
     after = {r["doc_id"]: r["n"] for r in queries.upsert_by_group(spark, SF).collect()}
     pages = {-1 - r["page_id"]: len(r["html"]) for r in queries.table(spark, SF, "pages").collect()}
     assert after == {k: len(r["text"]) + 4 for k, r in texts.items()} | pages
-
-
-def test_mpl_notice():
-    from scriptorium.llm import licenses
-
-    notice = b"""This Source Code Form is subject to the terms of the Mozilla Public
-License, v. 2.0. If a copy of the MPL was not distributed with this
-file, You can obtain one at https://mozilla.org/MPL/2.0/."""
-    starred = b"/* " + notice.replace(b"\n", b"\n * ") + b" */"
-    for text in (notice, starred, notice.replace(b"Public\nLicense", b"Public License"), b"Some code.\n\n" + notice):
-        assert licenses.licences([k for _, _, k in licenses.recognised(text)]) == ["MPL-2.0"]
-
-
-def test_every_text_rule_holds_on_its_sentences():
-    from scriptorium.llm import licenses
-
-    for licence, rule in licenses.TEXT_RULES:
-        if licence.startswith("GPL"):  # the identifiers overlap: the notices are below
-            continue
-        text = ".\n\n".join(licenses.SENTENCES[k] for k in rule).encode() + b"."
-        assert licence in licenses.licences([k for _, _, k in licenses.recognised(text)]), licence
-    gpl = "This program is free software%s you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation%s either version %d of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY."
-    for a, b, n in ((";", ";", 2), (":", ",", 3)):
-        assert f"GPL-{n}.0" in licenses.licences([k for _, _, k in licenses.recognised((gpl % (a, b, n)).encode())])
