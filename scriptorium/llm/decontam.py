@@ -1,14 +1,14 @@
 """Benchmark decontamination by a broadcast set of test n-grams.
 
-The benchmark's n-gram windows, hashed, go to every task as sorted arrays. A
-task scans its documents' token windows against them in numpy, verifies each
-hit word by word, and marks the covered words. The documents are read once and
-never shuffled.
+The benchmark's n-gram windows, hashed, go to every task as sorted arrays that
+the driver builds once. A task scans its documents' token windows against them
+in numpy, verifies each hit by its words, and marks the covered words. The
+documents are read once and never shuffled.
 
 The broadcast is bounded: a benchmark whose text exceeds ``BROADCAST_BYTES``
-is split into pieces within the bound, each piece scans the documents, and the
-pieces' hits are merged per document. That way is exact too; it costs one scan
-a piece.
+is split into pieces within the bound. Each piece scans the documents and
+returns hits only, which are merged by text before anything is counted or cut:
+the result is the same. It costs a scan a piece and a shuffle of the documents.
 
 Words: A-Z lower-cased, then runs of digits, a-z and any non-ASCII. An item of
 n words or more has all its n-word windows; a shorter one is one window.
@@ -16,13 +16,12 @@ n words or more has all its n-word windows; a shorter one is one window.
 Defined results: null texts and texts without words have no words and no hits;
 null or wordless items have no window; an item with a null id marks words but
 is not counted or listed; equal items are listed each; repeated document rows
-are judged one by one; an empty benchmark leaves everything clean; columns
-beside id and text are not touched, whatever their names.
+are judged one by one; an empty benchmark leaves everything clean; other
+columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,100 +32,90 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.common import fresh
+from scriptorium.llm.repeats import grouped, hashed, prefix, ranges, spans
 
 N = 10
-#: Most benchmark text in one broadcast. Its windows take about 12 times that.
+#: Most benchmark text in one broadcast. Its arrays take about 5 times that in every Python worker.
 BROADCAST_BYTES = 16 << 20
-#: Words scanned together; bounds the arrays of a task.
-CHUNK_WORDS = 1 << 18
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A-Z to a-z; digits, a-z and non-ASCII as they are; else a space.
+_PLAIN = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_SPAN = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """bytes.lower() maps A-Z only; bytes over 0x7F are parts of non-ASCII characters."""
-    return _WORD.findall(text.lower()) if text else []
+def _words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Plain texts in one string, starts and ends of the words in it, and the text of each word."""
+    joined = b" ".join(t.translate(_PLAIN) for t in texts)
+    a, b = spans(np.frombuffer(joined, dtype=np.uint8))
+    offset = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    return joined, a, b, np.searchsorted(offset, a, "right") - 1
 
 
 class Grams:
-    """The windows of some items: for each window length, sorted hashes and their word ids."""
+    """The windows of some items: for each window length, sorted hashes with their bytes in ``plain`` and their items."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int):
-        self.ids: dict[bytes, int] = {}
         self.names = [str(k) if k is not None else None for k, _ in items]
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for k, (_, text) in enumerate(items):
-            ws = [self.ids.setdefault(w, len(self.ids) + 1) for w in tokens(text)]
-            m = min(n, len(ws))
-            for i in range(len(ws) - m + 1 if m else 0):
-                found.setdefault(m, {}).setdefault(tuple(ws[i : i + m]), set()).add(k)
+        texts = [b" ".join(t.translate(_PLAIN).split()) for _, t in items] or [b""]
+        self.plain, a, b, item = _words(texts)
+        p = prefix(hashed(self.plain, a, b))
+        count = np.bincount(item, minlength=len(texts))
+        m = np.minimum(n, count)[item]
+        last = np.cumsum(count)[item]  # the word after the item's last
+        starts = np.flatnonzero(np.arange(len(a)) + m <= last)
         self.by_length = {}
-        for m, windows in found.items():
-            grams = np.array(list(windows), dtype=np.int32).reshape(-1, m)
-            keys = _rolling(grams.astype(np.uint64).ravel(), m)[::m]
+        for k in np.unique(m[starts]).tolist():
+            at = starts[m[starts] == k]
+            keys = ranges(p, at, k)
             order = np.argsort(keys, kind="stable")
-            owners = list(windows.values())
-            self.by_length[m] = (keys[order], grams[order], [owners[i] for i in order])
-
-
-def _rolling(ids: np.ndarray, m: int) -> np.ndarray:
-    """Polynomial hash of every m consecutive ids."""
-    out = np.zeros(max(0, len(ids) - m + 1), dtype=np.uint64)
-    for k in range(m):
-        out = out * _BASE + (ids[k : k + len(out)] ^ (ids[k : k + len(out)] << np.uint64(29)))
+            at = at[order]
+            self.by_length[k] = (keys[order], a[at].astype(np.int32), b[at + k - 1].astype(np.int32), item[at].astype(np.int32))
+
+    def bytes(self) -> int:
+        return len(self.plain) + sum(x.nbytes for arrays in self.by_length.values() for x in arrays)
+
+
+def hits(texts: list[bytes], grams: Grams) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
+    """For each text: its words, the runs (first, after) of hit words, and the items whose windows occur."""
+    joined, a, b, doc = _words(texts)
+    count = np.bincount(doc, minlength=len(texts)).tolist()
+    p = prefix(hashed(joined, a, b))
+    begin = np.cumsum([0, *count])
+    runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[int]] = [set() for _ in texts]
+    for m, (keys, first, after, owner) in grams.by_length.items():
+        at = np.arange(max(0, len(a) - m + 1))
+        at = at[doc[at] == doc[at + m - 1]]
+        h = ranges(p, at, m)
+        low = np.searchsorted(keys, h)
+        some = low < len(keys)
+        some[some] = keys[low[some]] == h[some]
+        for i, j in zip(at[some].tolist(), low[some].tolist(), strict=True):
+            said, k, d = b" ".join(joined[a[i] : b[i + m - 1]].split()), keys[j], int(doc[i])
+            found = False
+            while j < len(keys) and keys[j] == k:
+                if grams.plain[first[j] : after[j]] == said:
+                    items[d].add(int(owner[j]))
+                    found = True
+                j += 1
+            if found:
+                runs[d].append((i - int(begin[d]), i - int(begin[d]) + m))
+    return [(n, merged(r), i) for n, r, i in zip(count, runs, items, strict=True)]
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching runs made one, in order."""
+    out: list[tuple[int, int]] = []
+    for first, after in sorted(runs):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(after, out[-1][1]))
+        else:
+            out.append((first, after))
     return out
 
 
-def hits(docs: list[list[bytes]], grams: Grams) -> list[tuple[np.ndarray, set[int]]]:
-    """For each document, a mask of its hit words and the items whose windows occur."""
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    get = grams.ids.get
-    ids = np.fromiter((get(w, 0) for d in docs for w in d), dtype=np.int64, count=int(sizes.sum()))
-    until = np.repeat(ends, sizes)
-    mask, items = np.zeros(len(ids) + 1, dtype=np.int64), [set() for _ in docs]
-    for m, (keys, rows, owners) in grams.by_length.items():
-        if len(ids) < m:
-            continue
-        known = np.convolve(ids != 0, np.ones(m, dtype=np.int64), "valid") == m
-        at = np.flatnonzero(known & (np.arange(len(ids) - m + 1) + m <= until[: len(ids) - m + 1]))
-        if not len(at):
-            continue
-        window = np.lib.stride_tricks.sliding_window_view(ids, m)
-        h = _rolling(ids.astype(np.uint64), m)[at]
-        low = np.searchsorted(keys, h, "left")
-        step = 0
-        while len(at):  # almost always one turn: keys are unequal but for collisions
-            j = low + step
-            ok = j < len(keys)
-            ok[ok] = keys[j[ok]] == h[ok]
-            at, h, low, j = at[ok], h[ok], low[ok], j[ok]
-            same = (window[at] == rows[j]).all(axis=1) if len(at) else np.zeros(0, dtype=bool)
-            for start, row, doc in zip(at[same], j[same], np.searchsorted(ends, at[same], "right"), strict=True):
-                mask[start] += 1
-                mask[start + m] -= 1
-                items[doc] |= owners[row]
-            at, h, low = at[~same], h[~same], low[~same]
-            step += 1
-    hit = np.cumsum(mask[:-1]) > 0
-    return [(hit[e - s : e], i) for s, e, i in zip(sizes, ends, items, strict=True)]
-
-
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    held, first, n = [], 0, 0
-    for k, t in enumerate(texts):
-        held.append(tokens(t))
-        n += len(held[-1])
-        if n >= CHUNK_WORDS:
-            yield first, held
-            held, first, n = [], k + 1, 0
-    if held:
-        yield first, held
-
-
-def _pieces(benchmark: DataFrame, item: str, text: str) -> list[Broadcast]:
-    """The items in broadcasts of at most BROADCAST_BYTES (or one longer item) each.
+def _pieces(benchmark: DataFrame, item: str, text: str, n: int) -> list[Broadcast]:
+    """The windows of at most BROADCAST_BYTES of items (or one longer item) a piece.
 
     The driver reads row by row and holds one piece at a time.
     """
@@ -135,20 +124,84 @@ def _pieces(benchmark: DataFrame, item: str, text: str) -> list[Broadcast]:
     out, held, size = [], [], 0
     for r in rows.toLocalIterator():
         if held and size + len(r.t) > BROADCAST_BYTES:
-            out.append(sc.broadcast(held))
+            out.append(sc.broadcast(Grams(held, n)))
             held, size = [], 0
         size += len(r.t)
         held.append((r.k, bytes(r.t)))
-    return [*out, sc.broadcast(held)]
+    return [*out, sc.broadcast(Grams(held, n))]
+
+
+def _binary(column: pa.Array) -> pa.Array:
+    return column.cast(pa.binary()).fill_null(b"")
+
+
+def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"first": a, "after": b} for a, b in r] for r in rows], _SPAN)
 
 
-def _scan(docs: DataFrame, sent: Broadcast, n: int, kernel, schema) -> DataFrame:
+def _marks(sent: Broadcast, text: str, keep: bool, names: list[str]):
+    """Every row with what ``hits`` says of its text; without the text unless ``keep``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(sent.value, n)
         for batch in batches:
-            yield from kernel(batch, grams)
+            at = batch.schema.get_field_index(text)
+            own = [i for i in range(batch.num_columns) if keep or i != at]
+            for first, texts in grouped(_binary(batch.column(at))):
+                found = hits(texts, sent.value)
+                listed = [sorted({sent.value.names[i] for i in items} - {None}) for _, _, items in found]
+                new = [pa.array([n for n, _, _ in found], pa.int64()), _spans([r for _, r, _ in found]), pa.array(listed, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in own), *new], names=[*(batch.schema.field(i).name for i in own), *names])
+
+    return run
+
 
-    return docs.mapInArrow(run, schema)
+def _hits_only(sent: Broadcast):
+    """(a, b, runs, items) of the texts that have any hit; (a, b) is the text's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in grouped(_binary(batch.column(2))):
+                found = [(first + i, r, items) for i, (_, r, items) in enumerate(hits(texts, sent.value)) if r]
+                if found:
+                    take = pa.array([i for i, _, _ in found])
+                    listed = [sorted({sent.value.names[i] for i in items} - {None}) for _, _, items in found]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), _spans([r for _, r, _ in found]), pa.array(listed, pa.list_(pa.string()))], names=["a", "b", "runs", "items"])
+
+    return run
+
+
+def _merge(text: str, keep: bool, names: list[str]):
+    """Rows with the runs and items of all pieces, merged; their words counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, listed = (batch.schema.get_field_index(c) for c in (text, *names[1:]))
+            n = [len(t.translate(_PLAIN).split()) for t in _binary(batch.column(at)).to_pylist()]
+            runs = [merged([(x["first"], x["after"]) for part in r or () for x in part]) for r in batch.column(found).to_pylist()]
+            items = [sorted({x for part in i or () for x in part}) for i in batch.column(listed).to_pylist()]
+            own = [i for i in range(batch.num_columns) if i not in (found, listed) and (keep or i != at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(n, pa.int64()), _spans(runs), pa.array(items, pa.list_(pa.string()))], names=[*(batch.schema.field(i).name for i in own), *names])
+
+    return run
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, names: list[str], *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, keep: bool = True) -> DataFrame:
+    """``docs`` with its words counted, its runs of hit words (first, after) and the sorted names of items found, by ``names``."""
+    span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())]))
+    kinds = [T.LongType(), span, T.ArrayType(T.StringType())]
+    schema = T.StructType([f for f in docs.schema if keep or f.name != text] + [T.StructField(c, k) for c, k in zip(names, kinds, strict=True)])
+    pieces = _pieces(benchmark, item, item_text, n)
+    if len(pieces) == 1:
+        return docs.mapInArrow(_marks(pieces[0], text, keep, names), schema)
+    narrow = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("a"), F.md5(F.col(text).cast("binary")).alias("b"), F.col(text).alias("t"))
+    found = [narrow.mapInArrow(_hits_only(p), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("runs", span), T.StructField("items", kinds[2])])) for p in pieces]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    a, b = fresh(docs, "key_a", "key_b")
+    every = every.groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.collect_set("runs").alias(names[1]), F.collect_set("items").alias(names[2]))
+    wide = docs.withColumn(a, F.xxhash64(text)).withColumn(b, F.md5(F.col(text).cast("binary"))).join(every, [a, b], "left").drop(a, b)
+    return wide.select(*docs.columns, *names[1:]).mapInArrow(_merge(text, keep, names), schema)
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
@@ -156,64 +209,11 @@ def scanned(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
 
     Names that clash get underscores in front.
     """
-    names = fresh(docs.drop(text), "n_words", "n_hit", "items")
-    schema = T.StructType([f for f in docs.schema if f.name != text] + [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.ArrayType(T.StringType()))])
-    pieces = _pieces(benchmark, item, item_text)
-    if len(pieces) > 1:
-        return _by_pieces(docs, pieces, n, text, names)
-    raw = docs.withColumn(text, F.col(text).cast("binary"))
-    return _scan(raw, pieces[0], n, lambda b, g: _count(b, g, text), schema)
-
-
-def _rest(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
-    return [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != text]
-
-
-def _count(batch: pa.RecordBatch, grams: Grams, text: str) -> Iterator[pa.RecordBatch]:
-    names = [f.name for f in batch.schema if f.name != text]
-    values = batch.column(batch.schema.get_field_index(text)).to_pylist()
-    for first, docs in _chunks(values):
-        part = batch.slice(first, len(docs))
-        found = hits(docs, grams)
-        listed = [sorted({grams.names[i] for i in items} - {None}) for _, items in found]
-        new = [pa.array([len(d) for d in docs], pa.int64()), pa.array([int(m.sum()) for m, _ in found], pa.int64()), pa.array(listed, pa.list_(pa.string()))]
-        taken = [*names]
-        for k in ("n_words", "n_hit", "items"):
-            while k.lower() in {x.lower() for x in taken}:
-                k = f"_{k}"
-            taken.append(k)
-        yield pa.RecordBatch.from_arrays([*_rest(part, text), *new], names=taken)
-
-
-def _by_pieces(docs: DataFrame, pieces: list[Broadcast], n: int, text: str, names: list[str]) -> DataFrame:
-    """One scan a piece; each returns hit documents only, as (key, spans, items); then a merge per document."""
-    key = F.struct(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("a"), F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in docs.columns])).alias("b"))
-    keyed = docs.withColumn("__key", key)
-    narrow = keyed.select("__key", F.col(text).cast("binary").alias("t"))
-    schema = "__key struct<a:bigint,b:string>, spans array<int>, found array<string>"
-
-    def kernel(batch: pa.RecordBatch, grams: Grams) -> Iterator[pa.RecordBatch]:
-        keys, texts = batch.column(0), batch.column(1).to_pylist()
-        for first, ds in _chunks(texts):
-            rows, spans, found = [], [], []
-            for k, (mask, items) in enumerate(hits(ds, grams)):
-                if items:
-                    rows.append(first + k)
-                    spans.append(np.flatnonzero(mask).astype(np.int32))
-                    found.append(sorted({grams.names[i] for i in items} - {None}))
-            if rows:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["__key", "spans", "found"])
-
-    parts = [_scan(narrow, p, n, kernel, schema) for p in pieces]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    words = merged.select("__key", F.explode("spans").alias("w")).groupBy("__key").agg(F.countDistinct("w").alias("__hit"))
-    items = merged.select("__key", F.explode("found").alias("i")).groupBy("__key").agg(F.sort_array(F.collect_set("i")).alias("__items"))
-    n_words = F.size(F.array_remove(F.split(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " "), "")).cast("long")
-    out = keyed.withColumn(names[0], n_words).drop(text).join(words, "__key", "left").join(items, "__key", "left")
-    out = out.withColumn(names[1], F.coalesce("__hit", F.lit(0).cast("long"))).withColumn(names[2], F.coalesce("__items", F.array().cast("array<string>")))
-    return out.drop("__key", "__hit", "__items")
+    words, hit, items = fresh(docs.drop(text), "n_words", "n_hit", "items")
+    (runs,) = fresh(docs, "runs_")
+    out = marked(docs, benchmark, [words, runs, items], text=text, item=item, item_text=item_text, n=n, keep=False)
+    total = F.aggregate(runs, F.lit(0).cast("long"), lambda s, x: s + x["after"] - x["first"])
+    return out.select(*[c for c in docs.columns if c != text], words, total.alias(hit), items)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, remove: str = "documents") -> DataFrame:
@@ -223,39 +223,33 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     keeps them and cuts each run of hit words, with what stands between them,
     out of the text (a space stands for it).
     """
-    if remove == "documents":
-        probe, kept = fresh(docs, "probe_", "kept_")
-        wide = docs.withColumn(probe, F.col(text))
-        out = scanned(wide, benchmark, text=probe, item=item, item_text=item_text, n=n)
-        hit = fresh(docs, "n_words", "n_hit", "items")
-        return out.where(F.col(hit[1]) == 0).select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    out = docs
-    for piece in _pieces(benchmark, item, item_text):
-        schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in docs.schema])
-        raw = out.withColumn(text, F.col(text).cast("binary"))
-        out = _scan(raw, piece, n, lambda b, g: _cut(b, g, text), schema).withColumn(text, F.col(text).cast("string"))
-    return out
+    names = fresh(docs, "words_", "runs_", "items_")
+    out = marked(docs, benchmark, names, text=text, item=item, item_text=item_text, n=n)
+    if remove == "documents":
+        return out.where(F.size(names[1]) == 0).select(*docs.columns)
+    return out.drop(names[0], names[2]).mapInArrow(_cut(text, names[1]), docs.schema)
 
 
-def _cut(batch: pa.RecordBatch, grams: Grams, text: str) -> Iterator[pa.RecordBatch]:
-    col = batch.schema.get_field_index(text)
-    values = batch.column(col).to_pylist()
-    for first, docs in _chunks(values):
-        part = batch.slice(first, len(docs))
-        out = values[first : first + len(docs)]
-        for k, (mask, items) in enumerate(hits(docs, grams)):
-            if items:
-                spots = [m.span() for m in _WORD.finditer(out[k].lower())]
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                left, at = [], 0
-                for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    left.append(out[k][at : spots[a][0]])
-                    at = spots[b - 1][1]
-                out[k] = b" ".join([*left, out[k][at:]])
-        arrays = [pa.array(out, pa.binary()) if i == col else c for i, c in enumerate(part.columns)]
-        yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names)
+def _cut(text: str, runs: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = batch.schema.get_field_index(text), batch.schema.get_field_index(runs)
+            texts = batch.column(at).to_pylist()
+            for i, r in enumerate(batch.column(found).to_pylist()):
+                if r:
+                    raw = texts[i].encode()
+                    a, b = spans(np.frombuffer(raw.translate(_PLAIN), dtype=np.uint8))
+                    left, last = [], 0
+                    for x in r:
+                        left.append(raw[last : a[x["first"]]])
+                        last = b[x["after"] - 1]
+                    texts[i] = b" ".join([*left, raw[last:]]).decode()
+            own = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns) if i != found]
+            yield pa.RecordBatch.from_arrays(own, names=[f.name for i, f in enumerate(batch.schema) if i != found])
+
+    return run
 
 
 def query(spark, sf_dir: str) -> DataFrame:

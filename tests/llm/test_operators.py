@@ -51,7 +51,7 @@ def test_quality(docs, none, rows):
 # 1
 
 
-def brute_hits(text, items, n=10):
+def brute_hits(text, items, n=10, mask=False):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, names = low(text), set(), set()
     for k, t in items:
@@ -62,6 +62,8 @@ def brute_hits(text, items, n=10):
                 if w[j : j + m] == iw[i : i + m]:
                     hit |= set(range(j, j + m))
                     names.add(k)
+    if mask:
+        return [j in hit for j in range(len(w))]
     return len(w), len(hit), sorted(str(k) for k in names if k is not None)
 
 
@@ -72,24 +74,42 @@ def bench(spark, rows):
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [1 << 24, 40])
+@pytest.mark.parametrize("limit", [1 << 24, 40, 10])
 def test_decontamination(docs, none, rows, bench, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)  # 40: one item a piece
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)  # 40 and 10: one item a piece
     items, df = bench
     want = bag((r[0], *brute_hits(r[1], items)) for r in rows)
-    wide = docs.withColumn("n_hit", F.lit("mine"))
+    wide = docs.withColumn("n_hit", F.lit("mine")).withColumn("runs_", F.lit(1)).withColumn("key_a", F.lit(2)).withColumn("__hit", F.lit(3)).withColumn("__key", F.lit(4))
     out = decontam.scanned(wide, df)
-    assert "_n_hit" in out.columns
+    assert "_n_hit" in out.columns and set(wide.columns) - {"text"} <= set(out.columns)
     got = bag((r["doc_id"], r["n_words"], r["_n_hit"], r["items"]) for r in map(lambda x: x.asDict(), out.collect()))
     assert got == want
-    clean = decontam.decontaminated(docs, df)
-    assert clean.columns == docs.columns and clean.count() == sum(not brute_hits(r[1], items)[1] for r in rows)
+    clean = decontam.decontaminated(wide, df)
+    assert clean.columns == wide.columns and clean.count() == sum(not brute_hits(r[1], items)[1] for r in rows)
+    assert {(r["__hit"], r["__key"], r["key_a"], r["runs_"]) for r in clean.collect()} == {(3, 4, 2, 1)}
     cut = decontam.decontaminated(docs, df, remove="spans")
-    assert cut.count() == len(rows) and decontam.scanned(cut, df.where("item_id in (1, 10)")).where("n_hit > 0").count() == 0
+    plain = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).split()
+    left = bag((r[0], [w for w, hit in zip(plain(r[1]), brute_hits(r[1], items, mask=True), strict=True) if not hit]) for r in rows)
+    assert bag((r.doc_id, plain(r.text)) for r in cut.collect()) == left
     assert decontam.scanned(none, df).count() == 0
     assert decontam.scanned(docs, df.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_spans_are_cut_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 15))), (2, " ".join(f"w{i}" for i in range(10, 22)))], "item_id long, text string")
+    for limit in (10, 40, 1 << 24):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+        (r,) = decontam.decontaminated(docs, items, remove="spans").collect()
+        assert r.text.split() == [f"w{i}" for i in range(40) if not 5 <= i < 22]
+
+
+def test_window_arrays_take_five_times_the_text():
+    items = [(i, " ".join(f"word{(i * 7919 + j * 104729) % 50021}" for j in range(60)).encode()) for i in range(2000)]
+    assert decontam.Grams(items, 10).bytes() < 5 * sum(len(t) for _, t in items)
+
+
 # 2
 
 
