@@ -243,6 +243,12 @@ def occurrences(docs: DataFrame, symbols, k: int, m: int) -> DataFrame:
     return stage(docs.select("ka", "kb", "raw").mapInArrow(run, "ka long, kb long, s int, n int, mh long, ch long"), "contexts")
 
 
+def recurring(occ: DataFrame) -> DataFrame:
+    """The contexts of minimizers that occur more than once, staged; no other holds a repeated window."""
+    twice = counted(occ.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh"))
+    return stage(occ.join(twice, "mh"), "recurring")
+
+
 def located(occ: DataFrame) -> DataFrame:
     """(ka, kb, spots): for each document with any, its ranges of windows as (s, n, kind)."""
     twice = occ.groupBy("mh").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("c > 1")

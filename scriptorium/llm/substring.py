@@ -1,9 +1,13 @@
 """Substring dedup: Rabin-Karp hashes of every 35-word window, counted in Spark.
 
-Every window of every document is hashed. Runs of windows that share a
-minimizer are counted first, as one row each (see ``repeats``); windows that
-this leaves undecided are counted one by one. Repeated windows merge into
-maximal intervals of words, which are removed.
+Windows are counted in two steps, with the same result as counting each by
+its hash. Every window belongs to a context, a run of windows that share a
+minimizer (see ``repeats``); every m-word hash and every context's hash is
+made, and contexts are counted as one row each: a window of a context that
+occurs twice is repeated, one whose minimizer occurs once is not. Only the
+windows that this leaves undecided are hashed and counted one by one. Equal
+means equal 64-bit hashes. Repeated windows merge into maximal intervals of
+words, which are removed.
 
 The text is shuffled once, to meet its intervals: both joins below use the
 same exchange. Two counts and the undecided windows are the only other

@@ -1,7 +1,10 @@
 """Suffix-array dedup: 200-byte strings that start anywhere else are removed.
 
-1. Contexts of minimizers (see ``repeats``) leave out what cannot repeat, and
-   reduce copies: each distinct context of a repeated minimizer is sent once.
+1. Contexts of minimizers (see ``repeats``) route: a minimizer that occurs once
+   holds no repeated string and goes no further; of every other, each distinct
+   context is sent once, and once more from another place if it occurs there.
+   What a context's suffixes decide holds for its copies, wherever they stand
+   (equal context hashes, 64 bits).
 2. The bytes of those contexts are dealt to shards of about ``SHARD`` bytes by
    minimizer, so equal strings meet in one shard. A shard that is too large (a
    very hot minimizer) is dealt further into parts.
@@ -9,7 +12,8 @@
    8 bytes, doubled; only groups that are not yet single are sorted again) and
    its common prefixes by Kasai's rule in permuted order: a position whose
    left neighbour also matches has one less than that neighbour, and only the
-   others are compared.
+   others are compared. A string is repeated if it shares 200 bytes with a
+   neighbour in suffix order: nothing else has a string removed.
 4. Parts of one shard are merged by binary search: each open string of a part
    is looked up in the sorted strings of every other part.
 
@@ -33,14 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import fresh, stage
-from scriptorium.llm.repeats import EVIDENCE, UNDECIDED, byte_symbols, covered, keyed, located, occurrences
+from scriptorium.llm.common import counted, fresh, stage
+from scriptorium.llm.repeats import byte_symbols, covered, keyed, occurrences, recurring
 
 K = 200
 #: Bytes of a minimizer.
 M = 32
 #: Bytes of text in a shard, about; a part has at most twice that, about.
 SHARD = 1 << 20
+MOST_TASKS = 20_000
 
 
 def octets(t: np.ndarray) -> np.ndarray:
@@ -164,30 +169,31 @@ def looked_up(t: np.ndarray, at: np.ndarray, other: np.ndarray, order: np.ndarra
     return out
 
 
-_FOUND = "shard long, part int, ka long, kb long, found array<int>, t binary, sorted binary, left binary, begin binary, kas binary, kbs binary, firsts binary"
+_RUN = "mh long, ch long, first int, n int"
+_FOUND = f"shard long, part int, {_RUN}, t binary, sorted binary, left binary, begin binary, mhs binary, chs binary"
 
 
-def _found(at: np.ndarray, begin: np.ndarray, ka: np.ndarray, kb: np.ndarray, first: np.ndarray) -> dict[str, list]:
-    """Window starts of a part as rows (ka, kb, starts in the document)."""
+def _runs(at: np.ndarray, begin: np.ndarray, mh: np.ndarray, ch: np.ndarray) -> dict[str, np.ndarray]:
+    """Starts of strings in a part, in order, as runs (first, n) within their context."""
     seg = np.searchsorted(begin, at, "right") - 1
-    cut = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(seg) else np.zeros(0, dtype=np.int64)
-    own = seg[cut]
-    return {"ka": ka[own].tolist(), "kb": kb[own].tolist(), "found": [(x - begin[g] + first[g]).tolist() for x, g in zip(np.split(at, cut[1:]), own, strict=True)] if len(own) else []}
+    edge = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(seg) != 0)))) if len(at) else np.zeros(0, dtype=np.int64)
+    own = seg[edge]
+    return {"mh": mh[own], "ch": ch[own], "first": (at[edge] - begin[own]).astype(np.int32), "n": np.diff(np.append(edge, len(at))).astype(np.int32)}
 
 
 def _sorted_part(table: pa.Table, k: int) -> pa.Table:
     x = _part(table, k)
-    ka, kb, s = (table.column(c).to_numpy() for c in ("ka", "kb", "s"))
-    rows = _found(x["found"], x["begin"], ka, kb, s)
-    n = len(rows["ka"])
+    mh, ch = (table.column(c).to_numpy() for c in ("mh", "ch"))
+    rows = {c: v.tolist() for c, v in _runs(x["found"], x["begin"], mh, ch).items()}
     shard, part, parts = (table.column(c)[0].as_py() for c in ("shard", "part", "parts"))
+    n = len(rows["mh"])
     cols = {"shard": [shard] * n, "part": [part] * n, **rows}
-    blobs = {c: [None] * n for c in ("t", "sorted", "left", "begin", "kas", "kbs", "firsts")}
+    blobs = {c: [None] * n for c in ("t", "sorted", "left", "begin", "mhs", "chs")}
     if parts > 1:
-        cols = {"shard": [*cols["shard"], shard], "part": [*cols["part"], part], "ka": [*cols["ka"], None], "kb": [*cols["kb"], None], "found": [*cols["found"], None]}
-        for c, v in (("t", x["t"]), ("sorted", x["order"].astype(np.int32)), ("left", x["left"].astype(np.int32)), ("begin", x["begin"].astype(np.int32)), ("kas", ka.astype(np.int64)), ("kbs", kb.astype(np.int64)), ("firsts", s.astype(np.int32))):
+        cols = {c: [*v, {"shard": shard, "part": part}.get(c)] for c, v in cols.items()}
+        for c, v in (("t", x["t"]), ("sorted", x["order"].astype(np.int32)), ("left", x["left"].astype(np.int32)), ("begin", x["begin"].astype(np.int32)), ("mhs", mh.astype(np.int64)), ("chs", ch.astype(np.int64))):
             blobs[c].append(v.tobytes())
-    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("ka", pa.int64()), ("kb", pa.int64()), ("found", pa.list_(pa.int32())), *[(c, pa.binary()) for c in blobs]])
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("mh", pa.int64()), ("ch", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in blobs]])
     return pa.table(cols | blobs, schema=schema)
 
 
@@ -198,36 +204,34 @@ def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             get = lambda c, kind: np.frombuffer(batch.column(batch.schema.get_field_index(c))[i].as_py(), dtype=kind)  # noqa: B023, E731
             left = get("left", np.int32).astype(np.int64)
             hit = left[looked_up(get("t", np.uint8), left, get("t2", np.uint8), get("sorted2", np.int32).astype(np.int64), k)]
-            rows = _found(hit, get("begin", np.int32).astype(np.int64), get("kas", np.int64), get("kbs", np.int64), get("firsts", np.int32).astype(np.int64))
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("ka", pa.int64()), ("kb", pa.int64()), ("found", pa.list_(pa.int32()))]))
+            rows = _runs(hit, get("begin", np.int32).astype(np.int64), get("mhs", np.int64), get("chs", np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows.values()], names=list(rows))
 
 
 def _segments(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the contexts that are sent."""
     for batch in batches:
-        ka, kb, raw, spots = (batch.column(batch.schema.get_field_index(c)) for c in ("ka", "kb", "raw", "spots"))
+        raw, spots = (batch.column(batch.schema.get_field_index(c)) for c in ("raw", "spots"))
         out, size = [], 0
         for i, found in enumerate(spots.to_pylist()):
-            text = raw[i].as_py() if found else b""
+            text = raw[i].as_py()
             for x in found:
-                if x["kind"] in (UNDECIDED, EVIDENCE):
-                    out.append((ka[i].as_py(), kb[i].as_py(), x["s"], x["kind"] == UNDECIDED, x["mh"], text[x["s"] : x["s"] + x["n"] + k - 1]))
-                    size += len(out[-1][-1])
-            if size > 4 << 20 or i == len(spots) - 1:
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["ka", "kb", "s", "open", "mh", "seg"])
+                out.append((x["mh"], x["ch"], x["open"], text[x["s"] : x["s"] + x["n"] + k - 1]))
+                size += len(out[-1][-1])
+            if out and (size > 4 << 20 or i == len(spots) - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["mh", "ch", "open", "seg"])
                 out, size = [], 0
 
 
 def _kept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rest, raw, spots, more = (batch.column(batch.schema.get_field_index(c)) for c in ("rest", "raw", "spots", "more"))
+        rest, raw, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("rest", "raw", "runs"))
         for i in range(batch.num_rows):  # a row at a time: no second copy of a batch of texts
-            text, known, late = raw[i].as_py(), spots[i].as_py(), more[i].as_py()
-            got = [(x["s"], x["n"]) for x in known or () if x["kind"] != UNDECIDED] + [(s, 1) for xs in late or () for s in xs]
+            text, got = raw[i].as_py(), runs[i].as_py()
             cut = []
             kept = text
             if got:
-                gone = covered(got, k, len(text))
+                gone = covered([(x["first"], x["n"]) for x in got], k, len(text))
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).tolist()
                 cut = [{"first": a, "after": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
@@ -235,18 +239,20 @@ def _kept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def repeated_strings(segments: DataFrame, k: int) -> DataFrame:
-    """(ka, kb, more): the open windows of staged ``segments`` that occur elsewhere among them."""
+    """(mh, ch, first, n), staged: runs of the open strings of staged ``segments`` that occur elsewhere among them."""
     total = segments.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD))
     dealt = segments.withColumn("shard", F.pmod("mh", F.lit(shards)))
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("seg") + 1) / (2 * SHARD)).cast("int").alias("parts"))
-    dealt = dealt.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("ka", "kb", "s"), F.col("parts")).cast("int"))
+    sizes = counted(dealt.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("seg") + 1) / (2 * SHARD)).cast("int").alias("parts")))
+    dealt = dealt.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("ch", "open"), F.col("parts")).cast("int"))
+    # little data, much work: dealt by number, or adaptive execution would put it into a few tasks by its bytes
+    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard", "part")
     done = stage(dealt.groupBy("shard", "part").applyInArrow(lambda t: _sorted_part(t, k), _FOUND), "suffixes")
     blobs = done.where("t is not null")
     other = blobs.select("shard", F.col("part").alias("part2"), F.col("t").alias("t2"), F.col("sorted").alias("sorted2"))
-    pairs = blobs.join(other, "shard").where("part <> part2").select("t", "left", "begin", "kas", "kbs", "firsts", "t2", "sorted2")
-    cross = pairs.mapInArrow(lambda b: _merged(b, k), "ka long, kb long, found array<int>")
-    return done.where("found is not null").select("ka", "kb", "found").unionByName(cross).groupBy("ka", "kb").agg(F.collect_set("found").alias("more"))
+    pairs = blobs.join(other, "shard").where("part <> part2").select("t", "left", "begin", "mhs", "chs", "t2", "sorted2")
+    cross = pairs.mapInArrow(lambda b: _merged(b, k), _RUN)
+    return stage(done.where("mh is not null").select("mh", "ch", "first", "n").unionByName(cross), "runs")
 
 
 def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -255,11 +261,16 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     New names that clash get underscores in front.
     """
     rows = keyed(docs, id, text)
-    spots = located(occurrences(rows, byte_symbols, k, m))
-    held = rows.join(spots, ["ka", "kb"], "inner")
-    segments = stage(held.mapInArrow(lambda b: _segments(b, k), "ka long, kb long, s int, open boolean, mh long, seg binary"), "segments")
-    more = repeated_strings(segments, k)
-    whole = rows.join(spots.join(more, ["ka", "kb"], "left"), ["ka", "kb"], "left")
+    same = recurring(occurrences(rows, byte_symbols, k, m))
+    at = F.struct("ka", "kb", "s", "n")
+    each = counted(same.groupBy("mh", "ch").agg(F.min(at).alias("one"), F.max(at).alias("other")))
+    sent = F.array_distinct(F.array(F.struct("one.*", F.lit(True).alias("open")), F.struct("other.*", (F.col("one") == F.col("other")).alias("open"))))
+    spots = each.select("mh", "ch", F.explode(sent).alias("x")).groupBy("x.ka", "x.kb").agg(F.collect_list(F.struct("x.s", "x.n", "x.open", "mh", "ch")).alias("spots"))
+    held = rows.select("ka", "kb", "raw").join(counted(spots), ["ka", "kb"])
+    segments = stage(held.mapInArrow(lambda b: _segments(b, k), "mh long, ch long, open boolean, seg binary"), "segments")
+    found = same.join(repeated_strings(segments, k).withColumnRenamed("n", "many"), ["mh", "ch"])
+    runs = found.select("ka", "kb", F.struct((F.col("s") + F.col("first")).alias("first"), F.col("many").alias("n")).alias("run")).groupBy("ka", "kb").agg(F.collect_set("run").alias("runs"))
+    whole = rows.join(counted(runs), ["ka", "kb"], "left")
     schema = T.StructType([rows.schema["rest"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())])))])
     out = whole.mapInArrow(lambda b: _kept(b, k), schema)
     names = fresh(docs, "n_bytes", "n_removed", "removed")
