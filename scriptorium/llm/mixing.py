@@ -13,9 +13,11 @@ distinct rounds for S sources, and the schedules are computed once for each,
 whatever the number of documents. A document's place is arithmetic on its rank
 in its source.
 
-Bounds: S is checked against MAX_SOURCES; the schedule table has at most
-(2 S + 1) * (RESOLUTION + S) rows, a function of the weights, not of the rows. Ranks come from
-``common.ranked``: no source, however large, is put into one task.
+Bounds: S is checked against MAX_SOURCES before sources are put into one row,
+given weights against MAX_ROUND; the schedule table has at most (2 S + 1)
+rounds of RESOLUTION + S, or MAX_ROUND + S, slots: a function of the weights,
+not of the rows. Ranks come from ``common.ranked``: no source, however large,
+is put into one task.
 
 Defined results: nothing is dropped or repeated; a null source is a source of
 its own; sources without a weight get weight 1; repeated rows each get a
@@ -35,6 +37,8 @@ BLOCK_ROWS = 32
 RESOLUTION = 240
 #: More sources than this are an error: group the small ones before mixing.
 MAX_SOURCES = 1000
+#: Given weights may sum to so much: a round is scheduled slot by slot.
+MAX_ROUND = 2000
 
 
 def _schedule(jobs: Column, total: Column) -> Column:
@@ -65,6 +69,8 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", source: str = "source", weight
     about RESOLUTION in all. New names that clash get underscores in front.
     ``tie``: the column that orders rows of equal id; without it, a hash of the row.
     """
+    if weights is not None and (sum(weights.values()) > MAX_ROUND or any(w < 1 or w != int(w) for w in weights.values())):
+        raise ValueError(f"weights are whole numbers from 1, {MAX_ROUND} in all at most: divide them by a common number")
     named = fresh(docs, "block", "slot", position)
     k, rank, block, slot, pos = "source_key", "rank_", "block", "slot", "position"
     # a row travels whole in a struct, so its column names meet none of those used here
@@ -72,7 +78,8 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", source: str = "source", weight
     keyed = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id).alias("id_"), (F.col(tie) if tie else F.xxhash64(*docs.columns)).alias("hash_"), key.alias(k))
     place = ranked(keyed, [k], [F.col("id_"), F.col("hash_")], rank)
     # one row a source from here to the schedule
-    sizes = keyed.groupBy(k).agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
+    sizes = keyed.groupBy(k).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.limit(MAX_SOURCES + 1).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
     if weights is None:
         root = F.sqrt("rows")
         sizes = sizes.withColumn("a", F.greatest(F.lit(1), F.round(root * RESOLUTION / F.sum(root).over(Window.partitionBy(F.lit(0))))).cast("int"))
