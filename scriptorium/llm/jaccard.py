@@ -139,9 +139,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, bands: Bands) -> It
             sid = mix(np.add.reduceat(mix(h ^ np.uint64(0xA0761D6478BD642F)), edge) + size.astype(np.uint64)).view(np.int64)
             own = bands.of(size)
             least = bands.of(-(-size * bands.percent // 100))
-            for space, is_own, pick in ((own, True, np.arange(len(some))), (least, False, np.flatnonzero(least != own))):
-                if not len(pick):
-                    continue
+            for step in range(int((own - least).max()) + 1):
+                pick, is_own = np.flatnonzero(own - step >= least), step == 0
+                space = own - step
                 renumber = np.full(len(some), -1)
                 renumber[pick] = np.arange(len(pick))
                 mine = renumber[doc] >= 0
