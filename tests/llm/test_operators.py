@@ -148,6 +148,11 @@ def test_mixing(spark, docs, none):
     assert sorted(r.position for r in got.collect()) == list(range(docs.count()))
     assert mixing.in_mix_order(docs).columns == docs.columns
     assert mixing.mixed(none).count() == 0
+    for bad in ({"a": 10**6, "b": 10**6}, {"a": 0}, {"a": 0.5}):
+        with pytest.raises(ValueError):
+            mixing.mixed(docs, weights=bad)
+    with pytest.raises(Exception, match="sources"):
+        mixing.mixed(spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))).collect()
 
 
 # 3
@@ -171,6 +176,22 @@ def test_sharding(spark, docs, none, rows):
     apart = sum(len(v) > 1 for k, v in where.items() if k.startswith("pair"))
     assert apart <= 10
     assert sharding.sharded(none).count() == 0
+    one = bag((r.doc_id, r["size"], r.shard, r.slot) for r in sharding.sharded(big.coalesce(1), shards=7).collect())
+    assert one == bag((r.doc_id, r["size"], r.shard, r.slot) for r in sharding.sharded(big.repartition(7, "text"), shards=7).collect())
+
+
+def test_sharding_cuts_few_links(spark):
+    # groups of 2, 3, ... rows, one of more than half a shard, one of two shards and a half
+    text = F.when(F.col("id") < 250, "huge").when(F.col("id") < 310, "large").when(F.col("id") < 700, F.concat(F.lit("g"), F.floor(F.sqrt(F.col("id") * 3)).cast("string"))).otherwise(F.concat(F.lit("own"), "id"))
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    out = sharding.sharded(docs, shards=10).join(docs, "doc_id").cache()
+    (r,) = sharding.cut_links(out, group="text").collect()
+    least = 250 * 249 / 2 - 2 * 100 * 99 / 2 - 50 * 49 / 2
+    assert r.links > r.cut_by_lot > 1.5 * r.cut and least <= r.cut <= 1.3 * least
+    where = {}
+    for x in out.collect():
+        where.setdefault(x.text, set()).add(x.shard)
+    assert len(where["large"]) == 1 and sum(len(v) > 1 for v in where.values()) <= 4
 
 
 # 4
@@ -196,7 +217,7 @@ def brute_links(rows, width, percent):
     return sets, [root(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (2, 60)])
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (2, 60), (1, 30)])
 def test_jaccard(docs, none, rows, width, percent):
     got = jaccard.linked(docs, width=width, percent=percent).collect()
     unique = list(dict.fromkeys((r[0], r[1]) for r in rows))
@@ -229,14 +250,40 @@ def test_hamming_bounds_the_difference():
         assert set(keys[0][0].tolist()) & set(keys[1][0].tolist())
 
 
+@pytest.mark.parametrize("percent", [30, 60, 67, 85])
+def test_pairs_of_sizes_share_a_space(percent):
+    bands = jaccard.Bands(percent)
+    n = np.arange(1, 1500)
+    own, least = bands.of(n), bands.of(-(-n * percent // 100))
+    for a, space in zip(n.tolist(), own.tolist(), strict=True):
+        b = n[(n >= a) & (n * percent <= 100 * a)]
+        assert ((least[b - 1] <= space) & (space <= own[b - 1])).all()
+        assert (bands.blocks[space] - bands.empty[space] > bands.differ(a, b)).all()
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring.without_repeats(df).collect()} == {0}
+    two = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {(r.id, r.component) for r in jaccard.linked(two).collect()} == {(1, 1), (2, 2)}
+    assert {tuple(r.removed_lines) for r in lines.without_repeats(two).collect()} == {()}
+    want = [int(g.sum()) for g in brute_windows([a.encode(), b.encode()], 200)]
+    assert {r.doc_id: r.n_removed for r in suffix.without_repeats(two).collect()} == {1: want[0], 2: want[1]}
+
+
 # 5
 
 
 def brute_chat(rows):
     convs = defaultdict(set)
     for c, t, role, text in rows:
-        convs[c].add((t is None, t or 0, role is None, role or "", text is None, text or ""))
-    said = {c: tuple((x[3] if not x[2] else None, x[5] if not x[4] else None) for x in sorted(v)) for c, v in convs.items()}
+        convs[c].add((t is None, t or 0, role is None, role or "", text is None, hashlib.md5((text or "").encode()).hexdigest(), text or ""))
+    said = {c: tuple((x[3] if not x[2] else None, x[6] if not x[4] else None) for x in sorted(v)) for c, v in convs.items()}
     out, groups = [], defaultdict(list)
     for c, s in said.items():
         groups[s].append(c)
@@ -248,9 +295,10 @@ def brute_chat(rows):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (4, 1, "assistant", "no"), (5, 5, "user", "hi"), (5, None, None, None), (None, 0, "user", "alone"), (6, 0, "assistant", "yo"), (7, 0, "user", None), (8, 0, "user", ""), (9, 0, "user", ""), (9, 1, "user", "x" * 100000)]
+    rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (4, 1, "assistant", "no"), (5, 5, "user", "hi"), (5, None, None, None), (None, 0, "user", "alone"), (6, 0, "assistant", "yo"), (7, 0, "user", None), (8, 0, "user", ""), (9, 0, "user", ""), (9, 1, "user", "x" * 100000), (10, 0, "a", "two"), (10, 0, "a", "three"), (11, 0, "a", "three"), (11, 0, "a", "two"), (11, 1, "b", ""), (None, 1, None, "more")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
     assert bag(map(tuple, chat.rendered(df).collect())) == bag(brute_chat(rows))
+    assert bag(map(tuple, chat.maximal(df).collect())) == bag(r[:3] for r in brute_chat(rows))
     assert chat.rendered(df.limit(0)).count() == 0
 
 
