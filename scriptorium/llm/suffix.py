@@ -43,8 +43,9 @@ from scriptorium.llm.repeats import byte_symbols, covered, keyed, occurrences, r
 K = 200
 #: Bytes of a minimizer.
 M = 32
-#: Bytes of text in a shard, about; a part has at most twice that, about.
-SHARD = 1 << 20
+#: Bytes of text in a shard, about: ranks then stay in a core's cache. A shard over PART bytes is dealt into parts.
+SHARD, PART = 1 << 17, 2 << 20
+#: Most tasks that sort parts.
 MOST_TASKS = 20_000
 
 
@@ -55,32 +56,42 @@ def octets(t: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions of ``t`` in the order of their suffixes; a shorter one first. Larsson-Sadakane refinement."""
+    """Positions of ``t`` in the order of their suffixes; a shorter one first.
+
+    Larsson-Sadakane refinement: ranks by 8 bytes, then by three ranks at a
+    time where three fit into 64 bits, else two; only groups that are not yet
+    single are sorted again.
+    """
     n = len(t)
+    order = np.argsort(keys)
+    found = keys[order]
+    same = found[1:] == found[:-1]
     # the last bytes are told apart from real zeros by their rank, which counts what is left
-    order = np.argsort(keys, kind="stable")
-    tail = np.minimum(n - order, 8)
-    if (same := keys[order][1:] == keys[order][:-1]).any():
-        order = order[np.lexsort((tail, keys[order]))]
+    ends = keys[max(0, n - 7) :]
+    if (np.searchsorted(found, ends, "right") - np.searchsorted(found, ends) > 1).any():
+        order = order[np.lexsort((np.minimum(n - order, 8), found))]
         tail = np.minimum(n - order, 8)
-        same = (keys[order][1:] == keys[order][:-1]) & (tail[1:] == tail[:-1])
-    rank = np.zeros(n + 1, dtype=np.int64)
+        same &= tail[1:] == tail[:-1]
+    rank = np.zeros(n + 1, dtype=np.int32)
     start = np.flatnonzero(np.concatenate(([True], ~same)))
     size = np.diff(np.append(start, n))
     rank[order] = np.repeat(start, size) + 1  # rank 0: beyond the end
     slots = np.flatnonzero(np.repeat(size, size) > 1)
-    h = 8
+    h, bits = 8, (n + 1).bit_length()
+    steps = 2 if 3 * bits <= 64 else 1
     while len(slots):
         at = order[slots]
-        key = rank[at] * (n + 2) + rank[np.minimum(at + h, n)]
-        new = np.argsort(key, kind="stable")
+        key = rank[at].astype(np.uint64)
+        for step in range(1, steps + 1):
+            key = (key << np.uint64(bits)) | rank[np.minimum(at + step * h, n)].astype(np.uint64)
+        new = np.argsort(key)
         order[slots] = at = at[new]
         key = key[new]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(at)))
         rank[at] = np.repeat(slots[start], size) + 1
         slots = slots[np.repeat(size, size) > 1]
-        h *= 2
+        h *= steps + 1
     return order
 
 
@@ -243,10 +254,10 @@ def repeated_strings(segments: DataFrame, k: int) -> DataFrame:
     total = segments.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD))
     dealt = segments.withColumn("shard", F.pmod("mh", F.lit(shards)))
-    sizes = counted(dealt.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("seg") + 1) / (2 * SHARD)).cast("int").alias("parts")))
+    sizes = counted(dealt.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("seg") + 1) / PART).cast("int").alias("parts")))
     dealt = dealt.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("ch", "open"), F.col("parts")).cast("int"))
     # little data, much work: dealt by number, or adaptive execution would put it into a few tasks by its bytes
-    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard", "part")
+    dealt = dealt.repartition(max(1, min(total // PART, MOST_TASKS)), "shard", "part")
     done = stage(dealt.groupBy("shard", "part").applyInArrow(lambda t: _sorted_part(t, k), _FOUND), "suffixes")
     blobs = done.where("t is not null")
     other = blobs.select("shard", F.col("part").alias("part2"), F.col("t").alias("t2"), F.col("sorted").alias("sorted2"))

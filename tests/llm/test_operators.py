@@ -332,6 +332,7 @@ def test_substring(docs, none, rows, k, m):
 @pytest.mark.parametrize("shard", [1 << 20, 2000])
 def test_suffix(docs, none, rows, monkeypatch, shard):
     monkeypatch.setattr(suffix, "SHARD", shard)
+    monkeypatch.setattr(suffix, "PART", 2 * shard)
     seqs = [(r[1] or "").encode() for r in rows]
     want = []
     for r, s, g in zip(rows, seqs, brute_windows(seqs, 200), strict=True):
@@ -344,6 +345,7 @@ def test_suffix(docs, none, rows, monkeypatch, shard):
 
 def test_hot_minimizer_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SHARD", 600)
+    monkeypatch.setattr(suffix, "PART", 1200)
     r = np.random.default_rng(1)
     core = bytes(r.integers(97, 123, 150).astype(np.uint8)).decode()
     side = ["".join(map(chr, r.integers(97, 123, 60))) for _ in range(6)]
