@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.common import components, counted, fresh, stage
-from scriptorium.llm.groups import Forest, in_parts
+from scriptorium.llm.groups import SMALL, Forest, in_parts
 from scriptorium.llm.repeats import digest, grouped, mix, spans, word_symbols
 
 MIN_WORDS, MIN_CHARS = 5, 32
@@ -233,6 +233,17 @@ def _in_step(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
     return len(x) - i, len(y) - j
 
 
+def _near_small(columns: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one small group within ``NEAR`` bits."""
+    code, out = columns["code"], []
+    for step in range(1, SMALL):
+        same = np.flatnonzero(group[step:] == group[:-step])
+        out.append((same, same + step))
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    ok = np.bitwise_count((code[i] ^ code[j]).view(np.uint64)) <= NEAR
+    return i[ok], j[ok]
+
+
 def at_most(a: str, b: str) -> int:
     """A number that the edit distance does not exceed: words in step, with the words between them replaced."""
     x, y = a.split(" "), b.split(" ")
@@ -264,6 +275,10 @@ def _least(plus: int, minus: int, rows: int, column: int, columns: int) -> int:
     return int((cells + np.abs(rows - columns + column - np.arange(rows + 1))).min())
 
 
+def _shared(a: str, b: str) -> int:
+    return len(set(a.split(" ")) & set(b.split(" ")))
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance, or a number over ``most``; bit-parallel, after common ends are cut off."""
     n = min(len(a), len(b))
@@ -274,6 +289,10 @@ def distance(a: str, b: str, most: int) -> int:
     a, b = a[: len(a) - i], b[: len(b) - i]
     if not a or not b:
         return len(a) + len(b)
+    if len(a) < len(b):  # a turn a character of the shorter one
+        a, b = b, a
+    if len(b) > 256 and _shared(a[:200], b[:200]) > _shared(a[-200:], b[-200:]):
+        a, b = a[::-1], b[::-1]  # begin where they differ most, to be over ``most`` early
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -373,7 +392,7 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     close = close.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= NEAR).select("a", "b")
     members = members.join(code, "lid").select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "code", "size")
     total = more.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    groups = components(in_parts(members, F.lit(8), _near, "size", total).unionByName(close)).withColumnRenamed("node", "lid")
+    groups = components(in_parts(members, F.lit(8), _near, "size", total, _near_small).unionByName(close)).withColumnRenamed("node", "lid")
     # 4
     spots = counted(once.join(groups, "lid").groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("lid", "root", "code", "at.line")).alias("spots")))
     texts = rows.select("ka", "kb", "raw").join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, root long, code long, text binary")
@@ -396,14 +415,16 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
 
     New names that clash get underscores in front.
     """
-    a, b, gone, before = fresh(docs, "key_a", "key_b", "gone_", "lines_")
+    a, b, gone = fresh(docs, "key_a", "key_b", "gone_")
     total, lost, which = fresh(docs, "n_lines", "n_removed", "removed_lines")
     out = docs.withColumn(a, F.xxhash64(id)).withColumn(b, F.xxhash64(text))
     found = repeated_lines(docs, id=id, text=text).select(F.col("ka").alias(a), F.col("kb").alias(b), F.sort_array("gone").alias(gone))
-    out = out.join(found, [a, b], "left").withColumn(before, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(before, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    out = out.withColumn(text, kept).withColumn(total, F.size(before).cast("long")).withColumn(lost, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
-    return out.withColumn(which, F.coalesce(F.col(gone), F.array().cast(T.ArrayType(T.IntegerType())))).drop(a, b, gone, before)
+    out = out.join(found, [a, b], "left")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    count = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    out = out.withColumn(total, count.cast("long")).withColumn(text, kept).withColumn(lost, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    return out.withColumn(which, F.coalesce(F.col(gone), F.array().cast(T.ArrayType(T.IntegerType())))).drop(a, b, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
