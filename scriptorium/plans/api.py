@@ -50,10 +50,18 @@ def ingest_firac(store: Collection, cases: DataFrame, embed: providers.Embedder)
 
 
 def digest_statute(store: Collection, docs: DataFrame, embed: providers.Embedder, model: str = "hashed") -> DataFrame:
-    """POST /digest/constitution: insert chunks that are new; totals by status, in one row."""
-    rows = providers.with_embeddings(pipelines.statute_chunks(docs).withColumnRenamed("chunk_text", "text"), embed, model)
-    done, skipped = store.insert_absent(rows)
-    counts = store.spark.createDataFrame([(done, skipped, 0)], "ingested long, skipped long, failed long")
+    """POST /digest/constitution: insert chunks that are new; totals by status and the articles processed, in one row.
+
+    A chunk whose embedding fails is counted as failed and left out.
+    """
+    rows = providers.with_embeddings(pipelines.statute_chunks(docs).withColumnRenamed("chunk_text", "text"), embed, model, lenient=True).persist()
+    try:
+        done, skipped = store.insert_absent(rows.where("embedding is not null"))
+        failed = rows.where("embedding is null").count()
+        seen = rows.where("embedding is not null").agg(F.count_distinct("article_number")).first()[0]
+    finally:
+        rows.unpersist()
+    counts = store.spark.createDataFrame([(done, skipped, failed, seen)], "ingested long, skipped long, failed long, articles_processed long")
     return counts.withColumn("overall", audit.status(F.col("failed"), F.col("ingested"), F.col("skipped")))
 
 
@@ -77,6 +85,17 @@ def qretrieve(store: Collection, question: str, model: providers.Model, embed: p
     return pipelines.result_rows(top, picked)
 
 
+def qclassify(spark: SparkSession, question: str, model: providers.Model, prompt: str = "{question}", **options) -> DataFrame:
+    """Classify a question: one row {success, query, classification, error}; a failure is a row, too."""
+    kind = pipelines.classification_given(spark, {}).schema
+    try:
+        got = pipelines.classify(spark, question, model, prompt, **options)
+        return got.select(F.lit(True).alias("success"), "query", F.struct(*kind.names).alias("classification"), F.lit(None).cast("string").alias("error"))
+    except Exception as e:  # noqa: BLE001 - providers raise anything
+        none = F.lit(None).cast(kind)
+        return spark.range(1).select(F.lit(False).alias("success"), F.lit(question).cast("string").alias("query"), none.alias("classification"), F.lit(f"{e}").alias("error"))
+
+
 def article_listing(store: Collection) -> DataFrame:
     """Stored articles in numeric order, others last."""
     return store.read().groupBy("article_number").agg(F.count(F.lit(1)).alias("chunks")).orderBy(*articles.numeric_first("article_number"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import articles, audit, dedupe, keyword, ranking
 from scriptorium.plans import providers
 from scriptorium.schemas import CASE_FIELDS, COMPONENTS
-from scriptorium.sources.store import Collection
+from scriptorium.sources.store import Collection, changed
 
 INITIAL, FINAL = 10, 3
 
@@ -30,10 +31,11 @@ def chunked(docs: DataFrame, embed: providers.Embedder, model: str) -> DataFrame
 
 
 def ingest_documents(store: Collection, docs: DataFrame, embed: providers.Embedder, model: str = "hashed") -> DataFrame:
-    """Upsert documents whose content hash is not stored; (source, status)."""
-    state = docs.select("source", "file_hash", "error")
+    """Upsert documents whose content hash is not stored; (source, status, error): ingested, skipped or failed."""
+    known = store.read("source", "file_hash")  # before the change
     store.replace_changed(chunked(docs, embed, model), "source", "file_hash")
-    return state.select("source", F.when(F.col("error").isNull(), "ingested").otherwise("failed").alias("status"), "error")
+    state = changed(docs.select("source", "file_hash").distinct(), known, "source", "file_hash")
+    return docs.select("source", "error").join(state, "source").select("source", F.when(F.col("error").isNull(), F.col("status")).otherwise("failed").alias("status"), "error")
 
 
 def token_chunked(docs: DataFrame, embed: providers.Embedder, model: str, *, counter: Callable[[str], int] = chunk.count_words, detect: providers.Detector = providers.unknown, title: str = "file_name", legacy: bool = False) -> DataFrame:
@@ -154,8 +156,13 @@ def classification_given(spark: SparkSession, given: dict | str) -> DataFrame:
     return reply.select(parse.classification(F.col("reply")).alias("c")).select("c.*")
 
 
-def classify(spark: SparkSession, question: str, model: providers.Model, prompt: str = "{question}", attempts: int = 3) -> DataFrame:
-    """One row: the normalised classification of a question. Incomplete replies are asked for again."""
+def classify(spark: SparkSession, question: str, model: providers.Model, prompt: str = "{question}", attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """One row: the normalised classification of a question.
+
+    Incomplete replies are asked for again; so is a call that failed, after a
+    wait, unless the provider refused it for good (``providers.retried``).
+    """
+    model = providers.retried(model, attempts, sleep=sleep)
     if not question or not question.strip():
         raise ValueError("a question is needed")
     asked = prompt.replace("{question}", question)
@@ -211,6 +218,17 @@ def answer(chunks: DataFrame, queries: DataFrame, embed: providers.Embedder, mod
 # statutes
 
 
+def shown_percent(part: Column, whole: Column) -> Column:
+    """A share as it is displayed: one place and a % sign; 0.0% of nothing."""
+    return F.format_string("%.1f%%", F.when(whole > 0, part * 100.0 / whole).otherwise(0.0))
+
+
+def in_display_order(chunks: DataFrame, component: str = "firac_component", expected: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """Chunks by component, in the order of the sections; unknown components last."""
+    place = F.array_position(F.array(*map(F.lit, expected)), F.lower(F.coalesce(F.col(component), F.lit(""))))
+    return chunks.orderBy(F.when(place == 0, len(expected) + 1).otherwise(place), component)
+
+
 def statute_chunks(docs: DataFrame, *, source: str = "file_name", text: str = "text") -> DataFrame:
     """Loaded statutes to flat chunks, with content ids."""
     cut = articles.segmented(docs.select(F.col(source).alias("source_document"), F.col(text).alias("body")), id="source_document", text="body")

@@ -61,15 +61,27 @@ def echo(prompt: str) -> str:
     return prompt.strip().rsplit("\n", 1)[-1]
 
 
+class Refused(Exception):
+    """A call that the provider answered with an HTTP error ``status``."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(f"{status} {message}".strip())
+        self.status = status
+
+
+#: Statuses for which another call is of no use (bad request, no authority).
+FINAL_STATUSES = (400, 401)
+
+
 def retried(model: Model, times: int = 3, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Model:
-    """Calls again after a failure, waiting ``wait`` longer each time; the last failure is raised."""
+    """Calls again after a failure, waiting ``wait`` longer each time; the last failure is raised, and a final one at once."""
 
     def run(prompt: str) -> str:
         for attempt in range(times):
             try:
                 return model(prompt)
-            except Exception:  # noqa: BLE001 - providers raise anything
-                if attempt + 1 == times:
+            except Exception as e:  # noqa: BLE001 - providers raise anything
+                if attempt + 1 == times or getattr(e, "status", None) in FINAL_STATUSES:
                     raise
                 sleep(wait * (attempt + 1))
         raise ValueError("times must be positive")
@@ -77,15 +89,25 @@ def retried(model: Model, times: int = 3, wait: float = 5.0, sleep: Callable[[fl
     return run
 
 
-def embedded(text: Column, embed: Embedder, prefix: str = PASSAGE, batch: int = BATCH) -> Column:
-    """Vectors of a text column, ``batch`` texts a call."""
+def embedded(text: Column, embed: Embedder, prefix: str = PASSAGE, batch: int = BATCH, lenient: bool = False) -> Column:
+    """Vectors of a text column, ``batch`` texts a call.
+
+    ``lenient``: a batch that fails is tried text by text, and a text that fails has null.
+    """
+
+    def vectors(texts: list[str]) -> list:
+        try:
+            return list(embed(texts))
+        except Exception:  # noqa: BLE001 - becomes a null
+            if not lenient:
+                raise
+            return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            parts = [embed([prefix + (t or "") for t in texts.iloc[i : i + batch]]) for i in range(0, len(texts), batch)]
-            rows = np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
-            yield pd.Series(list(rows), index=texts.index, dtype=object)
+            rows = [v for i in range(0, len(texts), batch) for v in vectors([prefix + (t or "") for t in texts.iloc[i : i + batch]])]
+            yield pd.Series(rows, index=texts.index, dtype=object)
 
     return run(text)
 
@@ -128,6 +150,6 @@ def language(text: Column, detect: Detector = unknown) -> Column:
     return run(text)
 
 
-def with_embeddings(chunks: DataFrame, embed: Embedder, name: str, text: str = "text") -> DataFrame:
+def with_embeddings(chunks: DataFrame, embed: Embedder, name: str, text: str = "text", lenient: bool = False) -> DataFrame:
     """Chunks with their vector, its size and the model's name."""
-    return chunks.withColumn("embedding", embedded(F.col(text), embed)).withColumn("embedding_dim", F.size("embedding")).withColumn("embedding_model", F.lit(name))
+    return chunks.withColumn("embedding", embedded(F.col(text), embed, lenient=lenient)).withColumn("embedding_dim", F.size("embedding")).withColumn("embedding_model", F.lit(name))

@@ -34,14 +34,15 @@ def pages(files: DataFrame, reader: PageReader = no_pages, ocr: PageReader | Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                out = []
+                out, seen = [], None
                 try:
                     for i, page in enumerate(reader(content)):
                         if ocr and len(page.strip()) < below:
                             try:
-                                page = ocr(content)[i]
+                                seen = ocr(content) if seen is None else seen  # once a file
+                                page = seen[i]
                             except Exception:  # noqa: BLE001 - any failure of a provider keeps what there is
-                                pass
+                                seen = [] if seen is None else seen
                         out.append((path, i, page, None))
                 except Exception as e:  # noqa: BLE001 - becomes a row
                     out = [(path, 0, None, f"{type(e).__name__}: {e}")]
@@ -102,6 +103,13 @@ def write_chunk_file(chunks: DataFrame, path: str, size: int = 1000, overlap: in
     one.select(F.to_json(F.struct("metadata", "embeddable_chunks"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """One JSON document, an array of the rows in order. One value by format, so one task: for results, not for corpora."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), F.monotonically_increasing_id().alias("at"))
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("x"))
+    one.select(F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["value"]), ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_rows(df: DataFrame, path: str) -> None:
     """JSON lines, in parallel."""
     df.write.mode("overwrite").json(path)

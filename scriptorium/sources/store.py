@@ -1,14 +1,21 @@
-"""Collections: Parquet tables of chunks with group-level upserts.
-
-A collection is a folder of versions; ``_current`` names the one that readers
-see. A change writes the next version in full, then switches the name, so a
-reader or a failed writer never sees half of it, and nothing is deleted before
-its replacement is written. Folders are reached through Hadoop's file systems,
-so a collection may be in any store that Spark reads.
+"""Collections: Parquet files of chunks with group-level upserts.
+
+A collection is a folder of data files and of numbered versions, each a list
+of the files that it has. A change writes new files, for the rows that it adds
+and for what is left of the files that it touches, and then the next version's
+list, which appears whole or not at all. So a reader, or a writer that is
+stopped, never sees half a change; inserts rewrite nothing, and upserts and
+deletes rewrite only files that hold their groups. Two writers cannot both
+write one version: the later gets an error. Old files stay for readers with
+open plans until ``vacuum``. Folders are reached through Hadoop's file
+systems, so a collection may be in any store that Spark reads and that renames
+without overwriting.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,32 +27,82 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None, create: bool = True):
         """Open, or create from ``schema``; with ``create`` off a missing collection is an error."""
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._file = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._file(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._file(f"{self.path}/_current")):
+        self._jvm = spark._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._file = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._file(self.path).getFileSystem(self._conf)
+        if not self._numbers():
             if not create or schema is None:
                 raise FileNotFoundError(f"no collection at {path}")
-            self._write(spark.createDataFrame([], schema))
-
-    def _version(self) -> str:
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+            self._publish(0, schema.json(), [])
+
+    # versions: the schema in the first line, then a file a line
+
+    def _numbers(self) -> list[int]:
+        top = self._file(f"{self.path}/_versions")
+        names = [x.getPath().getName() for x in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _publish(self, number: int, schema: str, files: list[str]) -> None:
+        final, tmp = self._file(f"{self.path}/_versions/{number:020d}"), self._file(f"{self.path}/_versions/_next-{uuid.uuid4().hex}")
+        out = self._fs.create(tmp)
+        out.write(bytearray("\n".join([schema, *files]).encode()))
+        out.close()
+        try:  # fails if the version is there already
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(final), self._no_options())
+        except Exception as e:
+            self._fs.delete(tmp, False)
+            raise RuntimeError(f"version {number} of {self.path} was written by another: read it and try again") from e
+
+    def _no_options(self):
+        return self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+
+    def _version(self, number: int | None = None) -> tuple[int, str, list[str]]:
+        number = self._numbers()[-1] if number is None else number
+        text = self.spark.read.text(f"{self.path}/_versions/{number:020d}", wholetext=True).first()[0]
+        schema, *files = text.split("\n")
+        return number, schema, files
+
+    def _open(self, schema: str, files: list[str]) -> DataFrame:
+        kind = T.StructType.fromJson(json.loads(schema))
+        if not files:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{f}" for f in files])
 
     def read(self, *columns: str) -> DataFrame:
         """All rows; only the ``columns`` if named (the rest is never read)."""
-        df = self.spark.read.parquet(f"{self.path}/{self._version()}")
+        _, schema, files = self._version()
+        df = self._open(schema, files)
         return df.select(*columns) if columns else df
 
-    def _write(self, df: DataFrame) -> None:
-        name, tmp = f"v-{uuid.uuid4().hex}", f"{self.path}/_next-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.text(tmp)
-        current = self._file(f"{self.path}/_current")
-        old = self._version() if self._fs.exists(current) else None
-        self._fs.delete(current, True)
-        self._fs.rename(self._file(tmp), current)
-        if old:
-            self._fs.delete(self._file(f"{self.path}/{old}"), True)
+    def _written(self, rows: DataFrame) -> list[str]:
+        """Rows as new files; their names."""
+        name = f"d-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        found = [x.getPath().getName() for x in self._fs.listStatus(self._file(f"{self.path}/{name}"))]
+        return sorted(f"{name}/{f}" for f in found if f.endswith(".parquet"))
+
+    def _rows(self, files: list[str]) -> int:
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in files]).count() if files else 0
+
+    def _holding(self, schema: str, files: list[str], hits) -> list[str]:
+        """Those of the files that hold rows of ``hits(all rows)``."""
+        if not files:
+            return []
+        named = self._open(schema, files).withColumn("_file", F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -2, 2)))
+        return [r[0] for r in hits(named).select("_file").distinct().collect()]  # a name a touched file
+
+    def vacuum(self, keep: int = 1, older_than: float = 7 * 24 * 3600.0) -> int:
+        """Delete data and versions that none of the last ``keep`` versions has and that are so many seconds old; how many."""
+        numbers = self._numbers()
+        used = {f.split("/")[0] for n in numbers[-keep:] for f in self._version(n)[2]}
+        stale = lambda x: x.getModificationTime() <= (time.time() - older_than) * 1000
+        gone = [x.getPath() for x in self._fs.listStatus(self._file(self.path)) if x.getPath().getName().startswith("d-") and x.getPath().getName() not in used and stale(x)]
+        kept = {f"{n:020d}" for n in numbers[-keep:]}
+        gone += [x.getPath() for x in self._fs.listStatus(self._file(f"{self.path}/_versions")) if x.getPath().getName() not in kept and stale(x)]
+        for x in gone:
+            self._fs.delete(x, True)
+        return len(gone)
 
     # reads
 
@@ -73,46 +130,58 @@ class Collection:
 
     # changes
 
-    def append(self, rows: DataFrame) -> None:
-        self._write(self._fitted(rows).unionByName(self.read()))
+    def append(self, rows: DataFrame) -> int:
+        """Add rows; how many."""
+        number, schema, files = self._version()
+        new = self._written(self._fitted(rows))
+        self._publish(number + 1, schema, files + new)
+        return self._rows(new)
 
     def insert_absent(self, rows: DataFrame, id: str = "id") -> tuple[int, int]:
         """Insert rows whose id is new, once each; (inserted, skipped)."""
-        total, before = rows.count(), self.count()
-        new = absent(rows, self.read(id), id)
-        self.append(new)
-        inserted = self.count() - before
+        total = rows.count()
+        inserted = self.append(absent(rows, self.read(id), id))
         return inserted, total - inserted
 
     def replace_groups(self, rows: DataFrame, key: str) -> None:
         """Replace every group of ``key`` that ``rows`` has; others stay."""
-        self._write(upserted(self.read(), self._fitted(rows), key))
+        number, schema, files = self._version()
+        keys = rows.select(key).distinct()
+        touched = self._holding(schema, files, lambda df: df.join(keys, key, "left_semi"))
+        new = self._written(upserted(self._open(schema, touched), self._fitted(rows), key))
+        self._publish(number + 1, schema, [f for f in files if f not in set(touched)] + new)
 
     def replace_changed(self, rows: DataFrame, key: str = "source", mark: str = "file_hash") -> DataFrame:
-        """As ``replace_groups``, for groups whose ``mark`` is not stored yet; returns (key, status)."""
-        state = changed(rows.select(key, mark).distinct(), self.read(key, mark), key, mark).cache()
+        """As ``replace_groups``, for groups whose ``mark`` is not stored yet; returns (key, status), of the store as it was."""
+        state = changed(rows.select(key, mark).distinct(), self.read(key, mark), key, mark)
         self.replace_groups(rows.join(state.where("status = 'ingested'").select(key), key, "left_semi"), key)
         return state
 
+    def _drop(self, hits, left) -> int:
+        """Rewrite the files that hold hits with what is left of them; how many rows went."""
+        number, schema, files = self._version()
+        touched = self._holding(schema, files, hits)
+        if not touched:
+            return 0
+        new = self._written(left(self._open(schema, touched)))
+        self._publish(number + 1, schema, [f for f in files if f not in set(touched)] + new)
+        return self._rows(touched) - self._rows(new)
+
     def delete(self, condition: Column) -> int:
         """Delete the rows for which ``condition`` is true; how many."""
-        before = self.count()
-        self._write(self.read().where(~F.coalesce(condition, F.lit(False))))
-        return before - self.count()
+        return self._drop(lambda df: df.where(condition), lambda df: df.where(~F.coalesce(condition, F.lit(False))))
 
     def delete_ids(self, ids: DataFrame, id: str = "id") -> int:
-        before = self.count()
-        self._write(self.read().join(ids.select(id).distinct(), id, "left_anti"))
-        return before - self.count()
+        ids = ids.select(id).distinct()
+        return self._drop(lambda df: df.join(ids, id, "left_semi"), lambda df: df.join(ids, id, "left_anti"))
 
     def truncate(self, group: str | None = None) -> DataFrame | None:
-        """Delete everything; with ``group``, returns the rows that each group had."""
-        had = None
+        """Delete everything; with ``group``, returns the rows that each group had (from the files, which stay until ``vacuum``)."""
+        number, schema, files = self._version()
+        self._publish(number + 1, schema, [])
         if group:
-            rows = self.read().groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-            had = self.spark.createDataFrame(rows.orderBy(group).toArrow().to_pandas()) if not rows.isEmpty() else rows.limit(0)
-        self._write(self.read().limit(0))
-        return had
+            return self._open(schema, files).groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(group)
+        return None
 
     def _fitted(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the collection's columns; what they lack is null."""
@@ -136,6 +205,6 @@ def changed(rows: DataFrame, stored: DataFrame, key: str, mark: str) -> DataFram
     return rows.join(known, [key, mark], "left").select(key, F.when(F.col("known"), "skipped").otherwise("ingested").alias("status"))
 
 
-def without_nulls(df: DataFrame) -> DataFrame:
-    """Empty strings for null ones: stored metadata has no nulls."""
-    return df.fillna("", [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
+def without_nulls(df: DataFrame, filler: str = "") -> DataFrame:
+    """``filler`` (the notebook's store has "unknown") for null strings: stored metadata has no nulls."""
+    return df.fillna(filler, [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])

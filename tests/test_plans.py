@@ -30,6 +30,97 @@ def test_store_round_trip(spark, tmp_path):
         Collection(spark, str(tmp_path / "none"), create=False)
 
 
+def test_store_keeps_what_a_stopped_writer_left(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"), CHUNK)
+    rows = spark.createDataFrame([(str(i), f"t{i}", f"s{i % 3}", "h") for i in range(9)], "id string, text string, source string, file_hash string")
+    for s in ("s0", "s1", "s2"):
+        c.append(rows.where(F.col("source") == s).coalesce(1))
+    _, _, files = c._version()
+    assert len(files) == 3
+    c._written(c.read().limit(1))  # stopped before its version was published
+    again = Collection(spark, str(tmp_path / "c"), CHUNK)
+    assert again.count() == 9
+    open_plan = again.read()
+    again.replace_groups(rows.where("source = 's1'").limit(1), "source")
+    assert set(files) - set(again._version()[2]) == {f for f in files if spark.read.parquet(str(tmp_path / "c" / f)).first().source == "s1"}  # others are not rewritten
+    assert again.count() == 7 and open_plan.count() == 9
+    number, schema, now = again._version()
+    with pytest.raises(RuntimeError):  # a second writer of a version
+        again._publish(number, schema, now)
+    assert again.vacuum(older_than=0) > 0 and again.count() == 7
+    assert again.delete_ids(spark.createDataFrame([("0",), ("3",)], "id string")) == 2 and again.count() == 5
+
+
+def test_ingest_says_what_it_skipped(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Some words on rent. " * 20)
+    store = Collection(spark, str(tmp_path / "db"), CHUNK)
+    run = lambda: {r.source.rsplit("/", 1)[1]: r.status for r in pipelines.ingest_documents(store, files.documents(spark, str(tmp_path / "in")), EMBED).collect()}
+    assert run() == {"a.txt": "ingested"}
+    (tmp_path / "in/b.txt").write_text("Other words on bread. " * 20)
+    assert run() == {"a.txt": "skipped", "b.txt": "ingested"}
+    (tmp_path / "in/a.txt").write_text("Changed words on rent. " * 20)
+    assert run() == {"a.txt": "ingested", "b.txt": "skipped"}
+
+
+def test_ocr_reads_a_file_once(spark, tmp_path):
+    (tmp_path / "p.pdf").write_bytes(b"s|" * 19 + b"s")
+    calls = spark.sparkContext.accumulator(0)
+
+    def ocr(content):
+        calls.add(1)
+        return [f"page {i}" for i in range(20)]
+
+    got = files.pages(spark.read.format("binaryFile").load(str(tmp_path)), lambda b: b.decode().split("|"), ocr).collect()
+    assert sorted(r.text for r in got) == sorted(f"page {i}" for i in range(20)) and calls.value == 1
+
+
+def test_a_chunk_that_fails_is_counted(spark, tmp_path):
+    schema = T.StructType([*ARTICLE_CHUNK.fields, T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("document_type", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    store = Collection(spark, str(tmp_path / "db"), schema)
+
+    def embed(texts):
+        if any("Land is held" in t for t in texts):
+            raise RuntimeError("no")
+        return EMBED(texts)
+
+    r = api.digest_statute(store, spark.createDataFrame([("s.txt", STATUTE)], "file_name string, text string"), embed).first()
+    assert (r.ingested, r.failed, r.articles_processed, r.overall) == (2, 1, 2, "partial_success") and store.count() == 2
+
+
+def test_classification_retries(spark):
+    good = '{"intents":[],"target_components":[],"legal_domains":[],"vector_query":"q","reasoning_summary":"r"}'
+
+    def failing(status, times):
+        left = [status] * times
+
+        def model(p):
+            if left:
+                raise providers.Refused(left.pop())
+            return good
+
+        return model
+
+    waits = []
+    got = api.qclassify(spark, "q?", failing(429, 2), sleep=waits.append).first()
+    assert got.success and got.classification.vector_query == "q" and waits == [5, 10]
+    for status in (400, 401):
+        waits.clear()
+        got = api.qclassify(spark, "q?", failing(status, 1), sleep=waits.append).first()
+        assert not got.success and str(status) in got.error and not waits
+    assert not api.qclassify(spark, " ", failing(400, 0)).first().success
+
+
+def test_result_file_and_display(spark, tmp_path):
+    df = spark.createDataFrame([("facts", None), ("Rules", "x"), ("other", "é"), ("issues", "y")], "c string, v string")
+    files.write_array(df.coalesce(1), str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*")
+    assert json.loads(part.read_text()) == [{"c": a, "v": b} for a, b in (("facts", None), ("Rules", "x"), ("other", "é"), ("issues", "y"))]
+    assert [r.c for r in pipelines.in_display_order(df, "c").collect()] == ["facts", "issues", "Rules", "other"]
+    shares = spark.createDataFrame([(1, 3), (1, 0)], "a int, b int").select(pipelines.shown_percent(F.col("a"), F.col("b")).alias("p"))
+    assert [r.p for r in shares.collect()] == ["33.3%", "0.0%"]
+
+
 def test_files_and_pdf(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Search\nhello  there")
     (tmp_path / "b.PDF").write_bytes(b"one|two")
