@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontam, jaccard, mixing, quality, sharding
-from scriptorium.llm.common import stage
+from scriptorium.llm.common import scope, stage
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, apply) in enumerate(STAGES, 1):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = stage(docs, f"stage{k}")
-    return docs
+    for k, (_, apply) in enumerate(STAGES[:-1], 1):
+        with scope(spark):  # what the stage wrote for itself goes, its result stays
+            docs = stage(apply(spark, docs, sf_dir), f"stage{k}", result=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -54,14 +54,14 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage on storage that outlives any executor, and fixes
     values such as ``monotonically_increasing_id`` for all later readers. The
     shuffle files of the plan behind it are no longer needed, so they are let
-    go at once. The folder goes with the innermost ``scope``, or else with the
-    application.
+    go at once. The folder goes with the innermost ``scope`` (a ``result`` with
+    the one around it), or else with the application.
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/scriptorium-{spark.sparkContext.applicationId}"
@@ -69,8 +69,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     at, fs = _path(spark, top)
     fs.deleteOnExit(at)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if len(_SCOPES) > result:
+        _SCOPES[-1 - result].append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -215,13 +215,14 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     keys = sk.select("sid", F.explode("keys").alias("key"))
     twice = counted(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
     shared = stage(keys.join(twice, "key").distinct(), "shared")
-    seen = counted(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("c > 1"))
+    seen = counted(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("a"), F.max("sid").alias("b"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("same")).where("c > 1"))
     code = stage(sk.where("sid is not null").groupBy("sid", "space").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "codes")
     # 3: most keys have two sets, which are a pair at once, and the same pair from many keys is one
     pairs = seen.where("c = 2").select("a", "b").distinct().join(code.select(F.col("sid").alias("a"), "space", F.col("n").alias("n1"), F.col("sketch").alias("x")), "a")
     pairs = pairs.join(code.select(F.col("sid").alias("b"), "space", F.col("n").alias("n2"), F.col("sketch").alias("y")), ["b", "space"])
     pairs = pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(lambda it: _near_pairs(it, bands), "a long, b long")
-    more = seen.where("c > 2")
+    # keys with the same sets, as copies have by the dozen, are one
+    more = counted(seen.where("c > 2").groupBy("a", "b", "c", "same").agg(F.min("key").alias("key")))
     members = shared.join(more.select(F.col("key"), F.col("c").alias("size")), "key").join(code, "sid").select(F.col("key").alias("root"), "space", "sid", "n", "sketch", "size")
     total = more.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     near = in_parts(members, F.octet_length("sketch"), lambda g, left: _near(g, left, bands), "size", total).unionByName(pairs)

@@ -1,10 +1,11 @@
+import pathlib
 import zlib
 
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from scriptorium.llm import queries
+from scriptorium.llm import common, queries
 from tests.llm.test_operators import brute_hits, brute_links
 
 BENCH = [(1, "benchmark words that must never be seen in any training text again"), (2, None)]
@@ -21,6 +22,10 @@ def folder(tmp_path_factory, spark, rows):
     return str(top)
 
 
+def left_behind(spark):
+    return {str(p) for p in pathlib.Path(common.shared_dir(spark)).glob("scriptorium-*/*")}
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
@@ -38,7 +43,11 @@ def test_stages(spark, folder):
     assert sorted(map(repr, clean)) == sorted(repr(r) for r in unlike if not brute_hits(r[1], BENCH)[1])
     assert len(clean) == len(unlike) - 1
     assert sorted(map(repr, mixed)) == sorted(map(repr, clean)) and len(dealt) == len(mixed)
-    assert corpus_pipeline.run(spark, folder).count() == len(dealt)
+    with common.scope(spark):
+        before = left_behind(spark)
+        assert corpus_pipeline.run(spark, folder).count() == len(dealt)
+        assert left_behind(spark) - before
+    assert left_behind(spark) == before  # a scope removes all that was staged inside
 
 
 def test_slots_follow_the_mix(spark, tmp_path):
