@@ -31,7 +31,9 @@ other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ NEAR = 16
 SIMILARITY = 85
 #: Features whose bits are added up together.
 _STEP = 1 << 14
+#: Bits of the numbers that compute many distances at once.
+_LANES = 1 << 16
 #: Words looked ahead for a place where two lines agree again.
 _REACH = 2000
 #: Lines that a task keeps in mind, so as not to send a repeated line's keys again.
@@ -244,8 +248,8 @@ def _near_small(columns: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.n
     return i[ok], j[ok]
 
 
-def at_most(a: str, b: str) -> int:
-    """A number that the edit distance does not exceed: words in step, with the words between them replaced."""
+def at_most(a: str, b: str, most: int = 1 << 60) -> int:
+    """A number that the edit distance does not exceed: words in step, with the words between them replaced. Over ``most``, any."""
     x, y = a.split(" "), b.split(" ")
     i = j = cost = 0
     while i < len(x) and j < len(y):
@@ -255,6 +259,8 @@ def at_most(a: str, b: str) -> int:
         p, q = _in_step(x, y, i, j)
         cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
         i, j = i + p, j + q
+        if cost > most:
+            return max(cost, len(a) + len(b))
     return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
 
 
@@ -311,6 +317,38 @@ def distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def distances(a: str, others: list[str]) -> list[int]:
+    """Edit distances from ``a``, bit-parallel for many at once: each has a lane of a wide number, with a spare bit for carries."""
+    n, out = len(a), [len(a)] * len(others)
+    if not n:
+        return [len(b) for b in others]
+    width = n // 8 + 1
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    none, full = bytes(width), (1 << n) - 1
+    lane = defaultdict(lambda: none, {c: v.to_bytes(width, "little") for c, v in where.items()})
+    per = max(1, _LANES // (8 * width))
+    for first in range(0, len(others), per):
+        texts = others[first : first + per]
+        all_, ones = (int.from_bytes(x.to_bytes(width, "little") * len(texts), "little") for x in (full, 1))
+        ends: dict[int, list[int]] = {}
+        for k, b in enumerate(texts):
+            ends.setdefault(len(b), []).append(k)
+        plus, minus = all_, 0
+        for column, chars in enumerate(zip_longest(*texts, fillvalue=""), 1):
+            eq = int.from_bytes(b"".join(map(lane.__getitem__, chars)), "little")
+            x = eq | minus
+            d = ((((eq & plus) + plus) ^ plus) | eq) & all_
+            up, down = minus | ((d | plus) ^ all_), plus & d
+            up = (up << 1 | ones) & all_
+            plus, minus = (down << 1 & all_) | ((x | up) ^ all_), up & x
+            for k in ends.get(column, ()):
+                at = 8 * width * k
+                out[first + k] = column + (plus >> at & full).bit_count() - (minus >> at & full).bit_count()
+    return out
+
+
 def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
     m = np.array(group["code"], dtype=np.int64)
     for i in range(left or len(m) - 1):
@@ -327,33 +365,27 @@ def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]
     # an edit of a character changes one byte either way, or four where characters are not ASCII
     width = np.where(tally[:, 128:].any(axis=1), 4, 1)
     forest = Forest(len(lines))
-    away: dict[int, tuple[int, int]] = {}  # a line's group's first line, and what its distance does not exceed
     for i in range(left or len(lines) - 1):
         j = np.arange(left or i + 1, len(lines))
         most = np.maximum(size[i], size[j]) * (100 - SIMILARITY) // 100
         may = (np.bitwise_count((code[j] ^ code[i]).view(np.uint64)) <= NEAR) & (np.abs(size[i] - size[j]) <= most)
-        hit, to = [], {}
+        hit, open_ = [], []
         for k, m in zip(j[may].tolist(), most[may].tolist(), strict=True):
-            r = forest.root(k)
-            if r == forest.root(i):
+            if forest.root(k) == forest.root(i):
                 continue
             gap = tally[k] - tally[i]
             if max(gap[gap > 0].sum(), -gap[gap < 0].sum()) // max(width[k], width[i]) > m:
                 continue
-            if at_most(lines[i], lines[k]) > m:
-                if at_least(lines[i], lines[k]) > m:
-                    continue
-                if r != k:  # by way of the group's first line: one distance for many
-                    if r not in to:
-                        to[r] = distance(lines[i], lines[r], 1 << 60)
-                    if away.get(k, (-1, 0))[0] != r:
-                        away[k] = (r, at_most(lines[r], lines[k]))
-                    if to[r] - away[k][1] > m:
-                        continue
-                if distance(lines[i], lines[k], m) > m:
-                    continue
-            forest.join(i, k)
-            hit.append(k)
+            if at_most(lines[i], lines[k], m) <= m:
+                forest.join(i, k)
+                hit.append(k)
+            elif at_least(lines[i], lines[k]) <= m:
+                open_.append((k, m))
+        open_ = [(k, m) for k, m in open_ if forest.root(k) != forest.root(i)]
+        far = distances(lines[i], [lines[k] for k, _ in open_]) if len(open_) > 1 else [distance(lines[i], lines[k], m) for k, m in open_]
+        for (k, m), d in zip(open_, far, strict=True):
+            if d <= m and forest.join(i, k):
+                hit.append(k)
         yield i, np.array(hit, dtype=np.int64)
 
 

@@ -496,6 +496,9 @@ def test_edit_distance():
         assert lines.distance(a, b, 99) == d
         assert (lines.distance(a, b, 3) <= 3) == (d <= 3)
         assert lines.at_least(a, b) <= d <= lines.at_most(a, b)
+    for n in (0, 1, 9, 70):
+        a, *others = ("".join(r.choice(list("abé"), r.integers(0, n + 1))) for _ in range(40))
+        assert lines.distances(a, others) == [slow(a, b) if a and b else len(a) + len(b) for b in others]
     for _ in range(30):  # long enough to be given up early
         a = "".join(r.choice(list("abcdé"), 400))
         b = "".join(r.choice(list("abcdé"), 150)) + a[r.integers(0, 150) : 380]
