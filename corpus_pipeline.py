@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, apply) in enumerate(STAGES[:-1], 1):
         with scope(spark):  # what the stage wrote for itself goes, its result stays
-            docs = stage(apply(spark, docs, sf_dir), f"stage{k}", result=True)
+            docs = stage(apply(spark, docs, sf_dir), f"stage{k}", result=True, free=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -54,13 +54,14 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, result: bool = False, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage on storage that outlives any executor, and fixes
-    values such as ``monotonically_increasing_id`` for all later readers. The
-    shuffle files of the plan behind it are no longer needed, so they are let
-    go at once. The folder goes with the innermost ``scope`` (a ``result`` with
+    values such as ``monotonically_increasing_id`` for all later readers.
+    ``free`` lets the shuffle files of the plan behind it go at once, which
+    costs a collection of the driver's garbage: for plans that shuffled much.
+    The folder goes with the innermost ``scope`` (a ``result`` with
     the one around it), or else with the application.
     """
     spark = df.sparkSession
@@ -71,8 +72,9 @@ def stage(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     fs.deleteOnExit(at)
     if len(_SCOPES) > result:
         _SCOPES[-1 - result].append(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,13 +97,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
             fs.delete(at, True)
 
 
-def counted(df: DataFrame) -> DataFrame:
+def counted(df: DataFrame, free: bool = False) -> DataFrame:
     """Stage an aggregate that is about to be joined back to what it was made from.
 
     Joined directly, both sides would keep the aggregate's partitioning, and
     adaptive execution could not split the partition of a hot key.
     """
-    return stage(df, "counted")
+    return stage(df, "counted", free=free)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -213,10 +213,10 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     sk = stage(rows.mapInArrow(lambda b: _sketches(b, width, bands), _SKETCH), "sketches")
     # 2: keys of two sets or more
     keys = sk.select("sid", F.explode("keys").alias("key"))
-    twice = counted(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
-    shared = stage(keys.join(twice, "key").distinct(), "shared")
+    twice = counted(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), free=True)
+    shared = stage(keys.join(twice, "key").distinct(), "shared", free=True)
     seen = counted(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("a"), F.max("sid").alias("b"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("same")).where("c > 1"))
-    code = stage(sk.where("sid is not null").groupBy("sid", "space").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "codes")
+    code = stage(sk.where("sid is not null").groupBy("sid", "space").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "codes", free=True)
     # 3: most keys have two sets, which are a pair at once, and the same pair from many keys is one
     pairs = seen.where("c = 2").select("a", "b").distinct().join(code.select(F.col("sid").alias("a"), "space", F.col("n").alias("n1"), F.col("sketch").alias("x")), "a")
     pairs = pairs.join(code.select(F.col("sid").alias("b"), "space", F.col("n").alias("n2"), F.col("sketch").alias("y")), ["b", "space"])
@@ -226,7 +226,7 @@ def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: in
     members = shared.join(more.select(F.col("key"), F.col("c").alias("size")), "key").join(code, "sid").select(F.col("key").alias("root"), "space", "sid", "n", "sketch", "size")
     total = more.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     near = in_parts(members, F.octet_length("sketch"), lambda g, left: _near(g, left, bands), "size", total).unionByName(pairs)
-    groups = stage(components(near), "groups")
+    groups = stage(components(near), "groups", free=True)
     # 5: exact; one document of each set gives its text
     named = sk.where("own and sid is not null").join(groups.withColumnRenamed("node", "sid"), "sid").groupBy("sid").agg(F.min(F.struct("ka", "kb")).alias("k")).select("sid", "k.ka", "k.kb")
     sets = rows.join(named, ["ka", "kb"]).select("sid", "raw").mapInArrow(lambda b: _sets(b, width), "sid long, hashes binary")

@@ -221,17 +221,17 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes.view(np.int64))], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
 
 
-def _in_step(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
-    """How far to go from i and j to words that agree again."""
+def _in_step(x: list[str], y: list[str], i: int, j: int, reach: int) -> tuple[int, int]:
+    """How far to go from i and j, ``reach`` words at most, to words that agree again; or to the ends."""
     for d in range(1, 9):
         for p in range(d + 1):
             if i + p < len(x) and j + d - p < len(y) and x[i + p] == y[j + d - p]:
                 return p, d - p
     # a longer passage on one side: the next three words in a row that both have
     there: dict[tuple, int] = {}
-    for q in range(min(_REACH, len(y) - j - 2)):
+    for q in range(min(reach, len(y) - j - 2)):
         there.setdefault((y[j + q], y[j + q + 1], y[j + q + 2]), q)
-    for p in range(min(_REACH, len(x) - i - 2)):
+    for p in range(min(reach, len(x) - i - 2)):
         if (q := there.get((x[i + p], x[i + p + 1], x[i + p + 2]))) is not None:
             return p, q
     return len(x) - i, len(y) - j
@@ -256,7 +256,7 @@ def at_most(a: str, b: str, most: int = 1 << 60) -> int:
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
-        p, q = _in_step(x, y, i, j)
+        p, q = _in_step(x, y, i, j, min(_REACH, (most - cost) // 2 + 1))  # a word and its space are two edits
         cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
         i, j = i + p, j + q
         if cost > most:
@@ -406,7 +406,7 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     # 2: blocks of two lines or more. A task sends a line once, so one shuffle does: it is counted, then joined with its counts
     keys = lines.select("lid", F.explode("keys").alias("root")).repartition("root")
     seen = keys.groupBy("root").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b")
-    shared = stage(keys.join(seen.hint("shuffle_hash"), "root").distinct(), "shared")
+    shared = stage(keys.join(seen.hint("shuffle_hash"), "root").distinct(), "shared", free=True)
     same = F.sum(F.xxhash64("lid").cast("decimal(38,0)"))
     sizes = counted(shared.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.first("a").alias("a"), F.first("b").alias("b"), same.alias("same")))
     # most shared blocks have two lines: these are pairs at once; blocks with the same lines are one
@@ -428,7 +428,7 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     # 4
     spots = counted(once.join(groups, "lid").groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("lid", "root", "code", "at.line")).alias("spots")))
     texts = rows.select("ka", "kb", "raw").join(spots, ["ka", "kb"]).mapInArrow(_texts, "lid long, root long, code long, text binary")
-    texts = stage(texts.groupBy("lid", "root").agg(F.first("code").alias("code"), F.first("text").alias("text")), "texts")
+    texts = stage(texts.groupBy("lid", "root").agg(F.first("code").alias("code"), F.first("text").alias("text")), "texts", free=True)
     members = texts.select("root", F.lit(0).alias("space"), F.col("lid").alias("sid"), "code", "text")
     links = components(in_parts(members, F.octet_length("text"), _close)).withColumnRenamed("node", "lid")
     # 5: the first occurrence of every group, and of every line, that there are two of

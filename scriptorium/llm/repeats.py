@@ -246,14 +246,14 @@ def occurrences(docs: DataFrame, symbols, k: int, m: int) -> DataFrame:
 def recurring(occ: DataFrame) -> DataFrame:
     """The contexts of minimizers that occur more than once, staged; no other holds a repeated window."""
     twice = counted(occ.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh"))
-    return stage(occ.join(twice, "mh"), "recurring")
+    return stage(occ.join(twice, "mh"), "recurring", free=True)
 
 
 def located(occ: DataFrame) -> DataFrame:
     """(ka, kb, spots): for each document with any, its ranges of windows as (s, n, kind)."""
     twice = occ.groupBy("mh").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("c > 1")
     twice = counted(twice.select("mh", (F.col("lo") != F.col("hi")).alias("mixed")))
-    same = stage(occ.join(twice, "mh"), "repeated")
+    same = stage(occ.join(twice, "mh"), "repeated", free=True)
     mixed = same.where("mixed")
     kinds = counted(mixed.groupBy("mh", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ka", "kb", "s")).alias("rep")))
     kind = F.when(F.col("c") == 1, UNDECIDED).when(F.col("rep") == F.struct("ka", "kb", "s"), EVIDENCE).otherwise(REPEATED)

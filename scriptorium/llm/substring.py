@@ -93,7 +93,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     rows = keyed(docs, id, text)
     spots = located(occurrences(rows, word_symbols, k, m))
     held = rows.join(spots, ["ka", "kb"], "inner")
-    windows = stage(held.mapInArrow(lambda b: _undecided(b, k), "ka long, kb long, s int, open boolean, mh long, h long"), "windows")
+    windows = stage(held.mapInArrow(lambda b: _undecided(b, k), "ka long, kb long, s int, open boolean, mh long, h long"), "windows", free=True)
     twice = counted(windows.groupBy("mh", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "h"))
     more = windows.where("open").join(twice, ["mh", "h"]).groupBy("ka", "kb").agg(F.collect_set("s").alias("more"))
     whole = rows.join(spots.join(more, ["ka", "kb"], "left"), ["ka", "kb"], "left")

@@ -258,7 +258,7 @@ def repeated_strings(segments: DataFrame, k: int) -> DataFrame:
     dealt = dealt.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("ch", "open"), F.col("parts")).cast("int"))
     # little data, much work: dealt by number, or adaptive execution would put it into a few tasks by its bytes
     dealt = dealt.repartition(max(1, min(total // PART, MOST_TASKS)), "shard", "part")
-    done = stage(dealt.groupBy("shard", "part").applyInArrow(lambda t: _sorted_part(t, k), _FOUND), "suffixes")
+    done = stage(dealt.groupBy("shard", "part").applyInArrow(lambda t: _sorted_part(t, k), _FOUND), "suffixes", free=True)
     blobs = done.where("t is not null")
     other = blobs.select("shard", F.col("part").alias("part2"), F.col("t").alias("t2"), F.col("sorted").alias("sorted2"))
     pairs = blobs.join(other, "shard").where("part <> part2").select("t", "left", "begin", "mhs", "chs", "t2", "sorted2")
@@ -278,10 +278,10 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     sent = F.array_distinct(F.array(F.struct("one.*", F.lit(True).alias("open")), F.struct("other.*", (F.col("one") == F.col("other")).alias("open"))))
     spots = each.select("mh", "ch", F.explode(sent).alias("x")).groupBy("x.ka", "x.kb").agg(F.collect_list(F.struct("x.s", "x.n", "x.open", "mh", "ch")).alias("spots"))
     held = rows.select("ka", "kb", "raw").join(counted(spots), ["ka", "kb"])
-    segments = stage(held.mapInArrow(lambda b: _segments(b, k), "mh long, ch long, open boolean, seg binary"), "segments")
+    segments = stage(held.mapInArrow(lambda b: _segments(b, k), "mh long, ch long, open boolean, seg binary"), "segments", free=True)
     found = same.join(repeated_strings(segments, k).withColumnRenamed("n", "many"), ["mh", "ch"])
     runs = found.select("ka", "kb", F.struct((F.col("s") + F.col("first")).alias("first"), F.col("many").alias("n")).alias("run")).groupBy("ka", "kb").agg(F.collect_set("run").alias("runs"))
-    whole = rows.join(counted(runs), ["ka", "kb"], "left")
+    whole = rows.join(counted(runs, free=True), ["ka", "kb"], "left")
     schema = T.StructType([rows.schema["rest"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())])))])
     out = whole.mapInArrow(lambda b: _kept(b, k), schema)
     names = fresh(docs, "n_bytes", "n_removed", "removed")
