@@ -54,13 +54,13 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame, name: str, result: bool = False, free: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, result: bool = False, free: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage on storage that outlives any executor, and fixes
     values such as ``monotonically_increasing_id`` for all later readers.
     ``free`` lets the shuffle files of the plan behind it go at once, which
-    costs a collection of the driver's garbage: for plans that shuffled much.
+    costs a collection of the driver's garbage.
     The folder goes with the innermost ``scope`` (a ``result`` with
     the one around it), or else with the application.
     """
@@ -97,7 +97,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
             fs.delete(at, True)
 
 
-def counted(df: DataFrame, free: bool = False) -> DataFrame:
+def counted(df: DataFrame, free: bool = True) -> DataFrame:
     """Stage an aggregate that is about to be joined back to what it was made from.
 
     Joined directly, both sides would keep the aggregate's partitioning, and
