@@ -1,9 +1,11 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from scriptorium.llm import chat, decontam, jaccard, licenses, lines, mixing, quality, sharding, substring, suffix
+from scriptorium.llm import centroids, chat, decontam, jaccard, licenses, lines, mixing, phrases, quality, sharding, substring, suffix
 
 QUERIES = {
     "op10_line_dedup": lines.query,
+    "op11_centroid_clustering": centroids.query,
+    "op13_phrase_collocations": phrases.query,
     "op1_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
     "op3_sharding": sharding.query,
@@ -16,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_centroid_clustering": centroids.ORACLE_SQL,
+    "op13_phrase_collocations": phrases.ORACLE_SQL,
     "op1_decontamination": decontam.ORACLE_SQL,
     "op4_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op5_chat_formatting": chat.ORACLE_SQL,
