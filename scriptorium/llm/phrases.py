@@ -8,9 +8,10 @@ what comes out, phrases of ``least`` occurrences are kept: a phrase's parts
 occur at least as often as the phrase, so its score needs no others, and parts
 are joined to it afterwards, in exact decimals.
 
-A first word with over ``hot`` occurrences (and over one in 2^17 of all, so at
-most 2^17 words, which are broadcast) is dealt out further by its second and
-third word; its counts of one and two words are then sums over those deals.
+Hot words have over ``hot`` occurrences (and over one in 2^17 of all, so there
+are at most 2^17, which are broadcast). The suffixes of a hot first word are
+dealt out further by the second word, and by the third where the second is hot,
+too; only the counts of such a word and such a pair are then sums of several.
 
 Suffixes travel packed, many to a row, in buckets: four for each of Spark's
 shuffle partitions and each language. So a task holds one bucket, and buckets
@@ -111,7 +112,8 @@ def _suffixes(max_n: int, buckets: int, sent):
                 for s, n in c.items():
                     first, _, rest = s.partition(SEP)
                     if first in spread:
-                        b = zlib.crc32(SEP.join(rest.split(SEP, 2)[:2])) % spread[first]
+                        more = rest.split(SEP, 2)
+                        b = zlib.crc32(SEP.join(more[:2]) if more[0] in spread else more[0]) % spread[first]
                         b = zlib.crc32(first, b + 1) % buckets
                     elif (b := known.get(first)) is None:
                         b = known[first] = zlib.crc32(first) % buckets
@@ -176,7 +178,7 @@ def stacked(suffixes: list[tuple[bytes, int]]) -> Iterator[tuple[list[bytes], in
 
 
 def _prefixes(least: int, sent):
-    """(lang, phrase, words, n) of a bucket: counts of ``least`` and more, and the shares of hot words' short prefixes."""
+    """(lang, phrase, words, n) of a bucket: counts of ``least`` and more, and the shares of hot words and pairs."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, total, firsts = key[0].as_py(), {}, Counter()
@@ -193,7 +195,7 @@ def _prefixes(least: int, sent):
         del total, firsts
         phrases, sizes, ns = [], [], []
         for words, n in stacked(held):
-            if n >= least or len(words) <= 2 and words[0] in spread:
+            if n >= least or len(words) <= 2 and all(w in spread for w in words):
                 phrases.append(plain(SEP.join(words)))
                 sizes.append(len(words))
                 ns.append(n)
