@@ -71,7 +71,7 @@ def _words(piece: bytes) -> list[bytes]:
 def plain(phrase: bytes) -> str:
     out = phrase.replace(SEP, b" ")
     if b"\1" in out:
-        out = re.sub(rb"\1([\1\2])", lambda m: SEP if m[1] == b"\1" else b"\1", out)
+        out = re.sub(b"\1([\1\2])", lambda m: SEP if m[1] == b"\1" else b"\1", out)
     return out.decode()
 
 

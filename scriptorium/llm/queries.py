@@ -1,10 +1,11 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from scriptorium.llm import centroids, chat, decontam, jaccard, licenses, lines, mixing, phrases, quality, sharding, substring, suffix
+from scriptorium.llm import centroids, chat, decontam, jaccard, licenses, lines, mixing, phrases, quality, scoring, sharding, substring, suffix
 
 QUERIES = {
     "op10_line_dedup": lines.query,
     "op11_centroid_clustering": centroids.query,
+    "op12_lm_scoring": scoring.query,
     "op13_phrase_collocations": phrases.query,
     "op1_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
