@@ -136,15 +136,15 @@ def clustered(df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", d
     """((id, cluster, distance) of every vector that counts, staged; the final centroids)."""
     if k * max(dim, k) > MOST_NUMBERS:
         raise ValueError(f"k * max(dim, k) is over {MOST_NUMBERS}")
-    now = stage(whole(df, id, vector, dim, scale).withColumn("cluster", F.lit(0)), "vectors")
+    now = stage(whole(df, id, vector, dim, scale).withColumn("cluster", F.lit(0)), "vectors", free=False)
     centroids = first_centroids(now, k, seed)
     if not len(centroids):
         return now.select("id", "cluster", F.lit(0).cast("long").alias("distance")), centroids
     for _ in range(rounds):
-        last, now = now, stage(assigned(now, centroids, keep=True).drop("distance"), "vectors")
+        last, now = now, stage(assigned(now, centroids, keep=True).drop("distance"), "vectors", free=False)
         unstage(last)
         centroids = moved(now, centroids)
-    return stage(assigned(now, centroids, keep=False), "clusters"), centroids
+    return stage(assigned(now, centroids, keep=False), "clusters", free=False), centroids
 
 
 def report(rows: DataFrame, centroids: np.ndarray) -> DataFrame:

@@ -13,7 +13,7 @@ How it scales: texts are read once, into chunks of words as numbers of a
 chunk's own vocabulary. What crosses the network is a row for each word of a
 chunk's vocabulary, to sum exact counts and bring them back to the chunk, and
 each chunk's distinct pairs, packed, to count them. The filter is built by
-Spark in segments by the pair's hash, sized by what they hold. It is broadcast
+Spark in segments by ranges of the pair's hash, sized by what they hold. It is broadcast
 in pieces of ``PIECE_BYTES``, whole segments each: any number of pieces, one
 pass over the chunks each, with the same result. The filter grows with the
 distinct pairs (about 2 bytes each), so on large corpora give ``piece`` what an
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.llm.common import stage
+from scriptorium.llm.common import stage, unstage
 from scriptorium.llm.repeats import digest, grouped, mix, word_symbols
 
 FOLDS, HELD_OUT = 5, 1
@@ -60,13 +60,24 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 END, START = np.uint64(digest(b" ")), np.uint64(digest(b"  "))
 
 
-def packed(code: np.ndarray) -> bytes:
-    """Small numbers, byte by byte of all: the upper bytes, mostly equal, compress well."""
-    return zlib.compress(np.ascontiguousarray(code.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, or of 64 bits, byte by byte of all: the upper bytes, mostly equal, compress well. A few go as they are."""
+    x = np.ascontiguousarray(x)
+    if x.nbytes < 1024:
+        return b"\0" + x.tobytes()
+    return b"\1" + zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    if raw[0] == 0:
+        return np.frombuffer(raw, dtype=kind, offset=1)
+    planes = np.frombuffer(zlib.decompress(memoryview(raw)[1:]), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def segment_of(keys: np.ndarray, count: int) -> np.ndarray:
+    """The segment of a key: of so many equal ranges of keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
 def _ended(sym: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -92,7 +103,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = np.repeat(~marks.to_numpy(zero_copy_only=False), n + 1)
         train = np.bincount(code[learn], minlength=len(vocab))
         one = lambda a: pa.ListArray.from_arrays([0, len(a)], a)
-        return pa.RecordBatch.from_arrays([pa.array([top + number]), one(pa.concat_arrays(ids)), one(marks), one(pa.array(n + 1)), pa.array([packed(code)], pa.binary()), one(pa.array(vocab.view(np.int64))), one(pa.array(train.astype(np.int64)))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([top + number]), one(pa.concat_arrays(ids)), one(marks), one(pa.array(n + 1)), pa.array([packed(code.astype(np.uint32))], pa.binary()), one(pa.array(vocab.view(np.int64))), one(pa.array(train.astype(np.int64)))], names=names)
 
     for batch in batches:
         for first, texts in grouped(batch.column(2)):
@@ -123,7 +134,7 @@ def pairs(code: np.ndarray, vocab: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 def _columns(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, vocabulary, tokens of each text, held out) of row ``i``."""
     at = lambda k: batch.column(batch.schema.get_field_index(k))[i]
-    return unpacked(at("code").as_py()), at("vocab").values.to_numpy().view(np.uint64), at("n").values.to_numpy(), at("held").values.to_numpy(zero_copy_only=False)
+    return unpacked(at("code").as_py(), "<u4"), at("vocab").values.to_numpy().view(np.uint64), at("n").values.to_numpy(), at("held").values.to_numpy(zero_copy_only=False)
 
 
 def _pair_counts(segments: int):
@@ -135,13 +146,12 @@ def _pair_counts(segments: int):
                 code, vocab, n, held = _columns(batch, i)
                 keys, _ = pairs(code, vocab, n)
                 keys, c = np.unique(keys[np.repeat(~held, n)], return_counts=True)
-                s = (keys % np.uint64(segments)).astype(np.int64)
-                order = np.argsort(s, kind="stable")
-                keys, c, s = keys[order], c[order].astype("<i8"), s[order]
-                cut = np.flatnonzero(np.diff(s, prepend=-1))
-                ends = [*cut[1:].tolist(), len(s)]
-                blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] if len(s) else [], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(s[cut]), blobs(keys), blobs(c)], names=["segment", "keys", "counts"])
+                s = segment_of(keys, segments)
+                cut = np.flatnonzero(np.diff(s, prepend=-1)).tolist()
+                ends = [*cut[1:], len(s)] if cut else []
+                steps = [packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cut, ends, strict=True)]  # ascending keys
+                times = [packed(c[a:b].astype(np.uint32)) for a, b in zip(cut, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(s[cut]), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], names=["segment", "keys", "counts"])
 
     return run
 
@@ -165,8 +175,8 @@ def filled(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _segment(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts = [], []
     for batch in batches:
-        keys += [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(1)]
-        counts += [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(2)]
+        keys += [np.cumsum(unpacked(x.as_py(), "<u8"), dtype=np.uint64) for x in batch.column(1)]
+        counts += [unpacked(x.as_py(), "<u4").astype(np.int64) for x in batch.column(2)]
     own, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(own), dtype=np.int64)
     np.add.at(total, at, np.concatenate(counts))
@@ -187,11 +197,11 @@ class Piece:
         self.bits = np.frombuffer(b"".join(b for _, b in segments), dtype=np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        return (keys % np.uint64(self.count)) % np.uint64(self.pieces) == self.number
+        return segment_of(keys, self.count) % self.pieces == self.number
 
     def counts(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Counts of distinct keys that belong here, from repeated probes; none over ``most``, none probed where that is 0."""
-        s = ((keys % np.uint64(self.count)) // np.uint64(self.pieces)).astype(np.int64)
+        s = segment_of(keys, self.count) // self.pieces
         first, size = self.first[s], self.size[s]
         out = np.zeros(len(keys), dtype=np.int64)
         left = np.flatnonzero((size > 0) & (most > 0))
@@ -254,7 +264,7 @@ def scored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Col
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), (held_out(F.col(id)) if held is None else held).alias("held"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    chunks = stage(rows.mapInArrow(_chunks, f"chunk bigint, {_CHUNK.format(kind)}, train array<bigint>"), "chunks")
+    chunks = stage(rows.mapInArrow(_chunks, f"chunk bigint, {_CHUNK.format(kind)}, train array<bigint>"), "chunks", free=False)
 
     # exact counts: one row a word of a chunk's vocabulary, so a frequent word has a row a chunk at most
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("vocab", "train")).alias("pos", "x")).select("chunk", "pos", F.col("x.vocab").alias("h"), F.col("x.train").alias("t"))
@@ -263,16 +273,18 @@ def scored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Col
     total, distinct = known.agg(F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("once") & (F.col("c") > 0))).first()
     texts = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
 
+    ready = chunks.drop("train").groupBy("chunk").cogroup(known.select("chunk", "pos", "c").groupBy("chunk")).applyInArrow(_with_counts, f"chunk bigint, {_CHUNK.format(kind)}, counts array<bigint>")
+    ready = stage(ready, "ready")
+    unstage(chunks)
+    unstage(known)
+
     # the filter
-    count = max(1, -(-total // SEGMENT))
-    made = chunks.select("n", "held", "code", "vocab").mapInArrow(_pair_counts(count), "segment bigint, keys binary, counts binary")
+    count = min(1 << 32, max(1, -(-total // SEGMENT)))
+    made = ready.select("n", "held", "code", "vocab").mapInArrow(_pair_counts(count), "segment bigint, keys binary, counts binary")
     segments = stage(made.groupBy("segment").applyInArrow(_segment, "segment bigint, bits binary"), "filter")
     size = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     pieces = max(1, -(-size // piece))
 
-    ready = chunks.drop("train").groupBy("chunk").cogroup(known.select("chunk", "pos", "c").groupBy("chunk")).applyInArrow(_with_counts, f"chunk bigint, {_CHUNK.format(kind)}, counts array<bigint>")
-    if pieces > 1:
-        ready = stage(ready, "ready")
     out = None
     for p in range(pieces):
         own = segments.where(F.pmod("segment", F.lit(pieces)) == p).toLocalIterator()  # about ``piece`` bytes

@@ -208,9 +208,18 @@ def test_false_positives_are_few():
     assert (piece.counts(other, np.full(20_000, 99)) > 0).mean() < 0.01
 
 
-def test_code_round_trip():
-    x = np.random.default_rng(2).integers(0, 1 << 32, 999)
-    assert (scoring.unpacked(scoring.packed(x)) == x).all() and not len(scoring.unpacked(scoring.packed(x[:0])))
+@pytest.mark.parametrize("n", [0, 1, 50, 999])
+@pytest.mark.parametrize("kind", ["<u4", "<u8"])
+def test_packed_round_trip(n, kind):
+    x = np.random.default_rng(2).integers(0, 1 << 63, n).astype(kind)
+    assert (scoring.unpacked(scoring.packed(x), kind) == x).all()
+
+
+def test_segments_are_ranges_of_keys():
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for n in (1, 7, 1 << 20):
+        s = scoring.segment_of(keys, n)
+        assert (np.diff(s) >= 0).all() and s.min() >= 0 and s.max() < n
 
 
 def test_held_out_texts_are_likelier_than_by_words_alone(spark):
