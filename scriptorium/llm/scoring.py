@@ -14,10 +14,11 @@ chunk's own vocabulary. What crosses the network is a row for each word of a
 chunk's vocabulary, to sum exact counts and bring them back to the chunk, and
 each chunk's distinct pairs, packed, to count them. The filter is built by
 Spark in segments by ranges of the pair's hash, sized by what they hold. It is broadcast
-in pieces of ``PIECE_BYTES``, whole segments each: any number of pieces, one
-pass over the chunks each, with the same result. The filter grows with the
-distinct pairs (about 2 bytes each), so on large corpora give ``piece`` what an
-executor can hold, or the passes will be many.
+in up to ``MOST_PASSES`` pieces of ``PIECE_BYTES``, whole segments each, with a
+pass over the chunks for each. It grows with the distinct pairs (about 2 bytes
+each): one that is larger is not broadcast at all. Then chunks send the keys of
+their distinct pairs to the segments, which are probed where they are and send
+the counts back. Segments, probes and results are the same on either way.
 
 Defined results: a null or blank text has one token, its end; any length is
 read whole; repeated rows are scored each and count each; a null id hashes as
@@ -50,6 +51,8 @@ CHUNK_BYTES = 16 << 20
 SEGMENT = 1 << 19
 #: Of the filter, broadcast at a time.
 PIECE_BYTES = 64 << 20
+#: Pieces that are broadcast one after another, at most.
+MOST_PASSES = 4
 BITS, HASHES = 12, 7
 #: Counts are rounded down to these: 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, ... three a doubling.
 LEVELS = np.unique((2.0 ** (np.arange(3 * 62) / 3) + 1e-9).astype(np.int64))
@@ -98,7 +101,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         n = np.concatenate(sizes)
-        vocab, code = np.unique(_ended(np.concatenate(syms), n), return_inverse=True)
+        vocab, code, often = np.unique(_ended(np.concatenate(syms), n), return_inverse=True, return_counts=True)
+        # numbered from the most frequent word on: most upper bytes are 0
+        order = np.argsort(-often, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        vocab, code = vocab[order], place[code]
         marks = pa.concat_arrays(held)
         learn = np.repeat(~marks.to_numpy(zero_copy_only=False), n + 1)
         train = np.bincount(code[learn], minlength=len(vocab))
@@ -137,6 +145,13 @@ def _columns(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.
     return unpacked(at("code").as_py(), "<u4"), at("vocab").values.to_numpy().view(np.uint64), at("n").values.to_numpy(), at("held").values.to_numpy(zero_copy_only=False)
 
 
+def _by_segment(keys: np.ndarray, count: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """The segments of ascending keys, and where each begins and ends."""
+    s = segment_of(keys, count)
+    cut = np.flatnonzero(np.diff(s, prepend=-1)).tolist()
+    return s, cut, [*cut[1:], len(s)] if cut else []
+
+
 def _pair_counts(segments: int):
     """(segment, keys, counts): the distinct training pairs of each chunk, packed."""
 
@@ -146,9 +161,7 @@ def _pair_counts(segments: int):
                 code, vocab, n, held = _columns(batch, i)
                 keys, _ = pairs(code, vocab, n)
                 keys, c = np.unique(keys[np.repeat(~held, n)], return_counts=True)
-                s = segment_of(keys, segments)
-                cut = np.flatnonzero(np.diff(s, prepend=-1)).tolist()
-                ends = [*cut[1:], len(s)] if cut else []
+                s, cut, ends = _by_segment(keys, segments)
                 steps = [packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cut, ends, strict=True)]  # ascending keys
                 times = [packed(c[a:b].astype(np.uint32)) for a, b in zip(cut, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s[cut]), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], names=["segment", "keys", "counts"])
@@ -223,33 +236,89 @@ def _with_counts(left: pa.Table, right: pa.Table) -> pa.Table:
     return left.append_column("counts", pa.ListArray.from_arrays([0, len(c)], pa.array(c)))
 
 
-def _scores(sent, total: int, distinct: int, texts: int, mu: float):
-    """(chunk, i, id, held_out, n_tokens, n_known, base_score, score) of each text; score is the share of this piece's pairs."""
+class _Chunk:
+    """A row of (chunk, ids, held, n, code, vocab, counts) as arrays, with the pairs of its tokens."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, i: int, texts: int):
+        at = lambda k: batch.column(batch.schema.get_field_index(k))[i]
+        self.number, self.ids, self.held, self.counts = at("chunk").as_py(), at("ids").values, at("held").values, at("counts").values.to_numpy()
+        self.code, vocab, self.n, _ = _columns(batch, i)
+        self.keys, first = pairs(self.code, vocab, self.n)
+        c = self.counts[self.code]
+        self.before = np.empty_like(c)
+        self.before[1:] = c[:-1]
+        self.before[first] = texts
+        self.most = np.minimum(self.before, c)
+
+    def distinct(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys of some tokens, ascending, the most that each may count, and the tokens' places in them."""
+        keys, where, back = np.unique(self.keys[own], return_index=True, return_inverse=True)
+        return keys, self.most[own][where], back
+
+    def scores(self, own: np.ndarray, q: np.ndarray, total: int, distinct: int, mu: float) -> pa.RecordBatch:
+        """A row a text; ``score`` is the share of the tokens ``own``, whose pairs have the counts ``q``."""
+        single = (self.counts + 0.5) / (total + 0.5 * (distinct + 1))
+        logs = np.zeros(len(self.code))
+        logs[own] = np.log10((q + mu * single[self.code[own]]) / (self.before[own] + mu))
+        sums = lambda x: np.add.reduceat(x, np.cumsum(self.n) - self.n)
+        known = sums((self.counts > 0).astype(np.int64)[self.code])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(self.n), self.number)), pa.array(np.arange(len(self.n))), self.ids, self.held, pa.array(self.n), pa.array(known), pa.array(sums(np.log10(single)[self.code])), pa.array(sums(logs))],
+            names=["chunk", "i", "id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+
+def _probed(sent, total: int, distinct: int, texts: int, mu: float):
+    """The scores of chunks, of the pairs that a broadcast piece of the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = _Chunk(batch, i, texts)
+                own = np.flatnonzero(piece.holds(chunk.keys))
+                keys, most, back = chunk.distinct(own)
+                yield chunk.scores(own, piece.counts(keys, most)[back], total, distinct, mu)
+
+    return run
+
+
+def _asked(count: int, texts: int):
+    """(segment, chunk, keys, most): what each chunk has to ask each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, over = sent.value, total + 0.5 * (distinct + 1)
         for batch in batches:
-            at = {k: batch.column(batch.schema.get_field_index(k)) for k in ("chunk", "ids", "held", "counts")}
             for i in range(batch.num_rows):
-                code, vocab, n, _ = _columns(batch, i)
-                counts = at["counts"][i].values.to_numpy()
-                single = (counts + 0.5) / over
-                keys, first = pairs(code, vocab, n)
-                edge = np.cumsum(n) - n
-                c = counts[code]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[first] = texts
-                own = np.flatnonzero(piece.holds(keys))
-                distinct_keys, where, back = np.unique(keys[own], return_index=True, return_inverse=True)
-                q = piece.counts(distinct_keys, np.minimum(before, c)[own][where])[back]
-                logs = np.zeros(len(code))
-                logs[own] = np.log10((q + mu * single[code[own]]) / (before[own] + mu))
-                sums = lambda x: np.add.reduceat(x, edge)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), at["chunk"][i].as_py())), pa.array(np.arange(len(n))), at["ids"][i].values, at["held"][i].values, pa.array(n), pa.array(sums((c > 0).astype(np.int64))), pa.array(sums(np.log10(single)[code])), pa.array(sums(logs))],
-                    names=["chunk", "i", "id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+                chunk = _Chunk(batch, i, texts)
+                keys, most, _ = chunk.distinct(np.arange(len(chunk.keys)))
+                keys, most = keys[most > 0], most[most > 0]
+                s, cut, ends = _by_segment(keys, count)
+                steps, bounds = ([packed(f(a, b)) for a, b in zip(cut, ends, strict=True)] for f in (lambda a, b: np.diff(keys[a:b], prepend=np.uint64(0)), lambda a, b: most[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(s[cut]), pa.array([chunk.number] * len(cut), pa.int64()), pa.array(steps, pa.binary()), pa.array(bounds, pa.binary())], names=["segment", "chunk", "keys", "most"])
+
+    return run
+
+
+def _replies(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A segment's counts of what chunks asked it."""
+    piece = Piece([(0, left.column("bits")[0].as_py())] if left.num_rows else [], 1)
+    out = []
+    for keys, most in zip(right.column("keys"), right.column("most"), strict=True):
+        out.append(packed(piece.counts(np.cumsum(unpacked(keys.as_py(), "<u8"), dtype=np.uint64), unpacked(most.as_py(), "<i8"))))
+    return pa.table([right.column("chunk"), right.column("segment"), pa.array(out, pa.binary())], names=["chunk", "segment", "found"])
+
+
+def _told(total: int, distinct: int, texts: int, mu: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The scores of a chunk with what the segments replied."""
+        chunk = _Chunk(left, 0, texts)
+        every = np.arange(len(chunk.keys))
+        keys, most, back = chunk.distinct(every)
+        q = np.zeros(len(keys), dtype=np.int64)
+        replies = right.sort_by("segment").column("found")
+        if len(replies):
+            q[most > 0] = np.concatenate([unpacked(x.as_py(), "<i8") for x in replies])
+        return pa.Table.from_batches([chunk.scores(every, q[back], total, distinct, mu)])
 
     return run
 
@@ -285,17 +354,23 @@ def scored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Col
     size = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     pieces = max(1, -(-size // piece))
 
-    out = None
-    for p in range(pieces):
-        own = segments.where(F.pmod("segment", F.lit(pieces)) == p).toLocalIterator()  # about ``piece`` bytes
-        sent = spark.sparkContext.broadcast(Piece([(r.segment, bytes(r.bits)) for r in own], count, p, pieces))
-        one = ready.mapInArrow(_scores(sent, total, distinct, texts, mu), f"chunk bigint, i bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-        if pieces > 1:  # staged, so that the piece can go
-            one = stage(one, f"scores{p}")
-            sent.destroy()
-        out = one if out is None else out.unionByName(one)
-    if pieces > 1:
-        out = out.groupBy("chunk", "i").agg(*[F.first(c).alias(c) for c in ("id", "held_out", "n_tokens", "n_known", "base_score")], F.sum("score").alias("score"))
+    row = f"chunk bigint, i bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    if pieces > MOST_PASSES:
+        asked = ready.mapInArrow(_asked(count, texts), "segment bigint, chunk bigint, keys binary, most binary")
+        told = stage(segments.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_replies, "chunk bigint, segment bigint, found binary"), "told")
+        out = ready.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_told(total, distinct, texts, mu), row)
+    else:
+        out = None
+        for p in range(pieces):
+            own = segments.where(F.pmod("segment", F.lit(pieces)) == p).toLocalIterator()  # about ``piece`` bytes
+            sent = spark.sparkContext.broadcast(Piece([(r.segment, bytes(r.bits)) for r in own], count, p, pieces))
+            one = ready.mapInArrow(_probed(sent, total, distinct, texts, mu), row)
+            if pieces > 1:  # staged, so that the piece can go
+                one = stage(one, f"scores{p}")
+                sent.destroy()
+            out = one if out is None else out.unionByName(one)
+        if pieces > 1:
+            out = out.groupBy("chunk", "i").agg(*[F.first(c).alias(c) for c in ("id", "held_out", "n_tokens", "n_known", "base_score")], F.sum("score").alias("score"))
     return out.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

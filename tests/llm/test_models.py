@@ -163,8 +163,9 @@ def brute_scores(rows, mu):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk,segment,piece", [(16 << 20, 1 << 19, 64 << 20), (20_000, 500, 3_000)])
-def test_scores_match_brute_force(spark, docs, rows, chunk, segment, piece, monkeypatch):
+@pytest.mark.parametrize("chunk,segment,piece,passes", [(16 << 20, 1 << 19, 64 << 20, 4), (20_000, 500, 3_000, 99), (20_000, 500, 3_000, 0)])
+def test_scores_match_brute_force(spark, docs, rows, chunk, segment, piece, passes, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_PASSES", passes)
     monkeypatch.setattr(scoring, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(scoring, "SEGMENT", segment)
     got = scoring.scored(docs.withColumns({"held": F.lit("x"), "chunk": F.lit(1), "code": F.lit(2)}), piece=piece).collect()
@@ -180,10 +181,17 @@ def test_scores_match_brute_force(spark, docs, rows, chunk, segment, piece, monk
 def test_pieces_do_not_change_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(scoring, "SEGMENT", 500)
     key = lambda df: sorted(((r.id, round(r.score, 6)) for r in df.collect()), key=repr)
-    assert key(scoring.scored(docs)) == key(scoring.scored(docs, piece=2_000))
+    one = key(scoring.scored(docs))
+    monkeypatch.setattr(scoring, "MOST_PASSES", 99)
+    assert key(scoring.scored(docs, piece=2_000)) == one
+    monkeypatch.setattr(scoring, "MOST_PASSES", 0)  # the filter stays where it is
+    assert key(scoring.scored(docs)) == one
 
 
-def test_scores_of_nothing(spark, none):
+@pytest.mark.parametrize("passes", [0, 4])
+def test_scores_of_nothing(spark, none, passes, monkeypatch):
+    assert scoring.scored(none).count() == 0
+    monkeypatch.setattr(scoring, "MOST_PASSES", passes)
     assert scoring.scored(none).count() == 0
     one = scoring.scored(spark.createDataFrame([(1, None), (None, "a B a")], "doc_id long, text string"), held=F.lit(True)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in one} == {(1, 0, 0, 0.0, 0.0), (4, 0, 0, 0.0, 0.0)}
