@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import text as tx
 from scriptorium.operators import articles, audit
 from scriptorium.plans import pipelines, providers
+from scriptorium.plans.replies import Replies
 from scriptorium.sources import files
 from scriptorium.sources.store import Collection
 
@@ -27,11 +29,14 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.listed(spark, path).select("name")
 
 
-def digest(store: Collection, spark: SparkSession, path: str, model: providers.Model, prompt: str, embed: providers.Embedder, **reading) -> tuple[DataFrame, DataFrame]:
-    """POST /digest: load, extract, ingest cases. (per-file outcomes, totals); a bad file fails alone."""
+def digest(store: Collection, spark: SparkSession, path: str, model: providers.Model, prompt: str, embed: providers.Embedder, replies: Replies | None = None, **reading) -> tuple[DataFrame, DataFrame]:
+    """POST /digest: load, extract, ingest cases. (per-file outcomes, totals); a bad file fails alone.
+
+    One model call a document; with ``replies`` none for those that were answered before.
+    """
     docs = files.documents(spark, path, clean=tx.clean_ocr, **reading)
     loaded = docs.where("error is null")
-    cases = pipelines.extracted(loaded, model, prompt).cache()  # one model call a document
+    cases = pipelines.extracted(loaded, model, prompt, replies=replies)
     done = pipelines.ingest_cases(store, cases, embed).select("source_file_path", "status", "error")
     lost = docs.where("error is not null").select(F.col("source").alias("source_file_path"), F.lit("failed").alias("status"), "error")
     outcomes = done.unionByName(lost)
@@ -75,19 +80,47 @@ def statute_reset(store: Collection) -> int:
     return store.delete(F.col("document_type") == "constitution")
 
 
-def qretrieve(store: Collection, question: str, model: providers.Model, embed: providers.Embedder, prompt: str = "{question}") -> DataFrame:
-    """POST /qretrieve: classify a question, then the best cases with their evidence."""
-    c = pipelines.classify(store.spark, question, model, prompt).first()
+def _retrieved(store: Collection, c, question: str, embed: providers.Embedder, summary=pipelines.summary_fallback) -> DataFrame:
+    """The best cases for one classification row."""
     words = c["vector_query"] or question
     vec = F.array(*[F.lit(float(x)) for x in embed([words])[0]])
     wanted: Column = F.array(*[F.struct(F.lit(d["domain"]).alias("domain"), F.lit(d["confidence_score"]).alias("confidence_score")) for d in c["legal_domains"]]) if c["legal_domains"] else F.array().cast("array<struct<domain:string,confidence_score:double>>")
     top, picked = pipelines.retrieve_cases(store.read(), vec, list(c["target_components"]), wanted)
-    return pipelines.result_rows(top, picked)
+    return pipelines.result_rows(top, picked, summary=summary)
+
+
+def qretrieve(store: Collection, question: str, model: providers.Model, embed: providers.Embedder, prompt: str = "{question}", summary_prompt: str | None = None) -> DataFrame:
+    """POST /qretrieve: classify a question, then the best cases with their evidence; summaries by the model, if there is a prompt for them."""
+    c = pipelines.classify(store.spark, question, model, prompt).first()
+    summary = pipelines.model_summary(model, c["vector_query"] or question, summary_prompt) if summary_prompt else pipelines.summary_fallback
+    return _retrieved(store, c, question, embed, summary)
+
+
+def qanswer(store: Collection, question: str, model: providers.Model, embed: providers.Embedder, prompt: str = "{question}", **options) -> DataFrame:
+    """Classify, then retrieve: one row {success, query, classification, retrieval, error}; a failure is a row, too."""
+    got = qclassify(store.spark, question, model, prompt, **options).first()
+    head = store.spark.createDataFrame([got], T.StructType([T.StructField("success", T.BooleanType()), T.StructField("query", T.StringType()), T.StructField("classification", _classification_kind(store.spark)), T.StructField("error", T.StringType())]))
+    kind = None
+    if got.success:
+        try:
+            rows = _retrieved(store, got.classification, question, embed)
+            kind = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("retrieval"))  # a few cases, by rank
+            kind.first()
+        except Exception as e:  # noqa: BLE001 - as in qclassify
+            head = head.withColumns({"success": F.lit(False), "error": F.lit(f"{e}")})
+            kind = None
+    if kind is None:
+        return head.select("success", "query", "classification", F.array().alias("retrieval"), "error")
+    return head.crossJoin(kind).select("success", "query", "classification", "retrieval", "error")  # one row each
+
+
+def _classification_kind(spark: SparkSession) -> T.StructType:
+    return pipelines.classification_given(spark, {}).schema
 
 
 def qclassify(spark: SparkSession, question: str, model: providers.Model, prompt: str = "{question}", **options) -> DataFrame:
     """Classify a question: one row {success, query, classification, error}; a failure is a row, too."""
-    kind = pipelines.classification_given(spark, {}).schema
+    kind = _classification_kind(spark)
     try:
         got = pipelines.classify(spark, question, model, prompt, **options)
         return got.select(F.lit(True).alias("success"), "query", F.struct(*kind.names).alias("classification"), F.lit(None).cast("string").alias("error"))

@@ -13,7 +13,9 @@ from scriptorium.functions import chunk, parse, vector
 from scriptorium.functions import text as tx
 from scriptorium.operators import articles, audit, dedupe, keyword, ranking
 from scriptorium.plans import providers
+from scriptorium.plans.replies import Replies
 from scriptorium.schemas import CASE_FIELDS, COMPONENTS
+from scriptorium.shared import cut
 from scriptorium.sources.store import Collection, changed
 
 INITIAL, FINAL = 10, 3
@@ -64,9 +66,13 @@ def keyword_hits(docs: DataFrame, queries: DataFrame, *, id: str = "source", tex
 # cases
 
 
-def extracted(docs: DataFrame, model: providers.Model, prompt: str, *, id: str = "source", text: str = "text") -> DataFrame:
-    """Documents to their six sections by one call of a model; failures have an ``error`` and no sections."""
-    asked = docs.withColumn("reply", providers.answered(F.replace(F.lit(prompt), F.lit("{document_text}"), F.coalesce(F.col(text), F.lit(""))), model))
+def extracted(docs: DataFrame, model: providers.Model, prompt: str, *, id: str = "source", text: str = "text", replies: Replies | None = None) -> DataFrame:
+    """Documents to their six sections by one call of a model; failures have an ``error`` and no sections.
+
+    With ``replies`` a document that was answered before is not sent again.
+    """
+    filled = F.replace(F.lit(prompt), F.lit("{document_text}"), F.coalesce(F.col(text), F.lit("")))
+    asked = replies.answered(docs, filled, model) if replies else docs.withColumn("reply", providers.answered(filled, model))
     s = asked.withColumn("s", parse.sections(F.coalesce(F.col("reply.answer"), F.lit(""))))
     return s.select(F.col(id).alias("source_file_path"), F.col(text).alias("document"), *[F.col(f"s.{n}").alias(n) for n in parse.SECTIONS], F.col("reply.answer").alias("full_response"), F.col("reply.error").alias("error"))
 
@@ -86,7 +92,12 @@ def case_chunks(cases: DataFrame) -> DataFrame:
 
 
 def ingest_cases(store: Collection, cases: DataFrame, embed: providers.Embedder, model: str = "hashed") -> DataFrame:
-    """Replace the cases' chunks; (source_file_path, status, error, empty_components, fields)."""
+    """Replace the cases' chunks; (source_file_path, status, error, empty_components, fields).
+
+    ``cases`` is computed once, whatever it takes to: what is stored and what is
+    reported are of the same replies.
+    """
+    cases = cut(cases)
     rows = providers.with_embeddings(case_chunks(cases), embed, model)
     store.replace_groups(rows, "case_identifier")
     empty = F.array_compact(F.array(*[F.when(tx.strip(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in COMPONENTS]))
@@ -115,6 +126,33 @@ def summary_fallback(header: Column, chunks: Column, most: int = 3, n: int = 200
     return F.concat_ws("\n", header, F.array_join(lines, "\n"))
 
 
+def model_summary(model: providers.Model, query: str, prompt: str, fields: tuple[str, ...] = CASE_FIELDS) -> Callable[[Column, Column], Column]:
+    """A ``summary`` for ``result_rows`` by a model, asked once a case; where the call fails, ``summary_fallback``.
+
+    ``prompt`` may have {query}, {case} (the case's fields, one a line) and {components} (its chunks).
+    """
+
+    def summary(header: Column, chunks: Column) -> Column:
+        case = F.concat_ws("\n", header, *[F.concat(F.lit(f"{f.replace('_', ' ')}: "), F.coalesce(F.col(f), F.lit(""))) for f in fields])
+        parts = F.array_join(F.transform(chunks, lambda c: F.concat(F.lit("["), c["component"], F.lit("]\n"), c["text"])), "\n\n")
+        asked = F.lit(prompt)
+        for mark, value in (("{query}", F.lit(query)), ("{case}", case), ("{components}", parts)):
+            asked = F.replace(asked, F.lit(mark), value)
+        return F.coalesce(tx.strip(providers.answered(asked, model)["answer"]), summary_fallback(header, chunks))
+
+    return summary
+
+
+def probe(store: Collection, question: str, k: int = 3) -> DataFrame:
+    """The ``k`` chunks nearest to a question, by the collection's own embedder (its ``embedder`` and ``dim``)."""
+    own = store.properties
+    if not {"embedder", "dim"} <= own.keys():
+        raise LookupError("the collection was created without an embedder")
+    embed = providers.resolved(own["embedder"], own["dim"])
+    vec = F.array(*[F.lit(float(x)) for x in embed([providers.QUERY + question])[0]])
+    return ranking.nearest(store.read(), vec, k)
+
+
 def result_rows(top: DataFrame, picked: DataFrame, *, parent: str = "case_identifier", component: str = "firac_component", fields: tuple[str, ...] = CASE_FIELDS, summary: Callable[[Column, Column], Column] = summary_fallback) -> DataFrame:
     """One nested row a parent, as the API returns it; scores to three places."""
     one = F.struct(F.col("score").alias("order"), F.struct(F.col(component).alias("component"), "text", F.round("score", 3).alias("score"), F.round("base_similarity", 3).alias("base_similarity"), F.round("domain_boost", 3).alias("domain_boost"), "match_reasons", F.col("id").alias("chunk_id")).alias("c"))
@@ -195,7 +233,7 @@ def search_chunks(chunks: DataFrame, queries: DataFrame, embed: providers.Embedd
     first = keyword.top(keyword.hybrid(both, query="query_id", share=share), "query_id", "hybrid", initial, "id")
     scored = first.withColumn("rerank", providers.reranked(F.col("asked"), F.col("text"), rerank))
     last = keyword.top(scored.drop("rank"), "query_id", "rerank", final, "id")
-    kept = dedupe.greedy(last, group="query_id", rank="rank", id="id", text="text")
+    kept = dedupe.fold(last, group="query_id", rank="rank", id="id", text="text")
     return last.join(kept.select("query_id", "id"), ["query_id", "id"], "left_semi")
 
 

@@ -42,6 +42,24 @@ def hashed(dim: int = 64) -> Embedder:
     return run
 
 
+#: Embedders by the name that collections know them by.
+REGISTRY: dict[str, Embedder] = {}
+
+
+def register(name: str, embed: Embedder) -> None:
+    REGISTRY[name] = embed
+
+
+def resolved(name: str, dim: int) -> Embedder:
+    """The registered embedder of a collection, tried on one text: vectors of another size than the stored ones are an error."""
+    if name not in REGISTRY:
+        raise LookupError(f"no embedder is registered as {name!r}")
+    embed = REGISTRY[name]
+    if (got := len(embed(["probe"])[0])) != dim:
+        raise ValueError(f"{name!r} makes vectors of {got}, the collection has {dim}")
+    return embed
+
+
 def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
     """A reranker: the share of a query's words that a text has."""
     words = lambda t: set(re.findall(r"\w+", t.lower()))

@@ -44,6 +44,7 @@ TOKEN_CHUNK = _struct(chunk_number="int", title="string", text="string", token_c
 CASE_CHUNK = _struct(id="string", text="string", **dict.fromkeys(CASE_FIELDS, "string"), firac_component="string", case_identifier="string", document_hash="string", source_file_path="string", content_length="int", ingested_at="timestamp", embedding_model="string", embedding="array<float>")
 ARTICLE = _struct(header="string", number="string", sentence="string", full_article_text="string", part="string", part_title="string", chapter="string", chapter_title="string", text_length="int", num_chunks="int", chunks="array<string>", source_document="string")
 ARTICLE_CHUNK = _struct(article_number="string", article_header="string", chapter="string", chapter_title="string", part="string", part_title="string", source_document="string", article_length="int", total_chunks="int", chunk_index="int", chunk_text="string", chunk_length="int", is_complete_article="boolean")
+REPLY = _struct(prompt_hash="string", answer="string", error="string", asked_at="timestamp")
 EXTRACTED_ARTICLE = _struct(source="string", chapter_no="int", chapter_title="string", part_no="int", part_title="string", article_no="int", article_title="string", legal_domain="string", summary="string", keywords="array<string>", text_content="string")
 CLASSIFICATION = _struct(
     intents="array<string>",
