@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from scriptorium.functions.chunk import article_windows
 from scriptorium.functions.text import strip
 
+#: The lines that open an article, a part and a chapter.
 NUMBERED = r"^(\d+)\.\s+(.+)"
 PART = r"(?i)^PART\s+(\d+)\s*[–-]\s*(.+)"
 CHAPTER = r"(?i)^CHAPTER\s+(.+)"

@@ -29,10 +29,32 @@ def missing_fields(chunks: DataFrame, fields: tuple[str, ...] = CASE_FIELDS, nam
     return chunks.withColumn(name, F.array_compact(F.array(*[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", f) for f in fields])))
 
 
-def sequences(chunks: DataFrame, group: str, index: str, total: str) -> DataFrame:
-    """(group, n, indices_ok, total_ok): are the indices 1..n, and is the stated total n?"""
-    have = chunks.groupBy(group).agg(F.sort_array(F.collect_list(index)).alias("have"), F.max(total).alias("stated"))
-    return have.select(group, F.size("have").alias("n"), (F.col("have") == F.sequence(F.lit(1), F.size("have"))).alias("indices_ok"), (F.col("stated") == F.size("have")).alias("total_ok"))
+def in_stored_order(collection: DataFrame) -> DataFrame:
+    """The rows of a Parquet read with ``stored_``, their file and place in it."""
+    return collection.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("stored_"))
+
+
+def sequences(chunks: DataFrame, group: str, index: str, total: str, order: str | None = None) -> DataFrame:
+    """(group, n, indices_ok, total_ok): are the indices 1..n, and is the stated total n?
+
+    With ``order``, a column such as ``stored_``, they have to come in that
+    order, too; without it, in any.
+    """
+    by = F.struct(F.col(order or index).alias("at"), F.col(index).alias("i"))
+    have = chunks.groupBy(group).agg(F.sort_array(F.collect_list(by)).alias("x"), F.count(F.lit(1)).alias("n"), F.max(total).alias("stated"))
+    found = F.transform("x", lambda v: v["i"])
+    return have.select(group, F.col("n").cast("int").alias("n"), (found == F.sequence(F.lit(1), F.col("n").cast("int"))).alias("indices_ok"), (F.col("stated") == F.col("n")).alias("total_ok"))
+
+
+def extraction_totals(articles: DataFrame) -> DataFrame:
+    """One row: articles, their chunks, and articles of more than one."""
+    return articles.agg(F.count(F.lit(1)).alias("articles"), F.coalesce(F.sum("num_chunks"), F.lit(0)).alias("chunks"), F.count_if(F.col("num_chunks") > 1).alias("multi_chunk_articles"))
+
+
+def first_of(list_: F.Column, most: int) -> F.Column:
+    """The first ``most`` of a list as it is displayed, and how many more there are."""
+    more = F.size(list_) - most
+    return F.when(more > 0, F.concat(F.array_join(F.slice(list_, 1, most), ", "), F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.array_join(list_, ", "))
 
 
 def completeness(chunks: DataFrame) -> DataFrame:

@@ -1,8 +1,29 @@
-"""Greedy removal of near-duplicates from a ranked list.
+"""Greedy removal of near-duplicates from ranked lists, of any length.
 
-A chunk is dropped if it shares over 70 % of the larger word set with a chunk
-kept before it. The order decides, so this is a fold over each query's list,
-which the search has bounded; lists are folded independently.
+A chunk is dropped if it shares over ``threshold`` of the larger word set with
+a chunk of its list that was kept before it. That is the lexicographically
+first independent set of the graph of similar pairs, found as joins:
+
+* Equal word sets first: the first of each stands for all, as whatever becomes
+  of it, the others are dropped.
+* Similar pairs by prefixes: words are ordered from the rarest of the list to
+  the most frequent, and two sets that share over ``threshold`` of the larger
+  share one of the first ``size - floor(threshold * size)`` words of each. So
+  only prefix words are joined, with the sizes' ratio as a filter, and what
+  meets is verified by its whole sets.
+* Sweeps come before that, so that a group of near copies costs a row a copy
+  and not a pair: the first chunk that a prefix word has is compared with the
+  others that have it, and if it is first for all its own prefix words, nothing
+  before it can be similar to it; it stays, and what is similar to it goes.
+* Rounds then settle the pairs that are left: a chunk that is second in no pair
+  stays, what it is similar to goes, with its pairs. A round settles at least
+  the first chunk of every list; the number of rounds is the longest chain of
+  chunks that hang on each other.
+
+No list is in one task or row, and every round is cut from its lineage on
+shared storage. Only near misses, chunks that share a rare word and are not
+similar, cost a pair each. ``fold`` is the same over a short list that a search
+has bounded, as one expression.
 """
 
 from __future__ import annotations
@@ -10,7 +31,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.shared import cut, drop
+
 THRESHOLD = 0.7
+SWEEPS = 2
 
 
 def word_set(text: Column) -> Column:
@@ -29,10 +53,65 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
     return F.when(near, overlap(a, b) > threshold).otherwise(False)
 
 
-def greedy(ranked: DataFrame, *, group: str, rank: str, id: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(group, id, rank) of the chunks that stay."""
+def fold(ranked: DataFrame, *, group: str, rank: str, id: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(group, id, rank) of the chunks that stay; for lists of some tens, each of which is one row."""
     item = F.struct(F.col(rank).alias("rank"), F.col(id).alias("id"), word_set(F.col(text)).alias("words"))
     lists = ranked.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
     kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: _alike(x["words"], y["words"], threshold)), acc).otherwise(F.concat(acc, F.array(x))))
     return lists.select(group, F.explode(kept).alias("x")).select(group, F.col("x.id").alias(id), F.col("x.rank").alias(rank))
+
+
+def _without(df: DataFrame, gone: DataFrame, *at: str) -> DataFrame:
+    for c in at:
+        df = df.join(gone.select(F.col("o").alias(c)), c, "left_anti")
+    return df
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike."""
+    of = lambda c: sets.select(F.col("o").alias(c), F.col("words").alias(f"w{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(_alike(F.col("wa"), F.col("wb"), threshold)).select("a", "b")
+
+
+def greedy(ranked: DataFrame, *, group: str, rank: str, id: str, text: str, threshold: float = THRESHOLD, sweeps: int = SWEEPS) -> DataFrame:
+    """(group, id, rank) of the chunks that stay. Null groups are one list; equal rank and id: by a hash of the words."""
+    words = F.coalesce(F.sort_array(word_set(F.col(text))), F.array().cast("array<string>"))
+    rows = ranked.select(F.col(group).alias("g"), F.col(rank).alias("rank"), F.col(id).alias("id"), words.alias("words"))
+    empty = rows.where(F.size("words") == 0).select("g", "id", "rank")
+    # o: the place in the list, which names a set too
+    o = F.struct("rank", "id", F.xxhash64("words").alias("h"), F.xxhash64("g").alias("gh"))
+    sets = cut(rows.where(F.size("words") > 0).groupBy("g", "words").agg(F.min(o).alias("o")))
+
+    each = sets.select("o", F.size("words").alias("size"), "g", F.explode("words").alias("word")).select("o", "size", F.xxhash64("g", "word").alias("key"))
+    often = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    # words that no other set has come first in a prefix: they take their places and need not be joined
+    rest = each.join(often, "key").groupBy("o", "size").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    length = F.size("shared") - F.floor(F.col("size") * F.lit(threshold) - 1e-9).cast("int")
+    prefixes = cut(rest.where(length > 0).select("o", "size", F.explode(F.slice("shared", 1, length)).alias("x")).select("x.key", "o", "size"))
+
+    gone = None
+    for _ in range(sweeps):
+        first = prefixes.groupBy("key").agg(F.min("o").alias("a"))
+        led = prefixes.join(first, "key").select("a", F.col("o").alias("b"), "size")
+        sure = led.groupBy("b").agg(F.bool_and(F.col("a") == F.col("b")).alias("sure")).where("sure").select(F.col("b").alias("a"))
+        pairs = led.where("a <> b").join(sure, "a").select("a", "b").distinct()
+        out = cut(_similar(pairs, sets, threshold).select(F.col("b").alias("o")).distinct())
+        settled = out.unionByName(sure.select(F.col("a").alias("o")))
+        gone = out if gone is None else gone.unionByName(out)
+        last, prefixes = prefixes, cut(_without(prefixes, settled, "o"))
+        drop(last)
+    other = prefixes.select("key", F.col("o").alias("b"), F.col("size").alias("sb"))
+    near = F.least("size", "sb") / F.greatest("size", "sb") > threshold
+    pairs = prefixes.withColumnRenamed("o", "a").join(other, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    edges = cut(_similar(pairs, sets, threshold))
+    while not edges.isEmpty():
+        stays = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        out = cut(edges.join(stays, "a").select(F.col("b").alias("o")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        last, edges = edges, cut(_without(edges, out, "a", "b"))
+        drop(last)
+    kept = sets if gone is None else _without(sets, gone, "o")
+    left = kept.select("g", F.col("o.id").alias("id"), F.col("o.rank").alias("rank")).unionByName(empty)
+    return left.select(F.col("g").alias(group), F.col("id").alias(id), F.col("rank").alias(rank))

@@ -2,8 +2,9 @@
 
 Weights: tf * (ln((1 + n) / (1 + df)) + 1), each text's vector scaled to length
 1; a score is the product with the query's vector. Terms are runs of two or
-more word characters, lower-cased. Only (chunk, term) counts are shuffled, and
-counted before they are; document frequencies are one row a term.
+more word characters, lower-cased. A text's terms are counted inside its row,
+so what is shuffled is a row a term and task for the vocabulary, and a row a
+text for the scores. An id names one row.
 """
 
 from __future__ import annotations
@@ -24,21 +25,30 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
-def counts(df: DataFrame, id: str, text: str, stop: list[str] | None = None) -> DataFrame:
-    """(id, term, tf)."""
-    out = df.select(id, F.explode(terms(F.col(text))).alias("term"))
+def frequencies(df: DataFrame, id: str, text: str, stop: list[str] | None = None) -> DataFrame:
+    """(id, term, tf), counted in each row: runs of the sorted terms."""
+    words = terms(F.col(text))
     if stop:
-        out = out.where(~F.col("term").isin(*stop))
-    return out.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
+        words = F.filter(words, lambda t: ~t.isin(*stop))
+    some = df.select(F.col(id), F.array_sort(words).alias("t_")).where(F.size("t_") > 0)
+    at = lambda i: F.get("t_", i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("t_") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    some = some.withColumn("s_", F.concat(starts, F.array(F.size("t_"))))
+    runs = F.transform(F.slice("s_", 1, F.size("s_") - 1), lambda s, k: F.struct(at(s).alias("term"), (F.get("s_", k + 1) - s).cast("long").alias("tf")))
+    return some.select(id, F.explode(runs).alias("x")).select(id, "x.term", "x.tf")
 
 
-def vocabulary(tf: DataFrame, id: str, n_texts: int | Column, limit: int | None = None) -> DataFrame:
-    """(term, idf) of the ``limit`` most frequent terms, ties by term; of all without a limit."""
+def vocabulary(tf: DataFrame, texts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(term, idf) of the most frequent terms, ties by term: ``limit`` of them and at most 100 a text; of all without a limit."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    n = texts.agg(F.count(F.lit(1)).alias("n"))  # one row
     if limit:
-        df = df.orderBy(F.desc("total"), "term").limit(limit)
-    n = n_texts if isinstance(n_texts, Column) else F.lit(n_texts)
-    return df.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+        best = df.orderBy(F.desc("total"), "term").limit(limit)
+        df = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "term")))  # ``limit`` rows
+    df = df.crossJoin(F.broadcast(n))
+    if limit:
+        df = df.where(F.col("place") <= 100 * F.col("n"))
+    return df.select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def weights(tf: DataFrame, vocab: DataFrame, id: str) -> DataFrame:
@@ -51,15 +61,18 @@ def weights(tf: DataFrame, vocab: DataFrame, id: str) -> DataFrame:
 def scores(texts: DataFrame, queries: DataFrame, *, id: str, text: str, query: str, query_text: str, stop: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(query, id, keyword) of texts that share a term with a query; all others score 0.
 
-    The vocabulary is that of the texts. Queries are a small side by nature,
-    but are joined as any table: Spark broadcasts them if they are small.
+    The vocabulary is that of the texts. Queries are a stated set. Each text's
+    length and its hits come from one aggregate over its own terms.
     """
-    tf = counts(texts, id, text, stop)
-    n = texts.count()
-    vocab = vocabulary(tf, id, n, min(limit, 100 * n) if limit else None)
-    mine = weights(tf, vocab, id)
-    asked = weights(counts(queries, query, query_text, stop), vocab, query).withColumnRenamed("weight", "asked")
-    return mine.join(asked, "term").groupBy(query, id).agg(F.sum(F.col("weight") * F.col("asked")).alias("keyword"))
+    tf = frequencies(texts, id, text, stop)
+    vocab = vocabulary(tf, texts, limit)
+    asked = weights(frequencies(queries, query, query_text, stop), vocab, query)
+    by_term = asked.groupBy("term").agg(F.collect_list(F.struct(F.col(query).alias("q"), F.col("weight").alias("asked"))).alias("asks"))
+    raw = tf.join(vocab.join(by_term, "term", "left"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    hits = F.flatten(F.collect_list(F.transform("asks", lambda a: F.struct(a["q"].alias("q"), (a["asked"] * F.col("w")).alias("x")))))
+    each = raw.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), hits.alias("hits")).where(F.size("hits") > 0)
+    found = each.select(id, "size", F.explode("hits").alias("h"))
+    return found.groupBy(F.col("h.q").alias(query), id).agg((F.sum("h.x") / F.first("size")).alias("keyword"))
 
 
 def hybrid(scored: DataFrame, *, query: str, semantic: str = "semantic", keyword: str = "keyword", share: float = 0.7) -> DataFrame:

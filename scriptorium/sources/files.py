@@ -51,22 +51,23 @@ def pages(files: DataFrame, reader: PageReader = no_pages, ocr: PageReader | Non
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
 
 
-def documents(spark: SparkSession, path: str, *, reader: PageReader = no_pages, ocr: PageReader | None = None, clean: Callable = tx.clean_web, page_break: str = "\n\n") -> DataFrame:
+def documents(spark: SparkSession, path: str, *, reader: PageReader = no_pages, ocr: PageReader | None = None, clean: Callable = tx.clean_web, page_break: str = "\n\n", paged: DataFrame | None = None) -> DataFrame:
     """One row a file: text, cleaned, with its metadata, SHA-256 and a typed ``error``.
 
     Blank pages are dropped and the rest joined. Where cleaning leaves
     nothing, the raw text stays. Files that are no PDF are read as UTF-8.
+    ``paged``: the rows of the format ``pages`` for these files, instead of a reader.
     """
     files = spark.read.format("binaryFile").load(path)
     files = files.withColumn("file_type", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
-    plain = files.where(F.col("file_type") != ".pdf").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.lit(None).cast("string").alias("error"))
-    found = pages(files.where(F.col("file_type") == ".pdf"), reader, ocr)
+    facts = ("path", "file_type", F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"))
+    plain = files.where(F.col("file_type") != ".pdf").select(*facts, F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    found = pages(files.where(F.col("file_type") == ".pdf"), reader, ocr) if paged is None else paged.withColumn("path", F.concat(F.lit("file:"), "path"))
     solid = F.when(tx.strip(F.coalesce("text", F.lit(""))) != "", F.struct("page", "text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(solid)), lambda x: x["text"]), page_break)
     pdf = found.groupBy("path").agg(joined.alias("raw"), F.max("error").alias("error"))
-    raw = plain.unionByName(pdf)
-    facts = files.select("path", "file_type", F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"))
-    df = raw.join(facts, "path").withColumn("clean", clean(F.col("raw"))).withColumn("text", tx.cleaned_or_raw(F.col("clean"), F.col("raw")))
+    raw = plain.unionByName(files.where(F.col("file_type") == ".pdf").select(*facts).join(pdf, "path"))
+    df = raw.withColumn("clean", clean(F.col("raw"))).withColumn("text", tx.cleaned_or_raw(F.col("clean"), F.col("raw")))
     return df.select(
         "text",
         F.col("path").alias("source"),
