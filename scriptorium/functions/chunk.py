@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import strip
+
 #: Characters of a chunk and of the overlap.
 SIZE, OVERLAP = 1000, 300
 PARAGRAPH_OVERLAP = 200
@@ -106,7 +108,7 @@ def paragraphs(text: Column, size: int = SIZE, overlap: int = PARAGRAPH_OVERLAP)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def add(acc: Column, p: Column) -> Column:
-        full = (F.length(acc["cur"]) + F.length(p) >= size) & (acc["cur"] != "")
+        full = (F.length(acc["cur"]) + F.length(p) > size) & (acc["cur"] != "")
         tail = F.when(F.length(acc["cur"]) > overlap, F.substring(acc["cur"], -overlap, overlap)).otherwise(acc["cur"])
         cur = F.when(full, tail).otherwise(acc["cur"])
         done = F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
@@ -199,7 +201,7 @@ def token_chunks(sentences: Column, counter: Callable[[str], int] = count_words,
 
 
 def chapters(text: Column, size: int = CONTEXT) -> Column:
-    """A long text cut before its chapter lines, neighbours joined again while under ``size``."""
+    """A long text cut before its chapter lines, neighbours joined again while under ``size``; stripped, blank ones left out."""
     parts = F.filter(F.split(text, r"(?im)(?=^CHAPTER\s)"), lambda x: x != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
@@ -208,4 +210,5 @@ def chapters(text: Column, size: int = CONTEXT) -> Column:
         return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(full, p).otherwise(F.concat(acc["cur"], p)).alias("cur"))
 
     joined = F.aggregate(parts, start, add, lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(joined)
+    whole = F.when(F.length(text) <= size, F.array(text)).otherwise(joined)
+    return F.filter(F.transform(whole, strip), lambda x: x != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import strip
+from scriptorium.functions.text import once, strip
 from scriptorium.schemas import CASE_FIELDS, CLASSIFICATION, EXTRACTED_ARTICLE
 
 #: Names under which a case's fields come, besides their own.
@@ -20,6 +20,7 @@ ALIASES = {
 }
 #: The sections of an extraction reply, in order.
 SECTIONS = ("metadata", "facts", "issues", "rules", "application", "conclusion")
+#: A line that gives a field, and a section's header (``_header``).
 PAIR = r"^([^:]+)[:\-]\s*(.+)$"
 
 
@@ -38,19 +39,28 @@ def _header(number: int, name: str) -> str:
 def section(reply: Column, number: int) -> Column:
     """The text of one numbered section, up to the next one's header, or to the end where that is missing."""
     header = _header(number, SECTIONS[number].upper())
-    start = F.regexp_instr(reply, F.lit(header))
-    found = F.length(F.regexp_substr(reply, F.lit(header)))
-    body = F.substr(reply, start + found)
-    if number + 1 < len(SECTIONS):
-        end = F.regexp_instr(body, F.lit(_header(number + 1, SECTIONS[number + 1].upper())))
-        body = F.when(end > 0, F.substr(body, F.lit(1), end - 1)).otherwise(body)
-    text = strip(F.regexp_replace(strip(F.regexp_replace(strip(body), header, "")), r"\n{3,}", "\n\n"))
-    return F.when(start > 0, text).otherwise("")
+    tidy = lambda body: strip(F.regexp_replace(strip(F.regexp_replace(strip(body), header, "")), r"\n{3,}", "\n\n"))
+
+    def after(found: Column) -> Column:
+        # from the header's first letter on, so only its own match is tried
+        body = F.substr(reply, found + F.length(F.regexp_substr(F.substr(reply, found), F.lit(header))))
+        if number + 1 == len(SECTIONS):
+            return tidy(body)
+        upto = lambda b: once(F.regexp_instr(b, F.lit(_header(number + 1, SECTIONS[number + 1].upper()))), lambda end: F.when(end > 0, F.substr(b, F.lit(1), end - 1)).otherwise(b))
+        return tidy(once(body, upto))
+
+    return once(F.regexp_instr(reply, F.lit(header)), lambda found: F.when(found > 0, after(found)).otherwise(""))
 
 
 def sections(reply: Column) -> Column:
-    """A struct of all six sections."""
-    return F.struct(*[section(reply, i).alias(name) for i, name in enumerate(SECTIONS)])
+    """A struct of all six sections; the reply is computed once."""
+    return once(reply, lambda r: F.struct(*[section(r, i).alias(name) for i, name in enumerate(SECTIONS)]))
+
+
+def found_sections(s: Column) -> tuple[Column, Column]:
+    """(found, missing): the names of the sections in a column of ``sections`` that have a text, and of the others."""
+    found = F.array_compact(F.array(*[F.when(strip(F.coalesce(s[n], F.lit(""))) != "", n) for n in SECTIONS]))
+    return found, F.array_except(F.array(*map(F.lit, SECTIONS)), found)
 
 
 def unfenced(reply: Column) -> Column:

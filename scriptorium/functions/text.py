@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,12 +14,27 @@ MARKS, OCR_MARKS = ("|", "-", "_"), ("|", "-", "_", ".", ",")
 #: Running titles of statute pages, matched without case.
 PAGE_HEADERS = (r"^\d+$", r"^Constitution of Kenya$", r"^\[Rev\. \d{4}\]$", r"^The Constitution of Kenya$")
 RUNNING = (r"\s*Constitution of Kenya\s*", r"\s*\[Rev\. \d{4}\]\s*")
+#: Lines of a statute that stay as they are, and page numbers.
 CHAPTER_LINE, PART_LINE, ROMAN = r"(?i)^CHAPTER\s+", r"(?i)^PART\s+\d+\s*[–-]", r"^[IVXLCDM]+$"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, in which ``value`` is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends; ``trim`` knows spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends.
+
+    ``btrim`` takes the usual kinds from the ends alone; the pattern, which
+    looks at every character, is for texts that have others there.
+    """
+
+    def rest(x: Column) -> Column:
+        other = F.left(x, F.lit(1)).rlike(r"(?U)^\s") | F.right(x, F.lit(1)).rlike(r"(?U)^\s")
+        return F.when(other, F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
+
+    return once(F.btrim(c, F.lit(" \t\n\x0b\f\r")), rest)
 
 
 def _any(c: Column, patterns: Iterable[str]) -> Column:

@@ -31,6 +31,11 @@ def distance_score(distance: Column) -> Column:
     return 1.0 / (1.0 + distance)
 
 
+def shown_similarity(distance: Column) -> Column:
+    """1 - distance, as results display it; a distance over 1 makes it negative."""
+    return 1.0 - distance
+
+
 def mean(a: Column) -> Column:
     return F.aggregate(_double(a), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 

@@ -15,11 +15,15 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import articles, audit, dedupe, keyword, ranking
 from scriptorium.plans import pipelines, providers
 from scriptorium.schemas import CASE_FIELDS
-from scriptorium.sources import store
+from scriptorium.shared import scratch
+from scriptorium.sources import store, vectors
+from scriptorium.sources.keyword_index import KeywordIndex
 
 QUERY_ID = 0
 TARGETS = ["label3", "label5", "label7"]
 QUESTION = "the license of this work, version 2.0, er die que est"
+#: Cells of the vector index that a query reads.
+PROBES = 16
 ROLES = ("user", "assistant", "system")
 
 
@@ -60,6 +64,26 @@ def vec_topk_each(spark, sf):
     return ranking.nearest_each(e, q, 5, id="vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+def _index(spark, sf) -> tuple[vectors.VectorIndex, DataFrame, DataFrame]:
+    """An index of all vectors, below the shared folder; the vectors, and the queries, as of ``vec_topk_each``."""
+    e = table(spark, sf, "embeddings")
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.VectorIndex.build(e, scratch(spark), id="vec_id"), e, q
+
+
+def vec_index_exact(spark, sf):
+    """The index with all its cells probed: the exact 50 nearest."""
+    index, _, q = _index(spark, sf)
+    return index.search(q, 50, None, id="vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+def vec_index_recall(spark, sf):
+    """How many of the 50 nearest of each query ``PROBES`` cells have."""
+    index, e, q = _index(spark, sf)
+    exact = ranking.nearest_each(e, q, 50, id="vec_id")
+    return vectors.recall(index.search(q, 50, PROBES, id="vec_id"), exact, id="vec_id")
+
+
 def _wanted() -> Column:
     return F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("confidence_score")) for d, c in (("en", 0.9), ("criminal law", 0.7), ("de", 0.3))])
 
@@ -257,6 +281,13 @@ def tfidf_score(spark, sf):
     return _keyword(spark, sf, keyword.STOP_WORDS, 1000).select("doc_id", F.round("keyword", 6).alias("score"))
 
 
+def tfidf_index(spark, sf):
+    """As ``tfidf_score``, from a stored index of which only the question's terms are read."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    index = KeywordIndex.build(d, scratch(spark), id="doc_id", text="text", stop=keyword.STOP_WORDS, limit=1000)
+    return index.scores(_queries(spark), query="query_id", query_text="query", id="doc_id").select("doc_id", F.round("keyword", 6).alias("score"))
+
+
 def tfidf_topk(spark, sf):
     top = keyword.top(_keyword(spark, sf, None, None).withColumn("keyword", F.round("keyword", 9)), "query_id", "keyword", 3, "doc_id")
     return top.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("keyword", 6).alias("score"))
@@ -269,14 +300,14 @@ def hybrid_rank(spark, sf):
     return keyword.top(mixed, "query_id", "hybrid", 10, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("hybrid", 6).alias("hybrid"))
 
 
-def _tfidf_sql(stop, limit) -> str:
+def _tfidf_sql(stop, limit, source="documents", id="doc_id", text="text") -> str:
     words = "" if not stop else " WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in stop) + ")"
-    top = f" ORDER BY sum(tf) DESC, term LIMIT (SELECT least({limit}, 100 * count(*)) FROM documents)" if limit else ""
+    top = f" ORDER BY sum(tf) DESC, term LIMIT (SELECT least({limit}, 100 * count(*)) FROM {source})" if limit else ""
     grab = "regexp_extract_all(lower({}), '[\\pL\\pN\\pM_][\\pL\\pN\\pM_]+')"
     return f"""
-tok AS (SELECT * FROM (SELECT doc_id, unnest({grab.format("coalesce(text, '')")}) AS term FROM documents){words}),
+tok AS (SELECT * FROM (SELECT {id} AS doc_id, unnest({grab.format(f"coalesce({text}, '')")}) AS term FROM {source}){words}),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term{top}),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term{top}),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term)),
 norms AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY doc_id),
 qt AS (SELECT term, count(*) AS tf FROM (SELECT unnest({grab.format("'" + QUESTION + "'")}) AS term) GROUP BY term),
@@ -409,7 +440,8 @@ def audit_missing_fields(spark, sf):
 
 
 def audit_sequence(spark, sf):
-    c = table(spark, sf, "conversations").where("not (conv_id % 7 = 0 and turn = 1)").withColumn("i", (F.col("turn") + 1).cast("int"))
+    """All turns; those of each seventh conversation skip an index."""
+    c = table(spark, sf, "conversations").withColumn("i", (F.col("turn") + F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") >= 1), 2).otherwise(1)).cast("int"))
     n = c.groupBy("conv_id").agg(F.max("i").alias("stated"))
     return audit.sequences(c.join(n, "conv_id"), "conv_id", "i", "stated").withColumn("n", F.col("n").cast("long"))
 
@@ -534,13 +566,47 @@ def near_text(spark, sf):
     return pipelines.search_chunks(chunks, _queries(spark), embed).select("query_id", "id", "rank", F.round("hybrid", 6).alias("hybrid"), F.round("rerank", 6).alias("rerank"))
 
 
-_NAMES = """vec_topk vec_topk_filtered vec_filter_after_topk vec_topk_each domain_boost case_retrieval best_chunk_per_component clean_v1 clean_v2
+_NAMES = """vec_index_exact vec_index_recall tfidf_index vec_topk vec_topk_filtered vec_filter_after_topk vec_topk_each domain_boost case_retrieval best_chunk_per_component clean_v1 clean_v2
 clean_v3 clean_stats doc_hash exact_dups chunk_id safe_id file_parts chunk_window chunk_flatten chunk_stats chunk_recursive chunk_paragraph chunk_article
 chunk_tokens chunk_chapters tfidf_score tfidf_topk hybrid_rank dedupe_greedy parse_metadata extract_sections classification article_segment component_counts
 audit_missing_components audit_missing_fields audit_sequence completeness embedding_stats ingest_status article_order skip_existing change_detection
 corpus_stats chapter_counts payload_flatten retrieval_stats keyword_hits near_text upsert_by_group delete_by_predicate point_lookup semi_join_lookup context_format summary_fallback case_chunks""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
+_PARAGRAPHS_SQL = f"""p AS (SELECT doc_id, string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)) AS ps FROM documents),
+s AS (SELECT doc_id, 1 AS i, ps[1] AS cur, NULL::VARCHAR AS out FROM p
+      UNION ALL
+      SELECT doc_id, i + 1,
+             CASE WHEN kept = '' THEN ps[i + 1] ELSE kept || chr(10) || chr(10) || ps[i + 1] END, CASE WHEN over THEN cur END
+      FROM (SELECT *, CASE WHEN over THEN right(cur, {chunk.PARAGRAPH_OVERLAP}) ELSE cur END AS kept
+            FROM (SELECT doc_id, i, cur, ps, cur <> '' AND length(cur) + length(ps[i + 1]) > {chunk.SIZE} AS over FROM s JOIN p USING (doc_id) WHERE i < len(ps)))),
+o AS (SELECT doc_id, i, out AS t FROM s WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM s JOIN p USING (doc_id) WHERE i = len(ps) AND cur <> ''),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, t AS chunk_text FROM o)"""
+_ARTICLE_WINDOWS_SQL = f"""s AS (
+  SELECT doc_id, text, 0 AS i, 0 AS a, CASE WHEN length(text) <= {chunk.SIZE} THEN length(text) ELSE {{end}} END AS b FROM (SELECT doc_id, text, 0 AS a FROM documents)
+  UNION ALL
+  SELECT doc_id, text, i, a, {{end}} FROM (SELECT doc_id, text, i + 1 AS i, b - {chunk.OVERLAP} AS a FROM s WHERE length(text) > {chunk.SIZE} AND b - {chunk.OVERLAP} < length(text)))""".replace(
+    "{end}", f"a + CASE WHEN a + {chunk.SIZE} < length(text) AND length(regexp_extract(substr(text, a + 1, {chunk.SIZE}), '(?s)^(.*) ', 1)) > {chunk.OVERLAP} THEN length(regexp_extract(substr(text, a + 1, {chunk.SIZE}), '(?s)^(.*) ', 1)) ELSE {chunk.SIZE} END"
+)
+_CHAPTERS_SQL = f"""p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: 'CHAPTER ' || x || CASE WHEN i < len(string_split(text, chr(10))) THEN chr(10) ELSE '' END) AS ps, length(text) + 8 * len(string_split(text, chr(10))) AS n FROM documents),
+s AS (SELECT doc_id, 1 AS i, ps[1] AS cur, NULL::VARCHAR AS out FROM p
+      UNION ALL
+      SELECT doc_id, i + 1, CASE WHEN over THEN ps[i + 1] ELSE cur || ps[i + 1] END, CASE WHEN over THEN cur END
+      FROM (SELECT doc_id, i, cur, ps, n > {chunk.CONTEXT} AND length(cur) + length(ps[i + 1]) >= {chunk.CONTEXT} AS over FROM s JOIN p USING (doc_id) WHERE i < len(ps))),
+o AS (SELECT doc_id, i, out AS t FROM s WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM s JOIN p USING (doc_id) WHERE i = len(ps)),
+c AS (SELECT doc_id, i, {_STRIP.format("t")} AS body FROM o)"""
+#: Pairs of similar documents of a source first, then a step a rank: who stays depends on who has stayed.
+_GREEDY_SQL = r"""w AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS ws FROM documents),
+u AS (SELECT source, k, len(ws) AS n, unnest(ws) AS word FROM w),
+e AS (SELECT source, k, list(j) AS likes
+      FROM (SELECT a.source, a.k AS j, b.k AS k, count(*) AS shared, greatest(a.n, b.n) AS most FROM u a JOIN u b ON a.source = b.source AND a.word = b.word AND a.k < b.k
+            WHERE least(a.n, b.n) > {t} * greatest(a.n, b.n) GROUP BY ALL)
+      WHERE shared / most > {t} GROUP BY source, k),
+s AS (SELECT source, 0::BIGINT AS k, []::BIGINT[] AS kept FROM w GROUP BY source
+      UNION ALL
+      SELECT s.source, s.k + 1, CASE WHEN likes IS NULL OR len(list_intersect(likes, kept)) = 0 THEN list_append(kept, s.k + 1) ELSE kept END
+      FROM s JOIN w ON w.source = s.source AND w.k = s.k + 1 LEFT JOIN e ON e.source = s.source AND e.k = s.k + 1)""".format(t=dedupe.THRESHOLD)
+
 _WINDOWS_SQL = f"""w AS (SELECT doc_id, greatest(0, ceil((length(text) - {chunk.SIZE}) / {chunk.SIZE - chunk.OVERLAP}.0))::INT AS last, text FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, last + 1 AS total, i + 1 AS i, substr(text, i * {chunk.SIZE - chunk.OVERLAP} + 1, {chunk.SIZE}) AS t FROM (SELECT *, unnest(range(last + 1)) AS i FROM w))"""
 _HASH = "CASE WHEN text <> '' THEN sha256(text) ELSE '' END"
@@ -579,6 +645,14 @@ ORACLE_SQL = {
     "chunk_window": f"WITH {_WINDOWS_SQL} SELECT doc_id, total::BIGINT AS total_chunks, i::BIGINT AS chunk_index, t AS chunk_text FROM c",
     "chunk_flatten": f"WITH {_WINDOWS_SQL} SELECT doc_id, i::BIGINT AS chunk_index, length(t) AS chunk_length, total = 1 AS is_complete FROM c",
     "chunk_stats": f"WITH {_WINDOWS_SQL} SELECT count(*) AS chunks, round(avg(length(t)), 6) AS avg_length, min(length(t)) AS min_length, max(length(t)) AS max_length FROM c",
+    "vec_index_exact": "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= 50",
+    "chunk_paragraph": f"WITH RECURSIVE {_PARAGRAPHS_SQL} SELECT doc_id, chunk_index::INT AS chunk_index, chunk_text FROM c",
+    "chunk_article": f"WITH RECURSIVE {_ARTICLE_WINDOWS_SQL} SELECT doc_id, i AS chunk_index, CASE WHEN length(text) <= {chunk.SIZE} THEN text ELSE {_STRIP.format('substr(text, a + 1, b - a)')} END AS chunk_text FROM s",
+    "chunk_chapters": f"WITH RECURSIVE {_CHAPTERS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS part, body FROM c WHERE body <> ''",
+    "dedupe_greedy": f"WITH RECURSIVE {_GREEDY_SQL}, f AS (SELECT source, unnest(arg_max(kept, k)) AS k FROM s GROUP BY source) SELECT source, doc_id FROM f JOIN w USING (source, k)",
+    "keyword_hits": f"WITH RECURSIVE {_PARAGRAPHS_SQL.replace('p AS (', 'p AS MATERIALIZED (', 1)}, chunks AS (SELECT doc_id || '#' || lpad(chunk_index::VARCHAR, 8, '0') AS chunk_id, chunk_text FROM c), {_tfidf_sql(None, None, 'chunks', 'chunk_id', 'chunk_text')}, r AS (SELECT doc_id AS chunk_id, keyword, row_number() OVER (ORDER BY round(keyword, 9) DESC, doc_id DESC) AS rank FROM k) SELECT 0 AS query_id, rank::INT AS rank, chunk_id, round(keyword, 6) AS score, chunk_text FROM r JOIN chunks USING (chunk_id) WHERE rank <= 3",
+    "case_chunks": f"WITH {_fields_sql()}, x AS (SELECT doc_id, text, {_REPLY_SQL} AS r FROM documents), s AS (SELECT doc_id, text, {', '.join(_section_sql(i) for i in range(6))} FROM x), u AS (SELECT doc_id, text, unnest(['facts', 'issues', 'rules', 'application', 'conclusion']) AS firac_component, unnest([facts, issues, rules, application, conclusion]) AS body FROM s) SELECT doc_id::VARCHAR AS source_file_path, firac_component, CASE WHEN file_name <> '' THEN file_name ELSE 'case_' || substr({_HASH}, 1, 16) END AS case_identifier, length(body) AS content_length, {_HASH} AS document_hash, parties, court_level FROM u JOIN fields USING (doc_id) WHERE body <> ''",
+    "tfidf_index": f"WITH {_tfidf_sql(keyword.STOP_WORDS, 1000)} SELECT doc_id, round(keyword, 6) AS score FROM k",
     "tfidf_score": f"WITH {_tfidf_sql(keyword.STOP_WORDS, 1000)} SELECT doc_id, round(keyword, 6) AS score FROM k",
     "tfidf_topk": f"WITH {_tfidf_sql(None, None)}, r AS (SELECT doc_id, keyword, row_number() OVER (ORDER BY round(keyword, 9) DESC, doc_id DESC) AS rank FROM k) SELECT doc_id, rank, round(keyword, 6) AS score FROM r WHERE rank <= 3",
     "hybrid_rank": f"WITH {_BASE_SQL}, {_tfidf_sql(keyword.STOP_WORDS, 1000)}, b AS (SELECT doc_id, 1 - d AS s, coalesce(keyword, 0) AS kw FROM e JOIN documents ON doc_id = vec_id LEFT JOIN k USING (doc_id)), x AS (SELECT min(s) AS ls, max(s) AS hs, min(kw) AS lk, max(kw) AS hk FROM b), h AS (SELECT doc_id, 0.7::DOUBLE * CASE WHEN hs - ls > 1e-8 THEN (s - ls) / (hs - ls) ELSE 1 END + 0.3::DOUBLE * CASE WHEN hk - lk > 1e-8 THEN (kw - lk) / (hk - lk) ELSE 0 END AS hybrid FROM b, x), r AS (SELECT *, row_number() OVER (ORDER BY round(hybrid, 9) DESC, doc_id DESC) AS rank FROM h) SELECT doc_id, rank, round(hybrid, 6) AS hybrid FROM r WHERE rank <= 10",
@@ -589,7 +663,7 @@ ORACLE_SQL = {
     "component_counts": "SELECT r AS component, (SELECT count(*) FROM conversations WHERE role = r) AS n FROM (SELECT unnest(['user', 'assistant', 'system']) AS r)",
     "audit_missing_components": "SELECT conv_id, count(*) AS n_chunks, array_to_string(list_filter(['user', 'assistant', 'system'], lambda x: NOT list_contains(list(role), x)), ',') AS missing FROM conversations GROUP BY conv_id",
     "audit_missing_fields": f"WITH {_fields_sql()}, m AS (SELECT doc_id, list_filter([{', '.join(f'''CASE WHEN {f} = '' THEN '{f}' END''' for f in CASE_FIELDS)}], lambda x: x IS NOT NULL) AS miss FROM fields) SELECT doc_id, array_to_string(miss, ',') AS missing, {len(CASE_FIELDS)} - len(miss) AS populated, CASE WHEN len(miss) = {len(CASE_FIELDS)} THEN 'no metadata' WHEN {len(CASE_FIELDS)} - len(miss) < 4 THEN 'little metadata' ELSE '' END AS warning FROM m",
-    "audit_sequence": "WITH c AS (SELECT conv_id, turn + 1 AS i FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1)) SELECT conv_id, count(*) AS n, list(i ORDER BY i) = range(1, count(*) + 1) AS indices_ok, max(i) = count(*) AS total_ok FROM c GROUP BY conv_id",
+    "audit_sequence": "WITH c AS (SELECT conv_id, turn + CASE WHEN conv_id % 7 = 0 AND turn >= 1 THEN 2 ELSE 1 END AS i FROM conversations) SELECT conv_id, count(*) AS n, list(i ORDER BY i) = range(1, count(*) + 1) AS indices_ok, max(i) = count(*) AS total_ok FROM c GROUP BY conv_id",
     "completeness": "WITH a AS (SELECT conv_id, bool_or(turn = 5) AS whole FROM conversations GROUP BY conv_id) SELECT count(*) AS chunks, count(DISTINCT CASE WHEN role <> '' THEN role END) AS chapters, count(DISTINCT CASE WHEN turn > 2 THEN turn END) AS parts, count(DISTINCT conv_id) AS articles, round(avg(length(text)), 6) AS avg_length, min(length(text)) AS min_length, max(length(text)) AS max_length, (SELECT count(*) FROM a WHERE whole) AS complete_articles, (SELECT count(*) FROM a WHERE NOT whole) AS partial_articles FROM conversations",
     "embedding_stats": "SELECT vec_id, len(embedding) AS dim, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS std, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings",
     "ingest_status": "WITH s AS (SELECT source, CASE WHEN length(text) < 20 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'ingested' END AS st FROM documents), c AS (SELECT source, count(*) AS total, count_if(st = 'ingested')::BIGINT AS ingested, count_if(st = 'skipped')::BIGINT AS skipped, count_if(st = 'failed')::BIGINT AS failed FROM s GROUP BY source) SELECT *, CASE WHEN ingested + skipped = 0 THEN 'failed' WHEN failed > 0 THEN 'partial_success' ELSE 'success' END AS overall FROM c",

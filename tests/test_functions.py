@@ -21,6 +21,16 @@ def test_strip_and_cleaners(spark):
     assert one(spark, text.cleaned_or_raw(F.lit(" "), F.lit("raw"))) == "raw"
 
 
+def test_strip_takes_any_white_space(spark):
+    df = spark.createDataFrame([("\u00a0\u2003 x y\u00a0",), ("\x0b\x0cx y\r\n",), ("\u3000",), ("",), (None,), ("x\u2028y",)], "t string")
+    assert [r.x for r in df.select(text.strip(F.col("t")).alias("x")).collect()] == ["x y", "x y", "", "", None, "x\u2028y"]
+
+
+def test_paragraphs_up_to_the_size(spark):
+    cut = lambda *sizes: [len(x) for x in one(spark, chunk.paragraphs(F.col("t")), t="\n\n".join("x" * n for n in sizes))]
+    assert cut(600, 400) == [1002] and cut(600, 401) == [600, 603] and cut(1200, 10) == [1200, 212]
+
+
 def test_hashes_and_names(spark):
     assert one(spark, text.text_hash(F.lit(""))) == ""
     assert one(spark, text.text_hash(F.lit("a"))).startswith("ca978112")

@@ -21,7 +21,8 @@ def test_chunk_chapters(spark, texts):
     books = {}
     for r in sorted(queries.chunk_chapters(spark, SF).collect(), key=lambda r: (r["doc_id"], r["part"])):
         books.setdefault(r["doc_id"], []).append(r["body"])
-    assert {k: "".join(v) for k, v in books.items()} == {k: "CHAPTER " + r["text"].replace("\n", "\nCHAPTER ") for k, r in texts.items()}
+    assert all(p == p.strip() for v in books.values() for p in v)
+    assert {k: _squeezed("".join(v)) for k, v in books.items()} == {k: _squeezed("CHAPTER " + r["text"].replace("\n", "\nCHAPTER ")) for k, r in texts.items()}
     assert all(len(p) <= chunk.CONTEXT or p.count("CHAPTER ") == 1 for v in books.values() for p in v)
 
 
@@ -47,6 +48,12 @@ def test_dedupe_greedy(spark, texts):
     assert sorted((r["source"], r["doc_id"]) for r in queries.dedupe_greedy(spark, SF).collect()) == sorted((s, k) for s, v in kept.items() for k, _ in v)
 
 
+def test_vector_index_recall(spark):
+    rows = queries.vec_index_recall(spark, SF).collect()
+    assert len(rows) == 5 and all(r["wanted"] == 50 for r in rows)
+    assert sum(r["hits"] for r in rows) >= 0.9 * sum(r["wanted"] for r in rows)
+
+
 def test_dedupe_greedy_sees_whole_texts(spark, tmp_path):
     head = " ".join(f"w{i}" for i in range(100))
     rows = [(1, head + " " + " ".join(f"a{i}" for i in range(100)), "en", "s", 1), (2, head + " " + " ".join(f"b{i}" for i in range(100)), "en", "s", 1)]
