@@ -264,14 +264,17 @@ def at_most(a: str, b: str, most: int = 1 << 60) -> int:
     return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
 
 
-def at_least(a: str, b: str) -> int:
-    """A number that the edit distance is not under: an edit undoes three runs of three characters at most."""
-    grams = []
-    for t in (a, b):
-        c = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
-        grams.append(np.bincount((c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20), minlength=4096))
-    gap = grams[0] - grams[1]
-    return -(-int(max(gap[gap > 0].sum(), -gap[gap < 0].sum())) // 3)
+def runs(t: str) -> np.ndarray:
+    """How many runs of three characters a text has in each of 4096 hash buckets."""
+    c = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+    return np.bincount((c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20), minlength=4096).astype(np.int32)
+
+
+def at_least(a: np.ndarray, b: np.ndarray) -> int:
+    """A number that the edit distance of texts with these ``runs`` is not under: an edit undoes three of them at most."""
+    gap = a - b
+    more = int(np.maximum(gap, 0).sum())
+    return -(-max(more, more - int(gap.sum())) // 3)
 
 
 def _least(plus: int, minus: int, rows: int, column: int, columns: int) -> int:
@@ -364,22 +367,27 @@ def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]
     tally = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in group["text"]]).astype(np.int16 if size.max() < 8000 else np.int32)
     # an edit of a character changes one byte either way, or four where characters are not ASCII
     width = np.where(tally[:, 128:].any(axis=1), 4, 1)
-    forest = Forest(len(lines))
+    forest, seen = Forest(len(lines)), {}
     for i in range(left or len(lines) - 1):
         j = np.arange(left or i + 1, len(lines))
         most = np.maximum(size[i], size[j]) * (100 - SIMILARITY) // 100
         may = (np.bitwise_count((code[j] ^ code[i]).view(np.uint64)) <= NEAR) & (np.abs(size[i] - size[j]) <= most)
+        j, most = j[may], most[may]
+        gap = tally[j] - tally[i]
+        more = np.maximum(gap, 0).sum(axis=1)
+        may = np.maximum(more, more - gap.sum(axis=1)) // np.maximum(width[j], width[i]) <= most
         hit, open_ = [], []
         for k, m in zip(j[may].tolist(), most[may].tolist(), strict=True):
             if forest.root(k) == forest.root(i):
                 continue
-            gap = tally[k] - tally[i]
-            if max(gap[gap > 0].sum(), -gap[gap < 0].sum()) // max(width[k], width[i]) > m:
-                continue
             if at_most(lines[i], lines[k], m) <= m:
                 forest.join(i, k)
                 hit.append(k)
-            elif at_least(lines[i], lines[k]) <= m:
+                continue
+            for x in (i, k):
+                if x not in seen:
+                    seen[x] = runs(lines[x])
+            if at_least(seen[i], seen[k]) <= m:
                 open_.append((k, m))
         open_ = [(k, m) for k, m in open_ if forest.root(k) != forest.root(i)]
         far = distances(lines[i], [lines[k] for k, _ in open_]) if len(open_) > 1 else [distance(lines[i], lines[k], m) for k, m in open_]

@@ -460,7 +460,7 @@ def test_block_recall(spark):
         bound = np.maximum(np.where(gap > 0, gap, 0).sum(axis=1), np.where(gap < 0, -gap, 0).sum(axis=1)) // 4
         for k in j[bound <= size[j] * 15 // 100].tolist():
             most = int(size[k]) * 15 // 100
-            if lines.at_most(text[i], text[k]) <= most or (lines.at_least(text[i], text[k]) <= most and lines.distance(text[i], text[k], most) <= most):
+            if lines.at_most(text[i], text[k]) <= most or (lines.at_least(lines.runs(text[i]), lines.runs(text[k])) <= most and lines.distance(text[i], text[k], most) <= most):
                 links += 1
                 found += bool(keys[i] & keys[k]) and int(code[i] ^ code[k]).bit_count() <= lines.NEAR
     assert links > 30 and found >= 0.95 * links
@@ -495,7 +495,7 @@ def test_edit_distance():
         d = slow(a, b)
         assert lines.distance(a, b, 99) == d
         assert (lines.distance(a, b, 3) <= 3) == (d <= 3)
-        assert lines.at_least(a, b) <= d <= lines.at_most(a, b)
+        assert lines.at_least(lines.runs(a), lines.runs(b)) <= d <= lines.at_most(a, b)
     for n in (0, 1, 9, 70):
         a, *others = ("".join(r.choice(list("abé"), r.integers(0, n + 1))) for _ in range(40))
         assert lines.distances(a, others) == [slow(a, b) if a and b else len(a) + len(b) for b in others]
