@@ -64,13 +64,13 @@ def fold(ranked: DataFrame, *, group: str, rank: str, id: str, text: str, thresh
 
 def _without(df: DataFrame, gone: DataFrame, *at: str) -> DataFrame:
     for c in at:
-        df = df.join(gone.select(F.col("o").alias(c)), c, "left_anti")
+        df = df.join(gone.select(F.col("n").alias(c)), c, "left_anti")
     return df
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
-    of = lambda c: sets.select(F.col("o").alias(c), F.col("words").alias(f"w{c}"))
+    of = lambda c: sets.select(F.col("n").alias(c), F.col("words").alias(f"w{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.where(_alike(F.col("wa"), F.col("wb"), threshold)).select("a", "b")
 
@@ -80,38 +80,39 @@ def greedy(ranked: DataFrame, *, group: str, rank: str, id: str, text: str, thre
     words = F.coalesce(F.sort_array(word_set(F.col(text))), F.array().cast("array<string>"))
     rows = ranked.select(F.col(group).alias("g"), F.col(rank).alias("rank"), F.col(id).alias("id"), words.alias("words"))
     empty = rows.where(F.size("words") == 0).select("g", "id", "rank")
-    # o: the place in the list, which names a set too
-    o = F.struct("rank", "id", F.xxhash64("words").alias("h"), F.xxhash64("g").alias("gh"))
-    sets = cut(rows.where(F.size("words") > 0).groupBy("g", "words").agg(F.min(o).alias("o")))
+    # o is the place in the list; n names a set
+    o = F.struct("rank", "id", F.xxhash64("words").alias("h"))
+    sets = rows.where(F.size("words") > 0).groupBy("g", "words").agg(F.min(o).alias("o"))
+    sets = cut(sets.withColumn("n", F.monotonically_increasing_id()))
 
-    each = sets.select("o", F.size("words").alias("size"), "g", F.explode("words").alias("word")).select("o", "size", F.xxhash64("g", "word").alias("key"))
+    each = sets.select("n", "o", F.size("words").alias("size"), "g", F.explode("words").alias("word")).select("n", "o", "size", F.xxhash64("g", "word").alias("key"))
     often = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     # words that no other set has come first in a prefix: they take their places and need not be joined
-    rest = each.join(often, "key").groupBy("o", "size").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    rest = each.join(often, "key").groupBy("n").agg(F.first("o").alias("o"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
     length = F.size("shared") - F.floor(F.col("size") * F.lit(threshold) - 1e-9).cast("int")
-    prefixes = cut(rest.where(length > 0).select("o", "size", F.explode(F.slice("shared", 1, length)).alias("x")).select("x.key", "o", "size"))
+    prefixes = cut(rest.where(length > 0).select("n", "o", "size", F.explode(F.slice("shared", 1, length)).alias("x")).select("x.key", "n", "o", "size"))
 
     gone = None
     for _ in range(sweeps):
-        first = prefixes.groupBy("key").agg(F.min("o").alias("a"))
-        led = prefixes.join(first, "key").select("a", F.col("o").alias("b"), "size")
+        first = prefixes.groupBy("key").agg(F.min_by("n", "o").alias("a"))
+        led = prefixes.join(first, "key").select("a", F.col("n").alias("b"))
         sure = led.groupBy("b").agg(F.bool_and(F.col("a") == F.col("b")).alias("sure")).where("sure").select(F.col("b").alias("a"))
-        pairs = led.where("a <> b").join(sure, "a").select("a", "b").distinct()
-        out = cut(_similar(pairs, sets, threshold).select(F.col("b").alias("o")).distinct())
-        settled = out.unionByName(sure.select(F.col("a").alias("o")))
+        pairs = led.where("a <> b").join(sure, "a").distinct()
+        out = cut(_similar(pairs, sets, threshold).select(F.col("b").alias("n")).distinct())
+        settled = out.unionByName(sure.select(F.col("a").alias("n")))
         gone = out if gone is None else gone.unionByName(out)
-        last, prefixes = prefixes, cut(_without(prefixes, settled, "o"))
+        last, prefixes = prefixes, cut(_without(prefixes, settled, "n"))
         drop(last)
-    other = prefixes.select("key", F.col("o").alias("b"), F.col("size").alias("sb"))
+    other = prefixes.select("key", F.col("n").alias("b"), F.col("o").alias("later"), F.col("size").alias("sb"))
     near = F.least("size", "sb") / F.greatest("size", "sb") > threshold
-    pairs = prefixes.withColumnRenamed("o", "a").join(other, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = prefixes.withColumnRenamed("n", "a").join(other, "key").where((F.col("o") < F.col("later")) & near).select("a", "b").distinct()
     edges = cut(_similar(pairs, sets, threshold))
     while not edges.isEmpty():
         stays = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
-        out = cut(edges.join(stays, "a").select(F.col("b").alias("o")).distinct())
+        out = cut(edges.join(stays, "a").select(F.col("b").alias("n")).distinct())
         gone = out if gone is None else gone.unionByName(out)
         last, edges = edges, cut(_without(edges, out, "a", "b"))
         drop(last)
-    kept = sets if gone is None else _without(sets, gone, "o")
+    kept = sets if gone is None else _without(sets, gone, "n")
     left = kept.select("g", F.col("o.id").alias("id"), F.col("o.rank").alias("rank")).unionByName(empty)
     return left.select(F.col("g").alias(group), F.col("id").alias(id), F.col("rank").alias(rank))
