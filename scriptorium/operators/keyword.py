@@ -2,9 +2,9 @@
 
 Weights: tf * (ln((1 + n) / (1 + df)) + 1), each text's vector scaled to length
 1; a score is the product with the query's vector. Terms are runs of two or
-more word characters, lower-cased. A text's terms are counted inside its row,
-so what is shuffled is a row a term and task for the vocabulary, and a row a
-text for the scores. An id names one row.
+more word characters, lower-cased. Only (chunk, term) counts are shuffled, and
+counted before they are; document frequencies are one row a term, scores one a
+text and query.
 """
 
 from __future__ import annotations
@@ -26,16 +26,11 @@ def terms(text: Column) -> Column:
 
 
 def frequencies(df: DataFrame, id: str, text: str, stop: list[str] | None = None) -> DataFrame:
-    """(id, term, tf), counted in each row: runs of the sorted terms."""
-    words = terms(F.col(text))
+    """(id, term, tf); a text is one row, so its counts are combined before they are shuffled."""
+    out = df.select(id, F.explode(terms(F.col(text))).alias("term"))
     if stop:
-        words = F.filter(words, lambda t: ~t.isin(*stop))
-    some = df.select(F.col(id), F.array_sort(words).alias("t_")).where(F.size("t_") > 0)
-    at = lambda i: F.get("t_", i)
-    starts = F.filter(F.sequence(F.lit(0), F.size("t_") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-    some = some.withColumn("s_", F.concat(starts, F.array(F.size("t_"))))
-    runs = F.transform(F.slice("s_", 1, F.size("s_") - 1), lambda s, k: F.struct(at(s).alias("term"), (F.get("s_", k + 1) - s).cast("long").alias("tf")))
-    return some.select(id, F.explode(runs).alias("x")).select(id, "x.term", "x.tf")
+        out = out.where(~F.col("term").isin(*stop))
+    return out.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tf: DataFrame, texts: DataFrame, limit: int | None = None) -> DataFrame:
