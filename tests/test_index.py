@@ -165,3 +165,12 @@ def test_near_copies_cost_no_pairs(spark):
     rows = [("g", i, i, " ".join([*words, f"own{i}", f"more{i}"])) for i in range(1500)]
     df = spark.createDataFrame(rows, "g string, r int, i long, t string")
     assert [r.i for r in dedupe.greedy(df, group="g", rank="r", id="i", text="t").collect()] == [0]
+
+
+def test_near_misses_make_few_pairs(spark, monkeypatch):
+    r, seen, real = random.Random(5), [], dedupe._similar
+    monkeypatch.setattr(dedupe, "_similar", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    rows = [("g", i, i, " ".join(r.sample([f"w{k}" for k in range(90)], 40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, r int, i long, t string")
+    assert sorted(("g", x.i) for x in dedupe.greedy(df, group="g", rank="r", id="i", text="t").collect()) == plain_greedy(rows)
+    assert sum(seen) < 1000  # of 19,900; most share a word that both prefixes have
