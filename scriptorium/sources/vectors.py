@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptorium.functions import vector
+from scriptorium.operators import ranking
 
 #: Vectors that centroids are fitted on, at most.
 SAMPLE = 100_000
@@ -101,14 +102,13 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int | None = 8, *, query: str = "query_id", vector_of: str = "vector", embedding: str = "embedding", id: str = "id", where: Column | None = None) -> DataFrame:
         """The ``k`` nearest of each query among its ``probes`` nearest cells (None: all, which is exact), with ``distance`` and ``rank``."""
+        named = {"query": query, "vector_of": vector_of, "embedding": embedding, "id": id}
+        if probes is None:
+            found = self.rows() if where is None else self.rows().where(where)
+            return ranking.nearest_each(found.drop("cell"), queries, k, **named)
         asked = self.probes(queries, probes, query=query, vector_of=vector_of)
         found = self.candidates(asked)
-        if where is not None:
-            found = found.where(where)
-        # Spark broadcasts the probes while they are small
-        pairs = found.join(asked, "cell").withColumn("distance", 1.0 - vector.cosine(F.col(embedding), F.col(vector_of))).drop(vector_of, "cell")
-        order = Window.partitionBy(query).orderBy("distance", id)
-        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranking.nearest_in_cells(found if where is None else found.where(where), asked, k, **named)
 
 
 def recall(found: DataFrame, exact: DataFrame, *, query: str = "query_id", id: str = "id") -> DataFrame:
