@@ -8,11 +8,14 @@ independent, so they stay in the scan's stage and shuffle nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions.text import strip
 
@@ -26,7 +29,36 @@ MIN_TOKENS, MAX_TOKENS, SHARED_PERCENT = 500, 800, 20
 #: Characters that a chapter may have before it is cut for a model's context.
 CONTEXT = 15000
 
-PIECE = "array<struct<start:int,text:string>>"
+PIECE_FIELDS = {"start": T.IntegerType(), "text": T.StringType()}
+#: Characters of chunks that are held as Python strings before they go to Arrow.
+HELD = 1 << 20
+
+
+def _kind(fields: dict[str, T.DataType]) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(c, t) for c, t in fields.items()]))
+
+
+def _lists(rows: Iterable[list[tuple]], fields: dict[str, T.DataType]) -> pa.Array:
+    """Lists of structs, a row each, made a part at a time: a batch of any number of texts holds few Python objects."""
+    kind = to_arrow_type(_kind(fields))
+    item, parts, ends, held, chars = kind.value_type, [], [0], [], 0
+
+    def flush() -> None:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), item, strict=True)] if held else [pa.array([], f.type) for f in item]
+        items = pa.StructArray.from_arrays(columns, fields=list(item))
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=kind))
+        ends[:], held[:] = [0], []
+
+    at = [i for i, c in enumerate(fields) if c == "text"][0]
+    for row in rows:
+        held += row
+        ends.append(len(held))
+        chars += sum(len(x[at]) for x in row)
+        if chars > HELD:
+            flush()
+            chars = 0
+    flush()
+    return pa.concat_arrays(parts)
 
 
 def sizes_for(length: int, size: int = SIZE, overlap: int = OVERLAP) -> tuple[int, int]:
@@ -96,9 +128,12 @@ def split_recursive(text: str, size: int, overlap: int) -> list[tuple[int, str]]
 def recursive(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Array of (start, text) of the recursive splitter; chunks are smaller for short texts."""
 
-    @F.pandas_udf(PIECE)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": s, "text": c} for s, c in split_recursive(t, *sizes_for(len(t), size, overlap))] if t else [])
+    def one(t: str | None) -> list[tuple[int, str]]:
+        return split_recursive(t, *sizes_for(len(t), size, overlap)) if t else []
+
+    @F.arrow_udf(_kind(PIECE_FIELDS))
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists((one(t.as_py()) for t in texts), PIECE_FIELDS)
 
     return run(text)
 
@@ -181,21 +216,20 @@ def sentence_chunks(sentences: list[str], counts: list[int], low: int = MIN_TOKE
     return out
 
 
-TOKEN_PIECE = "array<struct<chunk_number:int,text:string,token_count:int,sentence_count:int,char_count:int>>"
+TOKEN_FIELDS = {"chunk_number": T.IntegerType(), "text": T.StringType(), "token_count": T.IntegerType(), "sentence_count": T.IntegerType(), "char_count": T.IntegerType()}
 
 
 def token_chunks(sentences: Column, counter: Callable[[str], int] = count_words, low: int = MIN_TOKENS, high: int = MAX_TOKENS, percent: int = SHARED_PERCENT) -> Column:
     """Chunks of an array of sentences by a token counter, such as a vocabulary's."""
 
-    @F.pandas_udf(TOKEN_PIECE)
-    def run(all_: pd.Series) -> pd.Series:
-        def one(s) -> list[dict]:
-            s = [] if s is None else list(s)
-            cut = sentence_chunks(s, [counter(x) for x in s], low, high, percent)
-            texts = [" ".join(s[a:b]) for a, b, _ in cut]
-            return [{"chunk_number": i, "text": t, "token_count": n, "sentence_count": b - a, "char_count": len(t)} for i, (t, (a, b, n)) in enumerate(zip(texts, cut, strict=True), 1)]
+    def one(s: list[str]) -> list[tuple]:
+        cut = sentence_chunks(s, [counter(x) for x in s], low, high, percent)
+        texts = [" ".join(s[a:b]) for a, b, _ in cut]
+        return [(i, t, n, b - a, len(t)) for i, (t, (a, b, n)) in enumerate(zip(texts, cut, strict=True), 1)]
 
-        return all_.map(one)
+    @F.arrow_udf(_kind(TOKEN_FIELDS))
+    def run(all_: pa.Array) -> pa.Array:
+        return _lists((one(s.as_py() or []) for s in all_), TOKEN_FIELDS)
 
     return run(sentences)
 

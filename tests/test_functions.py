@@ -129,3 +129,14 @@ def test_hybrid_flat_scores(spark):
     df = spark.createDataFrame([(1, 1, 0.4, 0.0), (1, 2, 0.4, 0.0), (2, 3, 0.3, 0.9)], "q int, i int, semantic double, keyword double")
     got = {r.i: r.hybrid for r in keyword.hybrid(df, query="q").collect()}
     assert got == {1: pytest.approx(0.7), 2: pytest.approx(0.7), 3: pytest.approx(0.3)}
+
+
+def test_chunks_of_a_batch_are_not_held_as_objects():
+    import tracemalloc
+
+    tracemalloc.start()
+    made = chunk._lists(([(i, f"{i:08d}" * 100)] * (i % 3) for i in range(30_000)), chunk.PIECE_FIELDS)
+    peak = tracemalloc.get_traced_memory()[1]  # Python's objects; Arrow's memory is not among them
+    tracemalloc.stop()
+    assert peak < 8 << 20 and len(made) == 30_000 and made[0].as_py() == []
+    assert made[29_998].as_py() == [{"start": 29_998, "text": "00029998" * 100}]
