@@ -40,10 +40,12 @@ class KeywordIndex:
     def build(cls, texts: DataFrame, path: str, *, id: str, text: str, stop: list[str] | None = None, limit: int | None = None, buckets: int = BUCKETS) -> KeywordIndex:
         """Index texts, each named by ``id``; stop words and vocabulary limit as in ``keyword.scores``."""
         spark, path = texts.sparkSession, path.rstrip("/")
-        rows = keyword.frequencies(texts, id, text, stop)
+        rows = keyword.frequencies(texts, id, text, stop, keyword.one_each(texts, id))
         vocab = keyword.vocabulary(rows, texts, limit).withColumn("bucket", _bucket(buckets))
         cls._write(vocab, f"{path}/terms")
         terms = spark.read.schema("term string, idf double").parquet(f"{path}/terms")
+        if limit and limit <= keyword.MOST_SENT:
+            terms = F.broadcast(terms)
         cls._write(keyword.weights(rows, terms, id).withColumn("bucket", _bucket(buckets)), f"{path}/postings")
         spark.createDataFrame([(buckets, list(stop or []), id, texts.schema[id].dataType.simpleString())], _MADE).coalesce(1).write.mode("overwrite").parquet(f"{path}/made")
         return cls(spark, path)

@@ -195,3 +195,25 @@ def test_each_query_is_shortlisted(spark, monkeypatch):
     assert shape(got) == shape(want)
     measured = len(asks) * len(rows)
     assert "FlatMapGroupsInArrow" in plan_of(got) and measured > 40_000
+
+
+def test_terms_are_counted_in_rows(spark):
+    rows = [(1, "Ab ab, the cd ab"), (2, None), (3, ""), (4, "cd ef_1 été"), (5, "the the")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    shape = lambda d: sorted((r.id, r.term, r.tf) for r in d.collect())
+    alone = keyword.frequencies(df, "id", "text", ["the"], alone=True)
+    assert shape(alone) == shape(keyword.frequencies(df, "id", "text", ["the"])) and "HashAggregate" not in plan_of(alone)
+    assert keyword.one_each(df, "id") and not keyword.one_each(df.union(df.where("id = 4")), "id")
+    q = spark.createDataFrame([(0, "cd ab"), (1, "ef_1")], "query_id int, q string")
+    scores = lambda d, **o: {(r.query_id, r.id): round(r.keyword, 9) for r in keyword.scores(d, q, id="id", text="text", query="query_id", query_text="q", **o).collect()}
+    for limit in (None, 4):
+        assert scores(df, limit=limit) == scores(df, limit=limit, alone=False) and len(scores(df, limit=limit)) >= 2
+
+
+def test_a_query_is_not_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(50).select(F.lit(0).alias("query_id"), "id", (F.col("id") / 50).alias("semantic"), F.lit(0.0).alias("keyword"))
+        assert "SortMergeJoin" not in plan_of(keyword.hybrid(df, query="query_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
