@@ -55,12 +55,12 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def keyword_hits(docs: DataFrame, queries: DataFrame, *, id: str = "source", text: str = "text", k: int = FINAL) -> DataFrame:
-    """Paragraph chunks ranked by plain TF-IDF, ``k`` a query; no vectors needed."""
+    """Paragraph chunks ranked by plain TF-IDF, ``k`` a query, which are sent to the chunks; no vectors needed."""
     cut = docs.select(id, F.posexplode(chunk.paragraphs(F.col(text))).alias("chunk_index", "chunk_text"))
     cut = cut.withColumn("chunk_id", F.concat_ws("#", F.col(id).cast("string"), F.format_string("%08d", F.col("chunk_index"))))
-    found = keyword.scores(cut.select("chunk_id", "chunk_text"), queries, id="chunk_id", text="chunk_text", query="query_id", query_text="query")
+    found = keyword.scores(cut.select("chunk_id", "chunk_text"), queries, id="chunk_id", text="chunk_text", query="query_id", query_text="query", alone=keyword.one_each(docs, id))
     best = keyword.top(found.withColumn("keyword", F.round("keyword", 9)), "query_id", "keyword", k, "chunk_id")
-    return best.join(cut, "chunk_id").select("query_id", "rank", "chunk_id", F.col("keyword").alias("score"), "chunk_text")
+    return cut.join(F.broadcast(best), "chunk_id").select("query_id", "rank", "chunk_id", F.col("keyword").alias("score"), "chunk_text")
 
 
 # cases
