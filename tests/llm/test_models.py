@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,6 +124,31 @@ def test_collocations(spark, rows, hot, held, monkeypatch):
         assert sorted(tuple(r) for r in got.collect()) == brute_phrases(some, least, top)
 
 
+@pytest.mark.parametrize("numbered,bits", [(3, 27), (0, 6)])
+def test_collocations_with_few_numbers_and_bits(spark, rows, numbered, bits, monkeypatch):
+    monkeypatch.setattr(phrases, "NUMBERED", numbered)
+    monkeypatch.setattr(phrases, "MOST_BITS", bits)
+    some = [(r[2], r[1]) for r in rows] + [("en", "A\x00b c\x01d A\x00b c\x01d\x02")] * 4
+    df = spark.createDataFrame(some, "lang string, text string").repartition(3)
+    assert sorted(tuple(r) for r in phrases.collocations(df, least=4, hot=6).collect()) == brute_phrases(some, 4)
+
+
+def test_suffixes_are_few_and_small():
+    """Rare words are not sent, equal suffixes are one, and a suffix takes numbers, not words."""
+    common = [b"%dword" % i for i in range(50)]
+    r = random.Random(3)
+    text = b" ".join(x for i in range(5000) for x in (b"rare%d" % i, *(r.choice(common) for _ in range(6))))
+    frequent = phrases.Frequent(27, [])
+    for k in phrases._keys("en", common):
+        at = int(k) >> 37
+        frequent.bits[at >> 6] |= np.uint64(1 << (at & 63))
+    sent = SimpleNamespace(value=({"en": common}, {}, frequent))
+    got = pa.Table.from_batches(phrases._suffixes(5, 4, sent)(iter([pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([text, text])], names=["lang", "text"])])))
+    made = sum(len(x.as_py()) // 4 for x in got.column("counts"))
+    assert sum(np.frombuffer(x.as_py(), np.int32).sum() for x in got.column("counts")) == 2 * 5000 * 5  # of six words in a row, the last starts none
+    assert made <= 5000 * 5 and got.nbytes < 16 * made
+
+
 def test_collocations_of_nothing(spark, none):
     assert phrases.collocations(none).count() == 0
     blank = spark.createDataFrame([(None, None), ("en", " .,; ")], "lang string, text string")
