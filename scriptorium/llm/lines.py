@@ -60,6 +60,8 @@ _STEP = 1 << 14
 _LANES = 1 << 16
 #: Words looked ahead for a place where two lines agree again.
 _REACH = 2000
+#: Keys that a task holds before it sends them on, and parts of keys for each shuffle partition.
+_HELD, _PARTS = 1 << 20, 4
 #: Lines that a task keeps in mind, so as not to send a repeated line's keys again.
 _KNOWN = 1 << 20
 
@@ -68,7 +70,10 @@ _PLAIN = bytes(c if c >= 128 or c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else
 
 
 def normal_lines(text: bytes) -> list[bytes]:
-    return [b" ".join(x.split()) for x in text.translate(_PLAIN).split(b"\n")]
+    t = text.translate(_PLAIN)
+    while b"  " in t:
+        t = t.replace(b"  ", b" ")
+    return t.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
 def features(line: bytes) -> bytes | None:
@@ -221,6 +226,50 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(at, pa.int32()), pa.array(np.array(lids, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(codes.view(np.int64))], names=["ka", "kb", "id", "line", "lid", "keys", "code"])
 
 
+def _dealt(parts: int):
+    """(part, keys, lids) of lines with keys: all keys, packed by ranges of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            key, lid = np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held])
+            part = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            key, lid, part = key[order], lid[order], part[order]
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            ends = list(zip(cut[:-1], cut[1:], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in (key, lid))], names=["part", "keys", "lids"])
+
+        held, size = [], 0
+        for batch in batches:
+            keys = batch.column(1)
+            key = keys.flatten().to_numpy()
+            held.append((key, np.repeat(batch.column(0).to_numpy(), np.diff(keys.offsets.to_numpy()))))
+            size += len(key)
+            if size >= _HELD:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _shared_keys(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, lid, a, b) of a part's keys that two lines or more have: each line once, and the least and the greatest."""
+    root, lid = (np.concatenate(x) for x in zip(*((np.frombuffer(k.as_py(), dtype=np.int64), np.frombuffer(x.as_py(), dtype=np.int64)) for b in batches for k, x in zip(b.column(1), b.column(2), strict=True)), strict=True))
+    order = np.argsort(root)
+    root, lid = root[order], lid[order]
+    cut = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))
+    a, b, size = np.minimum.reduceat(lid, cut), np.maximum.reduceat(lid, cut), np.diff(np.append(cut, len(root)))
+    stay = np.repeat(a != b, size)
+    root, lid, a, b = root[stay], lid[stay], np.repeat(a, size)[stay], np.repeat(b, size)[stay]
+    order = np.lexsort((lid, root))
+    root, lid, a, b = root[order], lid[order], a[order], b[order]
+    new = np.ones(len(root), dtype=bool)
+    new[1:] = (root[1:] != root[:-1]) | (lid[1:] != lid[:-1])
+    yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (root, lid, a, b)], names=["root", "lid", "a", "b"])
+
+
 def _in_step(x: list[str], y: list[str], i: int, j: int, reach: int) -> tuple[int, int]:
     """How far to go from i and j, ``reach`` words at most, to words that agree again; or to the ends."""
     for d in range(1, 9):
@@ -288,13 +337,20 @@ def _shared(a: str, b: str) -> int:
     return len(set(a.split(" ")) & set(b.split(" ")))
 
 
+def _same(a: str, b: str) -> int:
+    """How many characters two texts have in common at their beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the first low are equal, and no more than high
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance, or a number over ``most``; bit-parallel, after common ends are cut off."""
-    n = min(len(a), len(b))
-    i = next((i for i in range(n) if a[i] != b[i]), n)
+    i = _same(a, b)
     a, b = a[i:], b[i:]
-    n = min(len(a), len(b))
-    i = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
+    i = _same(a[::-1], b[::-1])
     a, b = a[: len(a) - i], b[: len(b) - i]
     if not a or not b:
         return len(a) + len(b)
@@ -359,15 +415,25 @@ def _near(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]
         yield i, first + np.flatnonzero(np.bitwise_count((m[first:] ^ m[i]).view(np.uint64)) <= NEAR)
 
 
+def _close_two(a: str, b: str) -> bool:
+    """Whether two lines are linked, if their SimHashes allow it."""
+    most = max(len(a), len(b)) * (100 - SIMILARITY) // 100
+    return abs(len(a) - len(b)) <= most and (at_most(a, b, most) <= most or at_least(runs(a), runs(b)) <= most and distance(a, b, most) <= most)
+
+
 def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]]:
     """A spanning forest of the links: what is linked already needs no distance."""
     lines = [x.decode() for x in group["text"]]
+    if len(lines) == 2:  # most groups: the bounds below would cost more than they save
+        near = ((group["code"][0] ^ group["code"][1]) & ((1 << 64) - 1)).bit_count() <= NEAR
+        yield 0, np.array([1] if near and _close_two(*lines) else [], dtype=np.int64)
+        return
     code = np.array(group["code"], dtype=np.int64)
     size = np.array([len(x) for x in lines])
     tally = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in group["text"]]).astype(np.int16 if size.max() < 8000 else np.int32)
     # an edit of a character changes one byte either way, or four where characters are not ASCII
     width = np.where(tally[:, 128:].any(axis=1), 4, 1)
-    forest, seen = Forest(len(lines)), {}
+    forest, seen, later = Forest(len(lines)), {}, []
     for i in range(left or len(lines) - 1):
         j = np.arange(left or i + 1, len(lines))
         most = np.maximum(size[i], size[j]) * (100 - SIMILARITY) // 100
@@ -378,18 +444,25 @@ def _close(group: dict[str, list], left: int) -> Iterator[tuple[int, np.ndarray]
         may = np.maximum(more, more - gap.sum(axis=1)) // np.maximum(width[j], width[i]) <= most
         hit, open_ = [], []
         for k, m in zip(j[may].tolist(), most[may].tolist(), strict=True):
-            if forest.root(k) == forest.root(i):
-                continue
-            if at_most(lines[i], lines[k], m) <= m:
-                forest.join(i, k)
-                hit.append(k)
-                continue
-            for x in (i, k):
-                if x not in seen:
-                    seen[x] = runs(lines[x])
-            if at_least(seen[i], seen[k]) <= m:
-                open_.append((k, m))
-        open_ = [(k, m) for k, m in open_ if forest.root(k) != forest.root(i)]
+            if forest.root(k) != forest.root(i):
+                if at_most(lines[i], lines[k], m) <= m:
+                    forest.join(i, k)
+                    hit.append(k)
+                else:
+                    open_.append((k, m))
+        if open_:
+            later.append((i, np.array(open_, dtype=np.int32)))
+        yield i, np.array(hit, dtype=np.int64)
+    # distances last: by now most of these are linked by way of others
+    for i, pairs in later:
+        hit, open_ = [], []
+        for k, m in pairs.tolist():
+            if forest.root(k) != forest.root(i):
+                for x in (i, k):
+                    if x not in seen:
+                        seen[x] = runs(lines[x])
+                if at_least(seen[i], seen[k]) <= m:
+                    open_.append((k, m))
         far = distances(lines[i], [lines[k] for k, _ in open_]) if len(open_) > 1 else [distance(lines[i], lines[k], m) for k, m in open_]
         for (k, m), d in zip(open_, far, strict=True):
             if d <= m and forest.join(i, k):
@@ -411,10 +484,10 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     rows = docs.select(F.xxhash64(id).alias("ka"), F.xxhash64(text).alias("kb"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"), F.col(id).alias("id"))
     schema = T.StructType([*rows.schema.fields[:2], rows.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("lid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("code", T.LongType())])
     lines = stage(rows.mapInArrow(_lines, schema), "lines")
-    # 2: blocks of two lines or more. A task sends a line once, so one shuffle does: it is counted, then joined with its counts
-    keys = lines.select("lid", F.explode("keys").alias("root")).repartition("root")
-    seen = keys.groupBy("root").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b")
-    shared = stage(keys.join(seen.hint("shuffle_hash"), "root").distinct(), "shared")
+    # 2: blocks of two lines or more. Most keys are of one line, so they travel packed and only the others become rows
+    parts = _PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = lines.where(F.size("keys") > 0).select("lid", "keys").mapInArrow(_dealt(parts), "part int, keys binary, lids binary")
+    shared = stage(packed.groupBy("part").applyInArrow(_shared_keys, "root long, lid long, a long, b long"), "shared")
     same = F.sum(F.xxhash64("lid").cast("decimal(38,0)"))
     sizes = counted(shared.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.first("a").alias("a"), F.first("b").alias("b"), same.alias("same")))
     # most shared blocks have two lines: these are pairs at once; blocks with the same lines are one

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -535,3 +536,26 @@ def test_every_text_rule_holds_on_its_sentences():
     gpl = "This program is free software%s you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation%s either version %d of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY."
     for a, b, n in ((";", ";", 2), (":", ",", 3)):
         assert f"GPL-{n}.0" in licenses.licences([k for _, _, k in licenses.recognised((gpl % (a, b, n)).encode())])
+
+
+def test_linked_lines_need_no_distance(monkeypatch):
+    """Lines that are linked by way of others, and pairs that words in step decide, take no distance."""
+    asked = []
+    monkeypatch.setattr(lines, "distance", lambda a, b, most: asked.append((a, b)) or most + 1)
+    monkeypatch.setattr(lines, "distances", lambda a, others: asked.extend((a, b) for b in others) or [1 << 40] * len(others))
+    w = [f"word{i}" for i in range(40)]
+    # words change places from the second line to the first, which words in step overrate, but not by way of the third
+    a, b, c = " ".join(w), " ".join([*w[20:23], *w[:20], *w[23:]]), " ".join([*w[20:23], *w[:20], *w[20:]])
+    group = {"code": [0, 0, 0], "text": [x.encode() for x in (a, b, c)]}
+    most = max(map(len, (a, b))) * (100 - lines.SIMILARITY) // 100
+    assert lines.at_most(a, b, most) > most >= max(lines.at_most(a, c, most), lines.at_most(b, c, most))
+    found = [(i, j) for i, js in lines._close(group, 0) for j in js.tolist()]
+    assert sorted(found) == [(0, 2), (1, 2)] and not asked
+
+
+def test_shared_keys_by_parts():
+    """Keys of two different lines become rows, each line once; a line that comes twice shares nothing with itself."""
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 3, 5, 9, 7], pa.int64()), pa.array([[1, -2], [-2], [1, -2], [4], []], pa.list_(pa.int64()))], names=["lid", "keys"])
+    dealt = list(lines._dealt(4)(iter([batch.slice(0, 2), batch.slice(2)])))
+    got = [r for b in dealt for i in range(b.num_rows) for out in lines._shared_keys((), iter([b.slice(i, 1)])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert sorted(got) == [(-2, 3, 3, 5), (-2, 5, 3, 5)]
