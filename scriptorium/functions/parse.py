@@ -20,41 +20,45 @@ ALIASES = {
 }
 #: The sections of an extraction reply, in order.
 SECTIONS = ("metadata", "facts", "issues", "rules", "application", "conclusion")
-#: A line that gives a field, and a section's header (``_header``).
+#: A line that gives a field, and the header of any section, a run of marks taken from its first one.
 PAIR = r"^([^:]+)[:\-]\s*(.+)$"
+HEADER = r"[#Ss](?i)(?:(?<=S)ECTION|(?<=#)(?<!##)#*+\s*+SECTION)\s*+(?:" + "|".join(rf"{i}\s*+[:\-]\s*+{name.upper()}" for i, name in enumerate(SECTIONS)) + ")"
 
 
 def case_fields(block: Column) -> Column:
-    """A struct of the seven case fields; the last line that gives a field wins, and '' stands for none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(block, F.lit("")), "\n"), strip), lambda x: x.rlike(PAIR))
-    pairs = F.transform(lines, lambda x: F.struct(F.replace(F.lower(strip(F.regexp_extract(x, PAIR, 1))), F.lit(" "), F.lit("_")).alias("k"), strip(F.regexp_extract(x, PAIR, 2)).alias("v")))
-    pick = lambda names: F.coalesce(F.try_element_at(F.filter(pairs, lambda p: p["k"].isin(*names)), F.lit(-1))["v"], F.lit(""))
-    return F.struct(*[pick(ALIASES[f]).alias(f) for f in CASE_FIELDS])
+    """A struct of the seven case fields; the last line that gives a field wins, and '' stands for none.
 
+    Lines are matched for their keys once; values are taken of the lines that win.
+    """
+    known = [name for names in ALIASES.values() for name in names]
+    lines = F.transform(F.split(F.coalesce(block, F.lit("")), "\n"), strip)
+    keyed = F.transform(lines, lambda x: F.struct(F.replace(F.lower(strip(F.regexp_extract(x, PAIR, 1))), F.lit(" "), F.lit("_")).alias("k"), x.alias("line")))
+    pick = lambda given, names: F.coalesce(strip(F.regexp_extract(F.try_element_at(F.filter(given, lambda p: p["k"].isin(*names)), F.lit(-1))["line"], PAIR, 2)), F.lit(""))
+    return once(F.filter(keyed, lambda p: p["k"].isin(*known)), lambda given: F.struct(*[pick(given, ALIASES[f]).alias(f) for f in CASE_FIELDS]))
 
-def _header(number: int, name: str) -> str:
-    return rf"(?i)(#+\s*)?SECTION\s*{number}\s*[:\-]\s*{name}"
 
+def _parts(reply: Column) -> Column:
+    """A reply cut at its headers: number, header, and the text up to the next one; the first part has no header."""
+    heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(reply, F.lit(HEADER), F.lit(0)))
+    return F.zip_with(heads, F.split(reply, HEADER), lambda h, body: F.struct(F.regexp_extract(h, r"\d", 0).alias("number"), h.alias("head"), body.alias("body")))
 
-def section(reply: Column, number: int) -> Column:
-    """The text of one numbered section, up to the next one's header, or to the end where that is missing."""
-    header = _header(number, SECTIONS[number].upper())
-    tidy = lambda body: strip(F.regexp_replace(strip(F.regexp_replace(strip(body), header, "")), r"\n{3,}", "\n\n"))
 
-    def after(found: Column) -> Column:
-        # from the header's first letter on, so only its own match is tried
-        body = F.substr(reply, found + F.length(F.regexp_substr(F.substr(reply, found), F.lit(header))))
-        if number + 1 == len(SECTIONS):
-            return tidy(body)
-        upto = lambda b: once(F.regexp_instr(b, F.lit(_header(number + 1, SECTIONS[number + 1].upper()))), lambda end: F.when(end > 0, F.substr(b, F.lit(1), end - 1)).otherwise(b))
-        return tidy(once(body, upto))
+def section(parts: Column, number: int) -> Column:
+    """The text of one numbered section, up to the next one's header, or to the end where that is missing.
 
-    return once(F.regexp_instr(reply, F.lit(header)), lambda found: F.when(found > 0, after(found)).otherwise(""))
+    Headers of other sections in between are text, its own ones are not.
+    """
+    numbers = F.transform(parts, lambda p: p["number"])
+    found = F.array_position(numbers, str(number)).cast("int")
+    end = F.array_position(F.slice(numbers, found + 1, F.size(parts)), str(number + 1)).cast("int")
+    own = F.slice(parts, found, F.when(end > 0, end).otherwise(F.size(parts)))
+    body = F.array_join(F.transform(own, lambda p: F.when(p["number"] == str(number), p["body"]).otherwise(F.concat(p["head"], p["body"]))), "")
+    return F.when(found > 0, F.regexp_replace(strip(body), r"\n\n\n+", "\n\n")).otherwise("")
 
 
 def sections(reply: Column) -> Column:
-    """A struct of all six sections; the reply is computed once."""
-    return once(reply, lambda r: F.struct(*[section(r, i).alias(name) for i, name in enumerate(SECTIONS)]))
+    """A struct of all six sections; the reply, best a column of a row below, is cut at its headers once."""
+    return once(_parts(F.coalesce(reply, F.lit(""))), lambda parts: F.struct(*[section(parts, i).alias(name) for i, name in enumerate(SECTIONS)]))
 
 
 def found_sections(s: Column) -> tuple[Column, Column]:

@@ -101,10 +101,9 @@ def ingest_cases(store: Collection, cases: DataFrame, embed: providers.Embedder,
     rows = providers.with_embeddings(case_chunks(cases), embed, model)
     store.replace_groups(rows, "case_identifier")
     empty = F.array_compact(F.array(*[F.when(tx.strip(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in COMPONENTS]))
-    fields = parse.case_fields(F.col("metadata"))
-    n = sum((F.when(fields[f] != "", 1).otherwise(0) for f in CASE_FIELDS), F.lit(0))
+    n = sum((F.when(F.col(f"f.{f}") != "", 1).otherwise(0) for f in CASE_FIELDS), F.lit(0))
     bad = F.coalesce("error", F.when(F.size(empty) == len(COMPONENTS), F.lit("every component is empty")))
-    return cases.select("source_file_path", F.when(bad.isNull(), "ingested").otherwise("failed").alias("status"), bad.alias("error"), empty.alias("empty_components"), n.alias("fields"), audit.field_warning(n).alias("warning"))
+    return cases.withColumn("f", parse.case_fields(F.col("metadata"))).select("source_file_path", F.when(bad.isNull(), "ingested").otherwise("failed").alias("status"), bad.alias("error"), empty.alias("empty_components"), n.alias("fields"), audit.field_warning(n).alias("warning"))
 
 
 # retrieval
